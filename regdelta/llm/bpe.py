@@ -14,13 +14,13 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import small_batches, table
+from regdelta.llm.common import python_tasks, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters from which a text is split, and least characters of a split.
 LONG = 1 << 16
 #: White space of the Unicode standard; longer runs of it exceed the library's matching stack.
-BLANK = r"[\t-\r \x85\xa0  -     　]"
+BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LONG_RUN = regex.compile(BLANK + r"{4096,}")
 #: Places that end a match of the pattern whatever follows: a letter or digit before a
 #: blank or before the other of the two, and the last blank of a run that goes on to a word.
@@ -70,7 +70,7 @@ def encode_texts(docs: DataFrame, rank_path: str | None = None, id_col: str = "d
     result; other columns are not read. A task holds one batch of texts, no more.
     """
     path = rank_path or public_tokenizers.path(RANKS)
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)
@@ -89,7 +89,7 @@ def encode_texts(docs: DataFrame, rank_path: str | None = None, id_col: str = "d
 def decode_ids(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
     """Adds `decoded`, the raw bytes of the ids: a piece of a character stays as it is. Null ids give no bytes."""
     path = rank_path or public_tokenizers.path(RANKS)
-    small_batches(encoded.sparkSession)
+    python_tasks(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(path)

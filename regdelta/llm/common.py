@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regdelta.shipping import ship
+
 #: Bounds of one Arrow batch. Texts can be long, so it is the bytes that count.
 BATCH_ROWS = 10_000
 BATCH_BYTES = 4 << 20
@@ -34,8 +36,9 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what a Python worker holds at once, for this session."""
+def python_tasks(spark: SparkSession) -> None:
+    """Makes the session ready for Python tasks: they find this package, and a bound is set on what they hold at once."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -48,3 +51,27 @@ def fold(doc_id: Column, parts: int) -> Column:
 def heavy_keys(counts: DataFrame, key: str, total: int, share: int = 4096) -> DataFrame:
     """Keys that hold at least a share-th of all rows: at most `share` of them, however large the input."""
     return counts.where(F.col("n") >= max(2, -(-total // share))).select(key)
+
+
+def least_count(counted: DataFrame, most: int) -> int:
+    """The least n at which no more than `most` rows of counted have n or more; above all n if there is no such n."""
+    by_count = counted.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(1 << 16).collect()
+    so_far, least = 0, (by_count[0]["n"] + 1) if by_count else 1
+    for r in by_count:
+        if so_far + r["rows"] > most:
+            break
+        so_far, least = so_far + r["rows"], r["n"]
+    return least
+
+
+def hash_edge(rows: int, most: int) -> int:
+    """xxhash64 values up to this one are about `most` of so many rows: the same ones on every run."""
+    return 2**63 - 1 if rows <= most else int(-(2**63) + most / rows * (2**64 - 1))
+
+
+def labelled_ids(labels: DataFrame, label_col: str, learn: Column, most: int) -> DataFrame:
+    """(doc_id, label): about `most` ids at most, drawn by the hash of the id; ids that are labelled both ways are left out."""
+    rows = labels.where(learn & F.col(label_col).isNotNull() & F.col("doc_id").isNotNull())
+    agreed = rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("_most"))
+    agreed = agreed.where("label = _most").select("doc_id", F.col("label").cast("int").alias("label"))
+    return agreed.where(F.xxhash64("doc_id") <= F.lit(hash_edge(agreed.count(), most)))

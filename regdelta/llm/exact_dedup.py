@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, heavy_keys, small_batches, table
+from regdelta.llm.common import cut, heavy_keys, python_tasks, table
 
 #: Fingerprints that one merged block holds on average; sets the number of quotient bits.
 BLOCK_FINGERPRINTS = 1 << 16
@@ -121,7 +121,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others are shuffled, and none of these fills a task.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    python_tasks(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     source = source.withColumn("fp", F.xxhash64("body"))
     marks = cut(source.select("doc_id", "fp", F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256")), "marks")

@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from regdelta.llm.bpe import op7_byte_bpe
 from regdelta.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from regdelta.llm.langid import op1_language_id
+from regdelta.llm.quality import op3_quality
 from regdelta.llm.simhash import op5_simhash
 from regdelta.llm.token_counts import op4_token_counts
+from regdelta.llm.toxicity import op8_toxicity
 from regdelta.llm.url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 

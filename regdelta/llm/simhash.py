@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, small_batches, table
+from regdelta.llm.common import cut, python_tasks, table
 from regdelta.llm.components import components
 
 BUDGET = 3
@@ -60,7 +60,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer."""
-    small_batches(docs.sparkSession)
+    python_tasks(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, small_batches, table
+from regdelta.llm.common import cut, least_count, python_tasks, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -107,14 +107,7 @@ def heavy_pieces(docs: DataFrame, path: str, most: int, sample_docs: int) -> dic
     sample = docs.sample(False, min(1.0, sample_docs / total), seed=7)
     counted = sample.mapInArrow(tokens, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
     counted = cut(counted, "heavy")
-    by_count = counted.groupBy("n").agg(F.count("*").alias("tokens")).orderBy(F.desc("n")).limit(1 << 16).collect()
-    least, so_far = 0, 0
-    for r in by_count:
-        if so_far + r["tokens"] > most:
-            break
-        least, so_far = r["n"], so_far + r["tokens"]
-    if not so_far:
-        return {}
+    least = least_count(counted, most)
     rows = counted.where(F.col("n") >= least).select("token", piece_counter(path)("token").alias("pieces")).toPandas()
     return dict(zip(rows["token"], rows["pieces"].tolist()))
 
@@ -138,7 +131,7 @@ def count_tokens(
     """
     spark = docs.sparkSession
     path = tokenizer_path or public_tokenizers.path(TOKENIZER)
-    small_batches(spark)
+    python_tasks(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
     known = spark.sparkContext.broadcast(heavy_pieces(rows, path, heavy, sample_docs))
 

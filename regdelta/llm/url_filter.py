@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, table
+from regdelta.llm.common import cut, hash_edge, table
 
 #: (verdict, host, path)
 RULES = (
@@ -119,8 +119,7 @@ def judge_urls(
 
     labelled = base.where("ruled is not null")
     n = labelled.count()
-    # a share of the hash's range, the same URLs on every run
-    edge = int(-(2**63) + min(1.0, fit_urls / max(1, n)) * (2**64 - 1)) if n > fit_urls else 2**63 - 1
+    edge = hash_edge(n, fit_urls)
     fit = lexical(labelled.where(F.xxhash64("url") <= F.lit(edge))).withColumn("label", (F.col("ruled") == "block").cast("double"))
     fit = cut(fit.drop("path"), "url-fit")
     got = fit.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
