@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from regdelta.llm.bpe import op7_byte_bpe
+from regdelta.llm.decontaminate import op6_decontaminate
 from regdelta.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from regdelta.llm.langid import op1_language_id
+from regdelta.llm.licenses import op10_license_scan
 from regdelta.llm.quality import op3_quality
 from regdelta.llm.simhash import op5_simhash
 from regdelta.llm.token_counts import op4_token_counts
@@ -17,11 +20,16 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
