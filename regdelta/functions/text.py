@@ -150,10 +150,10 @@ def chunk_text(text: Column, size: int = C.Config.obligation_chunk, overlap: int
 
 def extract_codes(text: Column) -> Column:
     """(pattern, surface) of every tariff code, pattern by pattern."""
-    found = [
-        F.transform(F.regexp_extract_all(text, F.lit(p), 0), lambda s, name=name: F.struct(F.lit(name).alias("pattern"), F.trim(s).alias("surface")))
-        for name, p in C.CODE_PATTERNS
-    ]
+    def of(name: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda s: F.struct(F.lit(name).alias("pattern"), F.trim(s).alias("surface")))
+
+    found = [of(name, pattern) for name, pattern in C.CODE_PATTERNS]
     return F.concat(*found)
 
 

@@ -65,7 +65,8 @@ def score_events(events: DataFrame, versions: DataFrame, responses: DataFrame) -
     responses: (event_id, body). An event without one stays unscored. The text of a
     version is joined to the few rows that have a quote to locate.
     """
-    answered = events.join(responses.select("event_id", "body"), "event_id", "left").withColumn("p", F.when(F.col("body").isNotNull(), parse_score(F.col("body"))))
+    bodies = responses.select(F.col("event_id").alias("_answered"), "body")
+    answered = events.join(bodies, F.col("event_id") == F.col("_answered"), "left").drop("_answered").withColumn("p", F.when(F.col("body").isNotNull(), parse_score(F.col("body"))))
     flat = answered.select(*events.columns, *[F.col(f"p.{c}").alias(c) for c in SCORED])
     origins, destinations = E.assign_trade(E.resolve_jurisdiction(F.col("source_url")), F.col("origins"), F.col("flow"))
     flat = flat.withColumns(
@@ -76,7 +77,7 @@ def score_events(events: DataFrame, versions: DataFrame, responses: DataFrame) -
     ).drop("origins")
     quoted = flat.where("quote is not null").select("event_id", "source_url", "content_hash", "quote").join(versions.select("source_url", "content_hash", "raw_text"), ["source_url", "content_hash"])
     spans = quoted.select("event_id", X.quote_start(F.col("raw_text"), F.col("quote")).alias("span_start"), X.quote_end(F.col("raw_text"), F.col("quote")).alias("span_end"))
-    return flat.join(spans, "event_id", "left")
+    return flat.join(spans.withColumnRenamed("event_id", "_quoted"), F.col("event_id") == F.col("_quoted"), "left").drop("_quoted")
 
 
 def scoring_prompt(url, title, kind, added, removed, diff, content) -> Column:
