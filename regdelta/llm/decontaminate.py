@@ -50,8 +50,7 @@ class Canon:
 
     def __init__(self, most: int = 1 << 18):
         self.most, self.known = most, {}
-        self.code: list[int] = []
-        self.kind: list[int] = []
+        self.code, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
 
     def _index(self, token: str) -> int:
         at = self.known.get(token)
@@ -65,18 +64,19 @@ class Canon:
                 kind = UNIT
             else:
                 kind = CAPITAL if token[0].isupper() else WORD
-            at = self.known[token] = len(self.code)
-            self.code.append(xxhash.xxh64_intdigest(low))
-            self.kind.append(kind)
+            at = self.known[token] = len(self.known)
+            if at == len(self.code):
+                self.code, self.kind = (np.r_[x, np.zeros_like(x)] for x in (self.code, self.kind))
+            self.code[at], self.kind[at] = xxhash.xxh64_intdigest(low), kind
         return at
 
     def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Tokens, their plain hashes, their template hashes, and whether each is a placeholder."""
         if len(self.known) > self.most:
-            self.known, self.code, self.kind = {}, [], []
+            self.known = {}
         tokens = TOKEN.findall(text)
         at = np.fromiter(map(self._index, tokens), np.int64, len(tokens))
-        kind, code = np.array(self.kind, np.int64)[at], np.array(self.code, np.uint64)[at]
+        kind, code = self.kind[at], self.code[at]
         real = kind != END
         before_end = np.r_[True, ~real[:-1]] if len(tokens) else real
         k, c, first = kind[real], code[real], before_end[real]
