@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regdelta.shipping import ship
+from regdelta.storage import cut
+
+__all__ = ["cut", "fold", "hash_edge", "heavy_keys", "labelled_ids", "least_count", "python_tasks", "table"]
 
 #: Bounds of one Arrow batch. Texts can be long, so it is the bytes that count.
 BATCH_ROWS = 10_000
@@ -19,23 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="regdelta-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs start from those files, not from its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/regdelta-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def python_tasks(spark: SparkSession) -> None:
     """Makes the session ready for Python tasks: they find this package, and a bound is set on what they hold at once."""
     ship(spark)
