@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from regdelta.operators.changes import detect_changes
+from regdelta.operators.matching import match_events, new_alerts
 from regdelta.shipping import ship
 
 TRACKED = "source_url string, content_hash string, prev_hash string, outcome string, batch int, seq long"
@@ -44,6 +45,74 @@ def track_versions(stream: DataFrame) -> DataFrame:
     return rows.groupBy("source_url").transformWithStateInPandas(VersionTracker(), outputStructType=TRACKED, outputMode="Append", timeMode="None")
 
 
+BREAKER = "scope string, ts timestamp, failures int, open_until timestamp"
+
+
+class Breaker(StatefulProcessor):
+    """For each scope: the failures of the last window. Emits each failure with their count, and until when the breaker is open then.
+
+    A timer clears a scope that has been quiet for the window, so its state does not stay.
+    """
+
+    def __init__(self, seconds: int = 60, threshold: int = 10, cooldown: int = 300):
+        self.window, self.threshold, self.cooldown = seconds * 1000, threshold, cooldown * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", "ms long")
+        self.open = handle.getValueState("open", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = sorted(int(t.timestamp() * 1000) for b in rows for t in b["ts"])
+        kept = [t for (t,) in self.times.get()] if self.times.exists() else []
+        until = self.open.get()[0] if self.open.exists() else None
+        out = []
+        for t in new:
+            kept = [x for x in kept if x > t - self.window] + [t]
+            if len(kept) >= self.threshold:
+                until = t + self.cooldown
+            out.append((key[0], pd.Timestamp(t, unit="ms"), len(kept), pd.Timestamp(until, unit="ms") if until and until > t else pd.NaT))
+        self.times.put([(t,) for t in kept])
+        if until is not None:
+            self.open.update((until,))
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(max(kept[-1] + self.window, until or 0) + 1)
+        yield pd.DataFrame(out, columns=["scope", "ts", "failures", "open_until"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        self.open.clear()
+        yield pd.DataFrame({"scope": [], "ts": [], "failures": [], "open_until": []})
+
+    def close(self) -> None:
+        pass
+
+
+def breaker_stream(failures: DataFrame, seconds: int = 60, threshold: int = 10, cooldown: int = 300, late: str = "10 seconds") -> DataFrame:
+    """failures: scope, ts. Needs the RocksDB state store."""
+    ship(failures.sparkSession)
+    rows = failures.where("scope is not null").select("scope", "ts").withWatermark("ts", late)
+    return rows.groupBy("scope").transformWithStateInPandas(Breaker(seconds, threshold, cooldown), outputStructType=BREAKER, outputMode="Append", timeMode="EventTime")
+
+
+def alert_batch(texts_of: Callable[[DataFrame], DataFrame], subs: DataFrame, alerts_path: str) -> Callable[[DataFrame, int], None]:
+    """Matches a micro-batch of scored events with the rules; alerts that a former batch wrote are not made again.
+
+    Each batch has a folder of its own number, as in ingest_batch.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        found = match_events(batch, texts_of(batch), subs)
+        past = spark.createDataFrame([], "subscription_id long, event_id string")
+        for n in range(number):
+            past = past.unionByName(spark.read.parquet(f"{alerts_path}/batch={n}").select("subscription_id", "event_id"))
+        new_alerts(found, past).write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
+
+    return run
+
+
 def dedup_stream(stream: DataFrame, horizon: str = "7 days") -> DataFrame:
     """First arrival of each hash within the horizon."""
     return stream.withWatermark("fetched_at", horizon).dropDuplicatesWithinWatermark(["content_hash"])

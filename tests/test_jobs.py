@@ -181,3 +181,59 @@ def test_tracked_versions_equal_the_batch_job(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     got = sorted((tuple(r) for r in spark.table("tracked").select("source_url", "content_hash", "batch", "seq", "outcome", "prev_hash").collect()), key=str)
     assert got == sequential_outcomes(log)
+
+
+def test_breaker_stream_counts_like_the_batch_job(spark, tmp_path):
+    at = [0, 10, 20, 59, 60, 61, 400, 401, 402, 403]
+    calls = spark.createDataFrame([("s", START + timedelta(seconds=x), True) for x in at], "scope string, ts timestamp, failed boolean")
+    calls.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(calls.schema).parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        J.breaker_stream(stream, 60, 4, 300).writeStream.format("memory").outputMode("append").queryName("breaker").trigger(availableNow=True).start().awaitTermination(180)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [(r.failures, r.open_until is not None) for r in spark.table("breaker").orderBy("ts").collect()]
+    want = [r.failures for r in W.rolling_failures(calls, 60, 4).orderBy("ts").collect()]
+    assert [n for n, _ in got] == want
+    assert [o for _, o in got] == [False, False, False, True, True, True, False, False, False, True]
+
+
+def test_alert_stream_makes_each_alert_once(spark, tmp_path):
+    events = spark.createDataFrame([("e1", "other", 0.7, ["US"], ["CN"]), ("e2", "other", 0.2, [], [])], "event_id string, topic string, significance_score double, origin_countries array<string>, destination_countries array<string>")
+    subs = spark.createDataFrame([(1, None, None, None, 0.1, None, True), (2, ["other"], None, None, 0.5, "steel", True)], "id long, topics array<string>, origins array<string>, destinations array<string>, min_significance double, keyword_query string, is_active boolean")
+    texts = lambda e: e.select("event_id", F.lit("duty on steel").alias("text"))
+    run = J.alert_batch(texts, subs, str(tmp_path / "alerts"))
+    run(events, 0)
+    run(events, 1)
+    run(events, 1)
+    got = spark.read.parquet(str(tmp_path / "alerts")).select("subscription_id", "event_id").collect()
+    assert sorted(map(tuple, got)) == [(1, "e1"), (1, "e2"), (2, "e1")]
+
+
+def test_domain_report_and_eval(spark):
+    from regdelta.operators import jobs
+    from regdelta.plans import base as B
+    from regdelta.plans import derived as D
+    from regdelta.plans import event_queries as Q
+
+    sf = "/root/testdata/sf0.001"
+    scored = B.scored(spark, sf)
+    mentions = S.entity_mentions(scored)
+    report = jobs.domain_report(D.observations(spark, sf), B.versions(spark, sf), scored, S.sync_entities(mentions), S.entity_links(mentions), Q._obligations(spark, sf)[0], "cbp.gov", F.timestamp_seconds(F.lit(D.START)))
+    assert len(report) == 8 and all(len(df.columns) > 1 and df.count() >= 0 for df in report.values())
+    assert report["documents"].agg(F.sum("docs")).first()[0] == D.observations(spark, sf).where("source_url like '%cbp.gov%'").count()
+    golden = spark.createDataFrame([("g1", ((0.8, 1.0), "critical", "other", ["cn"], None, True))], "id string, expected struct<significance_score:struct<min:double,max:double>,change_type:string,topic:string,origin_countries:array<string>,trade_flow_direction:string,should_trigger_obligations:boolean>")
+    body = '{"significance_score": 0.9, "change_type": "critical", "topic": "x", "origin_countries": ["China"], "compliance_summary": "s"}'
+    results, metrics = jobs.run_eval(golden, spark.createDataFrame([("g1", body)], "id string, body string"))
+    assert results.first().failures == [] and metrics.first().pass_rate == 1.0 and metrics.first().gate_accuracy == 1.0
+
+
+def test_rendered_messages(spark):
+    from regdelta.functions import render
+
+    row = spark.createDataFrame([(0.9, "tax", None, ["US"], [], None, "https://x.org", "a < b", "the quote", 3)], "significance_score double, topic string, change_type string, origin_countries array<string>, destination_countries array<string>, matched_keywords array<string>, source_url string, summary string, quote string, span_start int")
+    e = {c: F.col(c) for c in row.columns}
+    text, html = row.select(render.render_text(e), render.render_html(e)).first()
+    assert "Band: CRITICAL" in text and "Destination: —" in text and text.endswith("Citation (verified):\n> the quote")
+    assert "a &lt; b" in html and '<blockquote class="verified">' in html
