@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import python_tasks, table
+from regdelta.llm.common import cut, python_tasks, table
 
 #: (licence, statement): how files commonly state each licence.
 TEMPLATES = (
@@ -83,19 +83,35 @@ def segment_frequencies(files: DataFrame, vocabulary: frozenset[str]) -> tuple[i
 
 
 class Matcher:
-    """Weights and template vectors; terms that no template has weigh as much as a middling template term."""
+    """Weights and template vectors; terms that no template has weigh as much as a middling template term.
 
-    def __init__(self, templates, total: int, frequency: dict[str, int]):
+    markers: a segment without any of these cannot reach the similarity. Of each template
+    the shortest terms are left out as long as all of them together would stay below it.
+    """
+
+    def __init__(self, templates, total: int, frequency: dict[str, int], similarity: float = SIMILARITY):
         bags = [(name, Counter(terms(text))) for name, text in templates]
         words = sorted({w for _, bag in bags for w in bag})
         self.idf = {w: math.log((1 + total) / (1 + frequency.get(w, 0))) + 1 for w in words}
         self.other = sorted(self.idf.values())[len(words) // 2] if words else 1.0
         self.posting: dict[str, list[tuple[int, float]]] = {}
         self.names = [name for name, _ in bags]
+        marks: set[str] = set()
         for i, (_, bag) in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
-            for w, n in bag.items():
-                self.posting.setdefault(w, []).append((i, n * self.idf[w] / norm))
+            share = {w: n * self.idf[w] / norm for w, n in bag.items()}
+            for w, x in share.items():
+                self.posting.setdefault(w, []).append((i, x))
+            common = 0.0
+            for w in sorted(share, key=lambda w: (len(w), w)):
+                common += share[w] ** 2
+                if math.sqrt(common) >= similarity - 1e-9:
+                    marks.add(w)
+        self.markers = sorted(marks)
+
+    def may_hold(self, text: str) -> bool:
+        low = text.lower()
+        return any(m in low for m in self.markers)
 
     def best(self, segment: str) -> tuple[float, str | None]:
         bag = Counter(terms(segment))
@@ -121,9 +137,10 @@ def own_licences(files: DataFrame, matcher: Matcher, similarity: float = SIMILAR
             out = []
             for doc, path, text in zip(b.column("id").to_pylist(), b.column("path").to_pylist(), b.column("body").to_pylist()):
                 best, licensed, size = (0.0, None, None, None), 0, 0
-                for at, s in segments(text or ""):
+                # files without a marker have no licence segment, and their size does not matter then
+                for at, s in segments(text) if text and m.may_hold(text) else ():
                     size += len(s)
-                    score, name = m.best(s)
+                    score, name = m.best(s) if m.may_hold(s) else (0.0, None)
                     if score >= similarity:
                         licensed += len(s)
                         if score > best[0]:
@@ -168,7 +185,8 @@ def scan_licences(
     python_tasks(spark)
     rows = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("body"))
     total, frequency = segment_frequencies(rows, frozenset(w for _, t in templates for w in terms(t)))
-    found = own_licences(rows, Matcher(templates, total, frequency), similarity)
+    # a narrow row a file; it is used three times below
+    found = cut(own_licences(rows, Matcher(templates, total, frequency, similarity), similarity), "licences")
     found = found.withColumn("folder", directory(F.coalesce("path", F.lit(""))))
     governs = found.where(F.col("own_licence").isNotNull() & (F.col("mostly") | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False))))
     rules = governs.groupBy(F.col("folder").alias("above")).agg(
