@@ -127,11 +127,11 @@ def paragraph_chunks(spark, sf):
 
 
 @query(f"""WITH {B.OBS}, q AS (SELECT batch, seq, raw_text, trim(substring(raw_text, 11, 60), ' ' || chr(10)) AS q FROM obs)
-SELECT batch, seq, CASE WHEN length(q) >= 20 THEN strpos(raw_text, q) - 1 END AS span_start, CASE WHEN length(q) >= 20 THEN strpos(raw_text, q) - 1 + length(q) END AS span_end FROM q""")
+SELECT batch, seq, CAST(CASE WHEN length(q) >= 20 THEN strpos(raw_text, q) - 1 END AS VARCHAR) AS span_start, CAST(CASE WHEN length(q) >= 20 THEN strpos(raw_text, q) - 1 + length(q) END AS VARCHAR) AS span_end FROM q""")
 def quote_spans(spark, sf):
     q = F.substring("raw_text", 11, 60)
     o = D.observations(spark, sf)
-    return o.select("batch", "seq", X.quote_start(F.col("raw_text"), q).cast("long").alias("span_start"), X.quote_end(F.col("raw_text"), q).cast("long").alias("span_end"))
+    return o.select("batch", "seq", X.quote_start(F.col("raw_text"), q).cast("string").alias("span_start"), X.quote_end(F.col("raw_text"), q).cast("string").alias("span_end"))
 
 
 @query(f"""WITH {B.OBS} SELECT batch, seq, CASE doc_id % 7 WHEN 4 THEN '2026-06-30' WHEN 6 THEN '2026-06-30' END AS deadline FROM obs WHERE doc_id % 7 >= 4""")
