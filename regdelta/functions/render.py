@@ -23,7 +23,7 @@ def _fields(e: dict[str, Column]) -> list[tuple[str, Column]]:
     dash = lambda c: F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("—"))
     return [
         ("Band", score_band(e["significance_score"])),
-        ("Score", F.coalesce(F.format_string("%.2f", e["significance_score"]), F.lit("—"))),
+        ("Score", F.when(e["significance_score"].isNotNull(), F.format_string("%.2f", e["significance_score"])).otherwise("—")),
         ("Topic", dash(e["topic"])),
         ("Change type", dash(e["change_type"])),
         ("Origin", listed(e["origin_countries"])),

@@ -98,7 +98,7 @@ def scoring_prompt(url, title, kind, added, removed, diff, content) -> Column:
 
 def obligation_prompt(url, title, kind, score, chunk, index, total) -> Column:
     hint = F.when(total > 1, F.format_string("Document content — chunk %d of %d.", index + 1, total)).otherwise("Document content:")
-    return F.concat_ws("\n", F.concat(F.lit("Source URL: "), url), F.concat(F.lit("Title: "), F.coalesce(title, F.lit("-"))), F.concat(F.lit("Diff kind: "), kind), F.concat(F.lit("Significance score: "), F.coalesce(F.format_string("%.2f", score), F.lit("-"))), F.lit(""), hint, chunk)
+    return F.concat_ws("\n", F.concat(F.lit("Source URL: "), url), F.concat(F.lit("Title: "), F.coalesce(title, F.lit("-"))), F.concat(F.lit("Diff kind: "), kind), F.concat(F.lit("Significance score: "), F.when(score.isNotNull(), F.format_string("%.2f", score)).otherwise("-")), F.lit(""), hint, chunk)
 
 
 def backlog(events: DataFrame, mode: str = "default", kind: str | None = None, domain: str | None = None, limit: int = 50) -> DataFrame:
@@ -221,3 +221,21 @@ def reset_scores(events: DataFrame, selected: DataFrame) -> DataFrame:
     return flag.withColumns({c: F.when(F.col("_reset").isNull(), F.col(c)) for c in columns}).drop("_reset")
 
 
+
+
+def event_text(events: DataFrame, versions: DataFrame, mode: str = "match") -> DataFrame:
+    """(event_id, title, text): the new version's text; without one, summary and diff (match), or the diff, else the summary (obligations)."""
+    v = versions.select("source_url", "content_hash", "title", "raw_text")
+    df = events.join(v, ["source_url", "content_hash"], "left")
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    both = F.nullif(F.concat_ws("\n", given("summary"), given("unified_diff")), F.lit(""))
+    spare = both if mode == "match" else F.coalesce(given("unified_diff"), given("summary"))
+    return df.select("event_id", "title", F.coalesce(given("raw_text"), spare).alias("text"))
+
+
+def event_versions(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """Events with the lengths and times of their new and previous versions; a created event has no previous one."""
+    v = versions.select("source_url", "content_hash", F.length("raw_text").alias("chars"), "first_seen_at")
+    new = v.withColumnsRenamed({"chars": "new_chars", "first_seen_at": "new_seen_at"})
+    old = v.withColumnsRenamed({"content_hash": "prev_hash", "chars": "prev_chars", "first_seen_at": "prev_seen_at"})
+    return events.join(new, ["source_url", "content_hash"], "left").join(old, ["source_url", "prev_hash"], "left")

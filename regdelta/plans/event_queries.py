@@ -419,3 +419,29 @@ def eval_results(spark, sf):
   round(count(*) FILTER (g_gate IS NOT NULL AND (significance_score >= 0.6) = g_gate) / count(g_gate), 6) AS gate_accuracy FROM results""")
 def eval_metrics(spark, sf):
     return R.eval_metrics(_golden(spark, sf))
+
+
+_LENGTHS = "lengths AS (SELECT source_url, content_hash, any_value(length(raw_text)) AS chars, min(fetched_at) AS first_seen FROM obs GROUP BY 1, 2)"
+
+
+@query(f"""WITH {B.EVENTS}, {_LENGTHS} SELECT e.event_id, n.chars AS new_chars, coalesce(CAST(o.chars AS VARCHAR), '-') AS prev_chars, n.first_seen AS new_seen_at
+FROM change_events e LEFT JOIN lengths n ON n.source_url = e.source_url AND n.content_hash = e.content_hash LEFT JOIN lengths o ON o.source_url = e.source_url AND o.content_hash = e.prev_hash""")
+def event_versions(spark, sf):
+    out = S.event_versions(cut(B.events(spark, sf), "events"), B.versions(spark, sf))
+    return out.select("event_id", F.col("new_chars").cast("long").alias("new_chars"), F.coalesce(F.col("prev_chars").cast("string"), F.lit("-")).alias("prev_chars"), F.unix_timestamp("new_seen_at").alias("new_seen_at"))
+
+
+@query(f"""{SCORED}, t AS (SELECT source_url, content_hash, any_value(raw_text) AS raw_text FROM obs WHERE doc_id % 2 = 0 GROUP BY 1, 2)
+SELECT event_id, coalesce(left(raw_text, 40), summary, '-') AS text FROM scored LEFT JOIN t USING (source_url, content_hash)""")
+def event_texts(spark, sf):
+    known = B.versions(spark, sf).where("doc_id % 2 = 0")
+    events = B.scored(spark, sf).withColumn("unified_diff", F.lit(None).cast("string"))
+    out = S.event_text(events, known)
+    return out.select("event_id", F.coalesce(F.when(F.length("text") > 40, F.left("text", F.lit(40))).otherwise(F.col("text")), F.lit("-")).alias("text"))
+
+
+@query(f"""{SCORED}, p AS (SELECT event_id, 'Source URL: ' || source_url || chr(10) || 'Title: -' || chr(10) || 'Diff kind: ' || diff_kind || chr(10) || 'Significance score: ' || coalesce(printf('%.2f', significance_score), '-') || chr(10) || chr(10)
+  || 'Document content — chunk 2 of 3.' || chr(10) || 'text' AS prompt FROM scored) SELECT event_id, sha256(prompt) AS prompt_hash FROM p""")
+def obligation_prompts(spark, sf):
+    p = S.obligation_prompt(F.col("source_url"), F.lit(None).cast("string"), F.col("diff_kind"), F.col("significance_score"), F.lit("text"), F.lit(1), F.lit(3))
+    return B.scored(spark, sf).select("event_id", F.sha2(p, 256).alias("prompt_hash"))
