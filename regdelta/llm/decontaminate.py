@@ -45,59 +45,87 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 HOLDERS = np.array([0, 0x6E616D65AAAA, 0x6E756DBBBB, 0x756E6974CCCC, 0], np.uint64)
 
 
-class Canon:
-    """Turns texts into templates; token kinds and hashes are kept in bounded dictionaries."""
+class _Tokens(dict):
+    """Token to its place in the arrays of hashes and kinds; a token that is met first is classified then."""
 
-    def __init__(self, most: int = 1 << 18):
-        self.most, self.known = most, {}
+    def __init__(self):
         self.code, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
 
-    def _index(self, token: str) -> int:
-        at = self.known.get(token)
-        if at is None:
-            low = token.lower()
-            if token in ".!?\n":
-                kind = END
-            elif token[0].isnumeric():
-                kind = NUMBER
-            elif low in UNITS:
-                kind = UNIT
-            else:
-                kind = CAPITAL if token[0].isupper() else WORD
-            at = self.known[token] = len(self.known)
-            if at == len(self.code):
-                self.code, self.kind = (np.r_[x, np.zeros_like(x)] for x in (self.code, self.kind))
-            self.code[at], self.kind[at] = xxhash.xxh64_intdigest(low), kind
+    def __missing__(self, token: str) -> int:
+        low = token.lower()
+        if token in ".!?\n":
+            kind = END
+        elif token[0].isnumeric():
+            kind = NUMBER
+        elif low in UNITS:
+            kind = UNIT
+        else:
+            kind = CAPITAL if token[0].isupper() else WORD
+        at = self[token] = len(self)
+        if at == len(self.code):
+            self.code, self.kind = (np.r_[x, np.zeros_like(x)] for x in (self.code, self.kind))
+        self.code[at], self.kind[at] = xxhash.xxh64_intdigest(low), kind
         return at
 
-    def __call__(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, their plain hashes, their template hashes, and whether each is a placeholder."""
+
+class Canon:
+    """Turns texts into templates; tokens met lately are kept with their hashes, a bounded number between texts."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.most, self.known = most, _Tokens()
+
+    def __call__(self, text: str) -> "Template":
         if len(self.known) > self.most:
-            self.known = {}
+            self.known = _Tokens()
         tokens = TOKEN.findall(text)
-        at = np.fromiter(map(self._index, tokens), np.int64, len(tokens))
-        kind, code = self.kind[at], self.code[at]
-        real = kind != END
-        before_end = np.r_[True, ~real[:-1]] if len(tokens) else real
-        k, c, first = kind[real], code[real], before_end[real]
-        number_before = np.r_[False, k[:-1] == NUMBER] if len(k) else k.astype(bool)
-        number_after = np.r_[k[1:] == NUMBER, False] if len(k) else number_before
+        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+        kind = self.known.kind[at]
+        real = np.flatnonzero(kind != END)
+        k, c = kind[real], self.known.code[at[real]]
+        if not len(k):
+            return Template(tokens, real, c, c, k > 0)
+        first = np.r_[True, kind[real[1:] - 1] == END] if len(k) > 1 else np.array([True])
+        first[0] = True
+        number = k == NUMBER
         # a unit stands by its number; a capital opens a sentence or is a name
-        hold = np.where((k == CAPITAL) & ~first, 1, np.where(k == NUMBER, 2, np.where((k == UNIT) & (number_before | number_after), 3, 0)))
-        return [t for t, r in zip(tokens, real) if r], c, np.where(hold > 0, HOLDERS[hold], c), hold > 0
+        beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
+        hold = np.where((k == CAPITAL) & ~first, 1, np.where(number, 2, np.where((k == UNIT) & beside, 3, 0)))
+        return Template(tokens, real, c, np.where(hold > 0, HOLDERS[hold], c), hold > 0)
 
 
-def windows(plain: np.ndarray, template: np.ndarray, held: np.ndarray, size: int) -> np.ndarray:
+class Template:
+    """Template tokens of a text: plain and template hash of each, whether it is a placeholder, and its surface."""
+
+    def __init__(self, tokens: list[str], places: np.ndarray, plain: np.ndarray, template: np.ndarray, held: np.ndarray):
+        self.tokens, self.places, self.plain, self.template, self.held = tokens, places, plain, template, held
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def slots(self, start: int, size: int) -> list[str]:
+        """place:value of the placeholders of a window."""
+        return [f"{k}:{self.tokens[self.places[start + k]].lower()}" for k in range(size) if self.held[start + k]]
+
+
+def windows(t: Template, size: int) -> np.ndarray:
     """Hash of the window that starts at each token."""
-    n = len(plain) - size + 1
+    n = len(t) - size + 1
     if n < 1:
         return np.array([], np.uint64)
-    as_is, canon, words = np.full(n, size, np.uint64), np.full(n, size + 1000, np.uint64), np.zeros(n, np.int64)
-    for k in range(size):
-        as_is = as_is * FACTOR + plain[k : k + n]
-        canon = canon * FACTOR + template[k : k + n]
-        words += ~held[k : k + n]
-    return np.where(words >= min(LEAST_WORDS, size), canon, as_is)
+
+    def rolled(codes: np.ndarray, start: int) -> np.ndarray:
+        h = np.full(n, start, np.uint64)
+        for k in range(size):
+            h *= FACTOR
+            h += codes[k : k + n]
+        return h
+
+    canon = rolled(t.template, size + 1000)
+    if not t.held.any():
+        return canon
+    holders = np.r_[0, np.cumsum(t.held)]
+    weak = size - (holders[size:] - holders[:-size]) < min(LEAST_WORDS, size)
+    return np.where(weak, rolled(t.plain, size), canon) if weak.any() else canon
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -108,14 +136,12 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
         for b in batches:
             out = []
             for item, text in zip(b.column("item_id").to_pylist(), b.column("body").to_pylist()):
-                tokens, plain, template, held = canon(text or "")
-                size = min(WINDOW, len(tokens))
+                t = canon(text or "")
+                size = min(WINDOW, len(t))
                 if not size:
                     continue
-                h = windows(plain, template, held, size).view(np.int64).tolist()
-                for i, x in enumerate(h):
-                    slots = [f"{k}:{tokens[i + k].lower()}" for k in range(size) if held[i + k]]
-                    out.append((item, i, len(h), size, x, slots))
+                h = windows(t, size).view(np.int64).tolist()
+                out += [(item, i, len(h), size, x, t.slots(i, size)) for i, x in enumerate(h)]
             cols = list(zip(*out)) or [[]] * 6
             kinds = [b.column("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "at", "total", "size", "h", "slots"])
@@ -133,18 +159,17 @@ def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[in
         for b in batches:
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
-                tokens, plain, template, held = canon(text or "")
+                t = canon(text or "")
                 key = None
                 for size in sizes:
-                    h = windows(plain, template, held, size)
+                    h = windows(t, size)
                     if not len(h):
                         continue
                     found = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
                     for i in found.tolist():
                         if key is None:
                             key = int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
-                        slots = [f"{k}:{tokens[i + k].lower()}" for k in range(size) if held[i + k]]
-                        out.append((doc, key, i, int(h[i].view(np.int64)), slots))
+                        out.append((doc, key, i, int(h[i].view(np.int64)), t.slots(i, size)))
             cols = list(zip(*out)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "key", "at", "h", "slots"])
