@@ -49,7 +49,7 @@ class _Tokens(dict):
     """Token to its place in the arrays of hashes and kinds; a token that is met first is classified then."""
 
     def __init__(self):
-        self.code, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int64)
+        self.code, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -84,12 +84,13 @@ class Canon:
         k, c = kind[real], self.known.code[at[real]]
         if not len(k):
             return Template(tokens, real, c, c, k > 0)
-        first = np.r_[True, kind[real[1:] - 1] == END] if len(k) > 1 else np.array([True])
-        first[0] = True
-        number = k == NUMBER
-        # a unit stands by its number; a capital opens a sentence or is a name
+        first = np.r_[True, kind[real[1:] - 1] == END]
+        # a capital opens a sentence or is a name; a unit stands by its number
+        number, name = k == NUMBER, (k == CAPITAL) & ~first
+        if not number.any() and not name.any():
+            return Template(tokens, real, c, c, name)
         beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
-        hold = np.where((k == CAPITAL) & ~first, 1, np.where(number, 2, np.where((k == UNIT) & beside, 3, 0)))
+        hold = np.where(name, 1, np.where(number, 2, np.where((k == UNIT) & beside, 3, 0)))
         return Template(tokens, real, c, np.where(hold > 0, HOLDERS[hold], c), hold > 0)
 
 
