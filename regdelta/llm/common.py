@@ -38,13 +38,12 @@ def heavy_keys(counts: DataFrame, key: str, total: int, share: int = 4096) -> Da
 
 def least_count(counted: DataFrame, most: int) -> int:
     """The least n at which no more than `most` rows of counted have n or more; above all n if there is no such n."""
-    by_count = counted.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(1 << 16).collect()
-    so_far, least = 0, (by_count[0]["n"] + 1) if by_count else 1
-    for r in by_count:
-        if so_far + r["rows"] > most:
-            break
-        so_far, least = so_far + r["rows"], r["n"]
-    return least
+    # each n has a row, so no more than most + 1 of them can matter
+    by_count = counted.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(most + 1).toPandas()
+    if by_count.empty:
+        return 1
+    fit = by_count["n"][by_count["rows"].cumsum() <= most]
+    return int(fit.iloc[-1]) if len(fit) else int(by_count["n"].iloc[0]) + 1
 
 
 def hash_edge(rows: int, most: int) -> int:

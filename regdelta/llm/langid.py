@@ -7,9 +7,10 @@ many different left contexts a gram was seen.
 
 The model: for each order one sorted array of 64-bit gram hashes, common to all languages, with the
 interpolated log probability in each language beside it; and one of context hashes
-with back-off weights. At most MAX_GRAMS grams of an order and their languages are kept,
-those with the highest counts; the mass of others goes to the back-off weight. That bounds
-what is broadcast.
+with back-off weights. It is broadcast while no order has more than MAX_GRAMS rows. A
+larger model stays in Spark as tables by gram, and only the probabilities of the most frequent
+four-grams are broadcast; four-grams of a text that are not among them are joined to the tables.
+Both ways give the same model.
 
 Scoring: binary search of a text's four-grams, sums by text, and the language of the
 lowest cross-entropy a symbol. A text whose cross-entropy is above what nearly all
@@ -24,13 +25,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regdelta.llm.common import cut, fold, least_count, python_tasks, table
 
 ORDER = 4
-#: Most (language, gram) rows of one order in the model.
+#: Most (language, gram) rows of one order in a model that is broadcast whole; most four-grams that are broadcast of a larger one.
 MAX_GRAMS = 1 << 20
 #: Symbols that are worked on at once.
 SYMBOLS = 1 << 20
@@ -168,6 +170,11 @@ class Models:
         self.floor = np.zeros(len(langs))
         self.sharpness = 20.0
         self.threshold = np.full(len(langs), np.inf)
+        #: The whole model in Spark, where the arrays hold the most frequent four-grams alone; tasks do not get it.
+        self.tables: Tables | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": None}
 
     @staticmethod
     def _find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,6 +215,14 @@ class Models:
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats a symbol of each text in each language, and the number of symbols."""
+        total, size = self.sums(texts)
+        return -total / np.maximum(size, 1)[:, None], size
+
+    def sums(self, texts: list[str], missed: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text in each language, and the number of symbols.
+
+        missed: takes (text, four-gram as symbols) of those that the arrays lack; they are left out of the sums then.
+        """
         s, starts = symbols(texts)
         total = np.zeros((len(texts), len(self.langs)))
         size = np.diff(np.r_[starts, len(s)]) - (ORDER - 1)
@@ -220,21 +235,84 @@ class Models:
                 continue
             h = hashes(part, ORDER)[end]
             at, hit = self._find(self.keys[ORDER], h)
-            got = self.logp[ORDER][at]
+            got = self.logp[ORDER][at] if len(self.keys[ORDER]) else np.zeros((len(h), len(self.langs)), np.float32)
+            owner = doc[a : a + len(part)][ORDER - 1 :][end]
             miss = np.flatnonzero(~hit)
             if len(miss):
                 windows = np.stack([part[end[miss] + k] for k in range(ORDER)], 1)
-                got[miss] = self.log_prob(windows, h[miss])
-            owner = doc[a : a + len(part)][ORDER - 1 :][end]
+                if missed is None:
+                    got[miss] = self.log_prob(windows, h[miss])
+                else:
+                    got[miss] = 0
+                    missed.append((owner[miss], windows))
             cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             total[owner[cuts]] += np.add.reduceat(got, cuts, axis=0, dtype=np.float64)
-        return -total / np.maximum(size, 1)[:, None], size
+        return total, size
 
     def confidence(self, entropy: np.ndarray) -> np.ndarray:
         d = entropy - entropy.min(axis=1, keepdims=True)
         return 1.0 / np.exp(-self.sharpness * d).sum(axis=1)
 
 
+class Tables:
+    """The whole model by gram: logp[k] (gram, p) and gamma[k] (ctx, g), arrays of natural logarithms in the order of the languages."""
+
+    def __init__(self, floor: list[float]):
+        self.floor = floor
+        self.logp: dict[int, DataFrame] = {}
+        self.gamma: dict[int, DataFrame] = {}
+
+    def log_prob(self, grams: DataFrame) -> DataFrame:
+        """(gram, p) of four-grams, none of them twice."""
+        out, p = grams.select("gram"), F.array(*map(F.lit, self.floor))
+        for k in range(1, ORDER + 1):
+            own = F.substring("gram", ORDER - k + 1, k)
+            if k > 1:
+                ctx = F.substring("gram", ORDER - k + 1, k - 1)
+                table = self.gamma[k - 1].withColumnsRenamed({"ctx": "_c", "g": f"_g{k}"})
+                out = out.join(table, ctx == F.col("_c"), "left").drop("_c")
+                p = F.when(F.col(f"_g{k}").isNull(), p).otherwise(F.zip_with(p, f"_g{k}", lambda a, b: a + b))
+            table = self.logp[k].withColumnsRenamed({"gram": "_s", "p": f"_p{k}"})
+            out = out.join(table, own == F.col("_s"), "left").drop("_s")
+            p = F.coalesce(f"_p{k}", p)
+        return out.select("gram", p.alias("p"))
+
+
+def _discounts(grams: DataFrame, langs: list[str]) -> np.ndarray:
+    once = {r["lang"]: r for r in grams.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
+    discount = np.array([0.5 if not once[x]["n1"] else once[x]["n1"] / (once[x]["n1"] + 2 * once[x]["n2"]) for x in langs])
+    return np.clip(discount, 0.1, 0.9)
+
+
+def _tables(orders: dict[int, DataFrame], langs: list[str], size: int) -> Tables:
+    tables = None
+    for k in range(1, ORDER + 1):
+        discount = _discounts(orders[k], langs)
+        by_lang = F.create_map(*[F.lit(v) for x, d in zip(langs, discount.tolist()) for v in (x, d)])
+
+        def wide(value, other: float):
+            return F.array(*[F.coalesce(F.sum(F.when(F.col("lang") == x, value)), F.lit(other)) for x in langs])
+
+        grams = orders[k].withColumn("ctx", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
+        totals = grams.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        left = F.greatest(by_lang[F.col("lang")] * F.col("kinds") / F.col("total"), F.lit(1e-12))
+        gamma = cut(totals.groupBy("ctx").agg(wide(left, 1.0).alias("g")), "gamma")
+        alpha = (F.col("n") - by_lang[F.col("lang")]) / F.col("total")
+        mass = grams.join(totals, ["lang", "ctx"]).groupBy("gram", "ctx").agg(wide(alpha, 0.0).alias("mass"))
+        if k == 1:
+            rest = [g / size for g in gamma.first()["g"]]
+            tables = Tables(np.log(rest).tolist())
+            p = F.zip_with("mass", F.array(*map(F.lit, rest)), lambda a, b: F.log(a + b))
+        else:
+            # the end and the beginning of a gram that was seen were seen as well
+            below = tables.logp[k - 1].select(F.col("gram").alias("_s"), F.col("p").alias("below"))
+            mass = mass.join(gamma, "ctx").join(below, F.substring("gram", 2, k - 1) == F.col("_s"))
+            p = F.zip_with("mass", F.zip_with("g", "below", lambda g, b: g * F.exp(b)), lambda a, b: F.log(a + b))
+            tables.gamma[k - 1] = gamma.select("ctx", F.transform("g", lambda x: F.log(x)).alias("g"))
+        tables.logp[k] = cut(mass.select("gram", p.alias("p")), "model")
+    return tables
+
+
 def train(learned: DataFrame) -> Models | None:
     """Models from (lang, body) rows, none of them null; None without a single gram."""
     counts = learned.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -249,15 +327,23 @@ def train(learned: DataFrame) -> Models | None:
     code = {x: i for i, x in enumerate(langs)}
     size = orders[1].select("gram").distinct().count() + 1
     models.floor = np.full(len(langs), -np.log(size))
+    if max(orders[k].count() for k in orders) > MAX_GRAMS:
+        models.tables = _tables(orders, langs, size)
+        counted = cut(orders[ORDER].groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+        frequent = counted.where(F.col("n") >= least_count(counted, MAX_GRAMS)).select("gram")
+        held = models.tables.logp[ORDER].join(frequent, "gram", "left_semi")
+        rows = held.select("gram", *[F.col("p")[i].cast("float").alias(f"p{i}") for i in range(len(langs))]).toPandas()
+        h = gram_hashes(rows["gram"], ORDER) if len(rows) else np.array([], np.uint64)
+        order = np.argsort(h)
+        models.keys[ORDER] = h[order]
+        models.logp[ORDER] = rows.drop(columns="gram").to_numpy(np.float32)[order]
+        return models
     for k in range(1, ORDER + 1):
         grams = orders[k]
-        once = {r["lang"]: r for r in grams.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
-        discount = np.array([0.5 if not once[x]["n1"] else once[x]["n1"] / (once[x]["n1"] + 2 * once[x]["n2"]) for x in langs])
-        discount = np.clip(discount, 0.1, 0.9)
+        discount = _discounts(grams, langs)
         ctx = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
         totals = grams.groupBy("lang", ctx.alias("ctx")).agg(F.sum("n").alias("total"))
-        kept = grams.where(F.col("n") >= least_count(grams, MAX_GRAMS)).withColumn("ctx", ctx)
-        rows = kept.join(totals, ["lang", "ctx"]).select("lang", "gram", "n", "total").toPandas()
+        rows = grams.withColumn("ctx", ctx).join(totals, ["lang", "ctx"]).select("lang", "gram", "n", "total").toPandas()
         lang = rows["lang"].map(code).to_numpy(np.int64)
         alpha = (rows["n"].to_numpy(float) - discount[lang]) / rows["total"].to_numpy(float)
         h = gram_hashes(rows["gram"], k) if len(rows) else np.array([], np.uint64)
@@ -284,6 +370,50 @@ def train(learned: DataFrame) -> Models | None:
     return models
 
 
+def _joined_entropies(models: Models, texts: DataFrame, kept: str) -> DataFrame:
+    """(kept, e, size): the cross-entropies of (kept, body) rows by a model whose tables are in Spark.
+
+    Texts are known by a 128-bit hash. Sums over the frequent four-grams are made where the text is; others go by gram
+    to the tables, once for each text and gram, and their sums return to the text.
+    """
+    held = texts.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        for b in batches:
+            own = [t or "" for t in b.column("body").to_pylist()]
+            for i, j in portions(own):
+                missed: list[tuple[np.ndarray, np.ndarray]] = []
+                total, size = m.sums(own[i:j], missed)
+                rare: list[list[dict]] = [[] for _ in range(j - i)]
+                if missed:
+                    owner, grams = (np.concatenate(x) for x in zip(*missed))
+                    rows, n = np.unique(np.column_stack([owner.astype(np.uint32), grams]), axis=0, return_counts=True)
+                    text = rows[:, 1:].astype("<u4").tobytes().decode("utf-32-le")
+                    for at, (doc, times) in enumerate(zip(rows[:, 0].tolist(), n.tolist())):
+                        rare[doc].append({"gram": text[ORDER * at : ORDER * (at + 1)], "n": times})
+                keys = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in own[i:j]]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(kept).slice(i, j - i),
+                        pa.array(keys, pa.binary()),
+                        pa.array(total.tolist(), pa.list_(pa.float64())),
+                        pa.array(size, pa.int64()),
+                        pa.array(rare, pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())]))),
+                    ],
+                    [kept, "key", "known", "size", "rare"],
+                )
+
+    found = cut(texts.select(kept, "body").mapInArrow(run, f"{kept} {texts.schema[kept].dataType.simpleString()}, key binary, known array<double>, size long, rare array<struct<gram:string,n:long>>"), "entropy")
+    rare = found.select("key", F.inline("rare")).groupBy("key", "gram").agg(F.max("n").alias("n"))
+    priced = rare.join(models.tables.log_prob(rare.select("gram").distinct()), "gram")
+    langs = range(len(models.langs))
+    sums = priced.groupBy("key").agg(F.array(*[F.sum(F.col("n") * F.col("p")[i]) for i in langs]).alias("more"))
+    total = F.when(F.col("more").isNull(), F.col("known")).otherwise(F.zip_with("known", "more", lambda a, b: a + b))
+    entropy = F.transform(total, lambda x: -x / F.greatest("size", F.lit(1)))
+    return found.drop("rare").join(sums, "key", "left").select(kept, entropy.alias("e"), "size")
+
+
 def calibrate(models: Models, texts: DataFrame) -> None:
     """Sets how sharply differences of cross-entropy become confidence, and each language's rejection threshold."""
     held = texts.sparkSession.sparkContext.broadcast(models)
@@ -295,7 +425,8 @@ def calibrate(models: Models, texts: DataFrame) -> None:
                 entropy, size = held.value.cross_entropy(own[i:j])
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(i, j - i), pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(size)], ["lang", "e", "size"])
 
-    rows = texts.mapInArrow(run, "lang string, e array<double>, size long").where("size > 1").limit(8 * CALIBRATION_TEXTS).toPandas()
+    judged = _joined_entropies(models, texts, "lang") if models.tables else texts.mapInArrow(run, "lang string, e array<double>, size long")
+    rows = judged.where("size > 1").limit(8 * CALIBRATION_TEXTS).toPandas()
     code = {x: i for i, x in enumerate(models.langs)}
     rows = rows[rows["lang"].isin(code.keys())]
     if len(rows) < 30:
@@ -338,16 +469,20 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         share = min(1.0, CALIBRATION_TEXTS / max(1, apart.count()))
         calibrate(models, apart.sample(False, share, seed=7).select("lang", "body") if share < 1 else apart.select("lang", "body"))
     held = spark.sparkContext.broadcast(models)
+    joined = bool(models and models.tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            texts = [t or "" for t in b.column("body").to_pylist()]
+            texts = [""] * b.num_rows if joined else [t or "" for t in b.column("body").to_pylist()]
             for i, j in portions(texts):
                 n = j - i
                 lang, score, far, best = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool), np.full(n, np.nan)
                 if m:
-                    entropy, size = m.cross_entropy(texts[i:j])
+                    if joined:
+                        entropy, size = np.array(b.column("e").slice(i, n).to_pylist()), b.column("size").slice(i, n).to_numpy()
+                    else:
+                        entropy, size = m.cross_entropy(texts[i:j])
                     known = size > 0
                     pick = entropy.argmin(axis=1)
                     lang[known] = np.array(m.langs, object)[pick[known]]
@@ -359,7 +494,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     ["doc_id", "lang_pred", "score", "rejected", "cross_entropy"],
                 )
 
-    out = rows.select("doc_id", "body").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
+    source = _joined_entropies(models, rows, "doc_id") if joined else rows.select("doc_id", "body")
+    out = source.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
     held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 

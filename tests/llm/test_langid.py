@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from regdelta.llm import langid as L
+from regdelta.llm.common import least_count
 
 SCHEMA = "doc_id long, text string, lang string, score string, held_out string"
 
@@ -97,3 +98,26 @@ def test_nothing_to_learn(spark):
     assert L.identify_languages(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = L.identify_languages(spark.createDataFrame([(1, "abc", None, "", "")], SCHEMA)).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
+
+
+def test_a_model_larger_than_the_broadcast_gives_the_same(spark, monkeypatch):
+    """A language of few texts beside one of many: its grams are the first that a cap by count would drop."""
+    rare = [(5000 + i, "zu qo xe " * (1 + i % 3) + "qoxe", "cc", "", "") for i in range(24)]
+    odd = [(6000, None, "aa", "", ""), (6001, "", None, "", ""), (None, "qoxe zu", None, "", ""), (7, "ka to", "aa", "", ""), (7, "ka to", "aa", "", ""), (6002, "жук ~ wxyz", None, "", "")]
+    docs = spark.createDataFrame(corpus() + rare + odd, SCHEMA)
+    results = lambda: sorted(L.identify_languages(docs).collect(), key=lambda r: (str(r.doc_id), r.lang_pred, r.cross_entropy or 0))
+    whole = results()
+    for most in (60, 0):
+        monkeypatch.setattr(L, "MAX_GRAMS", most)
+        got = results()
+        assert len(got) == len(whole)
+        for a, b in zip(got, whole):
+            assert (a.doc_id, a.held_out, a.lang_pred, a.rejected) == (b.doc_id, b.held_out, b.lang_pred, b.rejected)
+            assert math.isclose(a.score, b.score, abs_tol=1e-3)
+            assert a.cross_entropy == b.cross_entropy or math.isclose(a.cross_entropy, b.cross_entropy, rel_tol=1e-4)
+
+
+def test_least_count_of_very_many_counts(spark):
+    counted = spark.range(1, (1 << 17) + 1).withColumnRenamed("id", "n")
+    assert least_count(counted, 100_000) == (1 << 17) - 100_000 + 1
+    assert least_count(counted, 0) == (1 << 17) + 1
