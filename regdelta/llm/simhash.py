@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regdelta.llm.common import cut, python_tasks, table
@@ -55,14 +55,20 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         h = np.fromiter((fingerprint(t) for t in b.column("body").to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(h.view(np.int64))], ["doc_id", "fp"])
+        kept = [c for c in b.schema.names if c != "body"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, kept), pa.array(h.view(np.int64))], [*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer."""
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit integer. keyed: with text_key between them."""
     python_tasks(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    key = [text_key(text_col).alias("text_key")] if keyed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.col(text_col).alias("body"))
+    return rows.mapInArrow(_fingerprints, "doc_id long, text_key long, fp long" if keyed else "doc_id long, fp long")
 
 
 class Roots:
@@ -253,29 +259,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id reachable; null ids take part, and a component of null ids alone keeps
     null. An empty input gives an empty result. Other columns are not read.
     """
-    marks = cut(fingerprints(docs, id_col, text_col), "simhash")
+    return _members(cut(fingerprints(docs, id_col, text_col), "simhash")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _members(marks: DataFrame) -> DataFrame:
+    """The rows of marks with root, a fingerprint that names the component, and component_id."""
     least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "vertices")
     links = cut(near_links(least.select("fp")), "links")
     root = components(links, "stars").select(F.col("a").alias("fp"), F.col("b").alias("root"))
     member = least.join(root, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(smallest, "root").select("fp", "component_id")
-    return marks.join(named, "fp", "left").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return marks.join(member.join(smallest, "root").select("fp", "root", "component_id"), "fp", "left")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component stays: the row with its smallest id, and of rows that share that id the first by text.
+    """One row of each component stays: the row with its smallest id, and of rows that share that id the first by text_key.
 
-    All columns are kept. Rows whose ids are all null keep one row per component.
+    All columns are kept. Null ids come last. A row is known by its id and its text_key, so an
+    id that stands on texts of several components is decided in each of them.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_n"))
-    keep = keep.withColumnRenamed("doc_id", "_keep")
-    rows = docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "inner")
+    marks = _members(cut(fingerprints(docs, id_col, text_col, keyed=True), "simhash"))
+    alike = marks.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("r")
+    keep = alike.groupBy("root").agg(first).select(F.col("r.doc_id").alias("_keep"), F.col("r.text_key").alias("_key"), F.col("r.n").alias("_n"))
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (text_key(text_col) == F.col("_key"))
+    rows = docs.join(keep, on, "inner")
     single = rows.where("_n = 1").select(*docs.columns)
-    tied = rows.where("_n > 1").groupBy("_keep").agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
+    tied = rows.where("_n > 1").groupBy("_keep", "_key").agg(F.first(F.struct(*docs.columns)).alias("r"))
     return single.unionByName(tied.select("r.*"))
 
 

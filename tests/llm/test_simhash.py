@@ -95,3 +95,19 @@ def test_documents(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(empty).count() == 0 and S.without_near_copies(empty).count() == 0
+
+
+def test_null_and_repeated_ids_keep_a_row_of_each_component(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(300))
+    near = text("a").upper()
+    rows = [
+        *[(None, t, "", "", "") for t in (text("a"), near, text("b"), text("b"), text("c"))],
+        *[(5, t, "", "", "") for t in (text("d"), text("e"), text("e"))],
+        (None, text("d"), "", "", ""),
+        (4, text("e"), "", "", ""),
+    ]
+    kept = [(r.doc_id, r.text) for r in S.without_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()]
+    one = [t for i, t in kept if t in (text("a"), near)]
+    assert len(one) == 1
+    rest = sorted(((i, t) for i, t in kept if t not in one), key=str)
+    assert rest == sorted([(None, text("b")), (None, text("c")), (5, text("d")), (4, text("e"))], key=str)
