@@ -5,7 +5,9 @@ placeholders, all else is lower-cased words. Windows of WINDOW template tokens a
 hashed and joined with the windows of the benchmark items. Windows that lie on one
 diagonal (same distance between place in the document and in the item) are one
 alignment; it counts if its slots are consistent: what the item has in a slot maps to one
-value in the document throughout. A document is contaminated by an item if consistent
+value in the document throughout. A capital that opens a sentence may be a name or not: texts
+have two readings, one with these capitals as words and one with all capitals as names, and
+windows of one reading meet windows of the same. A document is contaminated by an item if consistent
 alignments cover enough of the item's windows, whatever the values in the slots.
 """
 
@@ -83,22 +85,29 @@ class Canon:
         real = np.flatnonzero(kind != END)
         k, c = kind[real], self.known.code[at[real]]
         if not len(k):
-            return Template(tokens, real, c, c, k > 0)
+            return Template(tokens, real, c, c, k > 0, k > 0)
         first = np.r_[True, kind[real[1:] - 1] == END]
         # a capital opens a sentence or is a name; a unit stands by its number
-        number, name = k == NUMBER, (k == CAPITAL) & ~first
+        number, name, opening = k == NUMBER, (k == CAPITAL) & ~first, (k == CAPITAL) & first
         if not number.any() and not name.any():
-            return Template(tokens, real, c, c, name)
+            return Template(tokens, real, c, c, name, opening)
         beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
         hold = np.where(name, 1, np.where(number, 2, np.where((k == UNIT) & beside, 3, 0)))
-        return Template(tokens, real, c, np.where(hold > 0, HOLDERS[hold], c), hold > 0)
+        return Template(tokens, real, c, np.where(hold > 0, HOLDERS[hold], c), hold > 0, opening)
 
 
 class Template:
-    """Template tokens of a text: plain and template hash of each, whether it is a placeholder, and its surface."""
+    """Template tokens of a text: plain and template hash of each, whether it is a placeholder, whether a capital that opens a sentence, and its surface."""
 
-    def __init__(self, tokens: list[str], places: np.ndarray, plain: np.ndarray, template: np.ndarray, held: np.ndarray):
-        self.tokens, self.places, self.plain, self.template, self.held = tokens, places, plain, template, held
+    def __init__(self, tokens: list[str], places: np.ndarray, plain: np.ndarray, template: np.ndarray, held: np.ndarray, opening: np.ndarray):
+        self.tokens, self.places, self.plain, self.template, self.held, self.opening = tokens, places, plain, template, held, opening
+
+    def named(self) -> "Template":
+        """The other reading: capitals that open a sentence are names as well."""
+        if not self.opening.any():
+            return self
+        template = np.where(self.opening, HOLDERS[1], self.template)
+        return Template(self.tokens, self.places, self.plain, template, self.held | self.opening, self.opening)
 
     def __len__(self) -> int:
         return len(self.places)
@@ -130,7 +139,7 @@ def windows(t: Template, size: int) -> np.ndarray:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, at, total, size, h, slots): windows of every item; an item of fewer tokens than a window is one window."""
+    """(item_id, at, total, size, h, slots, named): windows of every item in both readings; an item of fewer tokens than a window is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
@@ -141,18 +150,22 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 size = min(WINDOW, len(t))
                 if not size:
                     continue
-                h = windows(t, size).view(np.int64).tolist()
-                out += [(item, i, len(h), size, x, t.slots(i, size)) for i, x in enumerate(h)]
-            cols = list(zip(*out)) or [[]] * 6
-            kinds = [b.column("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "at", "total", "size", "h", "slots"])
+                for named, r in ((False, t), (True, t.named())):
+                    h = windows(r, size).view(np.int64).tolist()
+                    out += [(item, i, len(h), size, x, r.slots(i, size), named) for i, x in enumerate(h)]
+            cols = list(zip(*out)) or [[]] * 7
+            kinds = [b.column("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "at", "total", "size", "h", "slots", "named"])
 
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, "item_id long, at int, total int, size int, h long, slots array<string>")
+    return rows.mapInArrow(run, "item_id long, at int, total int, size int, h long, slots array<string>, named boolean")
 
 
 def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(doc_id, key, at, h, slots): the windows of whole documents whose hash is one of those given."""
+    """(doc_id, key, at, h, slots, reading): the windows of whole documents whose hash is one of those given.
+
+    reading: named or not; null for a window that no capital opens, which is the same in both.
+    """
     held_hashes = rows.sparkSession.sparkContext.broadcast(sorted_hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,21 +174,29 @@ def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[in
             out = []
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
                 t = canon(text or "")
-                key = None
+                other, key = t.named(), None
+                openings = np.r_[0, np.cumsum(t.opening)]
                 for size in sizes:
                     h = windows(t, size)
                     if not len(h):
                         continue
+                    opened = openings[size:] > openings[:-size]
                     found = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-                    for i in found.tolist():
+                    hits = [(i, h[i], t, False if opened[i] else None) for i in found.tolist()]
+                    if other is not t:
+                        at = np.flatnonzero(opened)
+                        h = windows(other, size)[at]
+                        found = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                        hits += [(int(at[i]), h[i], other, True) for i in found.tolist()]
+                    for i, x, r, reading in hits:
                         if key is None:
                             key = int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
-                        out.append((doc, key, i, int(h[i].view(np.int64)), t.slots(i, size)))
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "key", "at", "h", "slots"])
+                        out.append((doc, key, i, int(x.view(np.int64)), r.slots(i, size), reading))
+            cols = list(zip(*out)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "key", "at", "h", "slots", "reading"])
 
-    return rows.mapInArrow(run, "doc_id long, key long, at int, h long, slots array<string>")
+    return rows.mapInArrow(run, "doc_id long, key long, at int, h long, slots array<string>, reading boolean")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,19 +228,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, found long, total int, coverage double, verbatim boolean")
-    known = items.select("item_id", F.col("at").alias("item_at"), "total", "h", F.col("slots").alias("item_slots"))
+    known = items.select("item_id", F.col("at").alias("item_at"), "total", "h", "named", F.col("slots").alias("item_slots"))
     if total <= BROADCAST_WINDOWS:
         known = F.broadcast(known)
-    pairs = hits.join(known, "h").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    # slots of both sides stand at the same places of the window; places become those of the item
+    pairs = hits.join(known, "h").where("reading is null or reading = named").withColumn("diagonal", F.col("at") - F.col("item_at"))
+    # slots of both sides stand at the same places of the window; places become those of the item.
+    # Windows that are compared as they stand have equal words, whichever of them are slots
     placed = F.zip_with(
         "item_slots",
-        "slots",
+        F.when(F.size("slots") == F.size("item_slots"), F.col("slots")).otherwise(F.col("item_slots")),
         lambda a, b: F.struct(F.substring_index(a, ":", 1).alias("k"), F.regexp_replace(a, "^[^:]*:", "").alias("own"), F.regexp_replace(b, "^[^:]*:", "").alias("got")),
     )
     aligned = (
-        pairs.select("doc_id", "key", "item_id", "total", "diagonal", "item_at", placed.alias("s"))
-        .groupBy("doc_id", "key", "item_id", "total", "diagonal")
+        pairs.select("doc_id", "key", "item_id", "total", "named", "diagonal", "item_at", placed.alias("s"))
+        .groupBy("doc_id", "key", "item_id", "total", "named", "diagonal")
         .agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.transform("s", lambda x: F.struct(x["own"], x["got"]))))).alias("values"))
     )
     mapped = F.size(F.array_distinct(F.transform("values", lambda x: x["own"]))) == F.size("values")

@@ -81,3 +81,21 @@ def test_windows_match_a_plain_search(spark):
     texts = {r.item_id: words(r.text) for r in items.collect()}
     want = {(d.doc_id, i) for d in docs.collect() for t in [words(d.text)] for i, x in texts.items() if x in t}
     assert {(r.doc_id, r.item_id) for r in D.contaminated(docs, items).collect()} == want
+
+
+def test_names_that_open_sentences(spark):
+    item = "Anna has 3 apples. Anna buys 5 more."
+    long = "Anna went to the old market with 3 friends. Anna bought them 5 apples and some bread. Anna paid 7 coins and kept the rest at home."
+    short = "How many apples does Anna have now"
+    to_boris = lambda t: t.replace("Anna", "Boris").replace("3", "4").replace("5", "6").replace("7", "9")
+    docs = [
+        (1, to_boris(item)),
+        (2, f"{FILLER}. {to_boris(long)} {FILLER}"),
+        (3, f"Q: {short.replace('Anna', 'Boris')}"),
+        (4, to_boris(item).replace("Boris buys", "Carla buys")),
+        (5, f"{FILLER}. {long}"),
+    ]
+    got, kept = flagged(spark, docs, [(1, item, ""), (2, long, ""), (3, short, "")])
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (5, 2)}
+    assert got[5, 2].verbatim and not got[2, 2].verbatim and got[2, 2].coverage == 1.0
+    assert kept == [4]
