@@ -1,14 +1,20 @@
 """Benchmark decontamination by template windows.
 
 Texts are turned into templates: numbers, names and units of measure become typed
-placeholders, all else is lower-cased words. Windows of WINDOW template tokens are
-hashed and joined with the windows of the benchmark items. Windows that lie on one
-diagonal (same distance between place in the document and in the item) are one
-alignment; it counts if its slots are consistent: what the item has in a slot maps to one
-value in the document throughout. A capital that opens a sentence may be a name or not: texts
-have two readings, one with these capitals as words and one with all capitals as names, and
-windows of one reading meet windows of the same. A document is contaminated by an item if consistent
-alignments cover enough of the item's windows, whatever the values in the slots.
+placeholders, all else is lower-cased words. Capitals in a row, at most LONGEST_NAME of them,
+are one name; longer runs are headings and stay words. A capital that opens a sentence may be
+a name or not: texts have two readings, one with these capitals as words and one with all
+capitals as names, and windows of one reading meet windows of the same.
+
+Windows of WINDOW template tokens are hashed and joined with the windows of the benchmark items.
+Windows that lie on one diagonal (same distance between place in the document and in the
+item) are one alignment. Windows with the item's own values in their slots always count.
+Of the others those count that agree with the alignment's mapping: each of the item's slots
+goes to the value that most windows give it. Mentions of a name are one slot; equal numbers are one
+slot only before the same word, so that 12 loaves and 12 cakes may part.
+
+A document is contaminated by an item if enough of the item's windows count, whatever the values
+in the slots. An item of under LEAST_TOKENS words is found in whole lines alone.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regdelta.llm.common import cut, python_tasks, table
@@ -27,12 +33,16 @@ from regdelta.llm.common import cut, python_tasks, table
 WINDOW = 8
 #: Words that a window needs besides placeholders; windows with fewer are hashed as they stand.
 LEAST_WORDS = 4
+#: Items of fewer words are compared with whole lines, as they stand.
+LEAST_TOKENS = 5
+#: Most capitals in a row that are read as one name.
+LONGEST_NAME = 4
 #: Share of an item's windows that must be found.
 COVERAGE = 0.5
 #: Most benchmark windows that are sent to the tasks at once; larger benchmarks go in blocks.
 BLOCK_WINDOWS = 1 << 21
-#: Most benchmark windows with their slots whose join is broadcast.
-BROADCAST_WINDOWS = 1 << 17
+#: Most benchmark windows with their slots, or rows to be dropped, whose join is broadcast.
+BROADCAST_ROWS = 1 << 17
 
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}'’]*|[.!?\n]|[%$€£°]")
 UNITS = frozenset(
@@ -42,9 +52,11 @@ UNITS = frozenset(
     "mph kph percent cent cents dollar dollars euro euros usd eur gbp degree degrees celsius fahrenheit watt watts volt volts "
     "% $ € £ °".split()
 )
-WORD, CAPITAL, NUMBER, UNIT, END = range(5)
+WORD, CAPITAL, NUMBER, UNIT, END, BREAK = range(6)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-HOLDERS = np.array([0, 0x6E616D65AAAA, 0x6E756DBBBB, 0x756E6974CCCC, 0], np.uint64)
+#: Factors of a name's tokens, by their place in it.
+POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(LONGEST_NAME)], np.uint64)
+HOLDERS = np.array([0, 0x6E616D65AAAA, 0x6E756DBBBB, 0x756E6974CCCC], np.uint64)
 
 
 class _Tokens(dict):
@@ -56,7 +68,7 @@ class _Tokens(dict):
     def __missing__(self, token: str) -> int:
         low = token.lower()
         if token in ".!?\n":
-            kind = END
+            kind = BREAK if token == "\n" else END
         elif token[0].isnumeric():
             kind = NUMBER
         elif low in UNITS:
@@ -76,52 +88,101 @@ class Canon:
     def __init__(self, most: int = 1 << 18):
         self.most, self.known = most, _Tokens()
 
-    def __call__(self, text: str) -> "Template":
+    def __call__(self, text: str) -> "Text":
         if len(self.known) > self.most:
             self.known = _Tokens()
         tokens = TOKEN.findall(text)
         at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        kind = self.known.kind[at]
-        real = np.flatnonzero(kind != END)
-        k, c = kind[real], self.known.code[at[real]]
-        if not len(k):
-            return Template(tokens, real, c, c, k > 0, k > 0)
-        first = np.r_[True, kind[real[1:] - 1] == END]
-        # a capital opens a sentence or is a name; a unit stands by its number
-        number, name, opening = k == NUMBER, (k == CAPITAL) & ~first, (k == CAPITAL) & first
-        if not number.any() and not name.any():
-            return Template(tokens, real, c, c, name, opening)
-        beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
-        hold = np.where(name, 1, np.where(number, 2, np.where((k == UNIT) & beside, 3, 0)))
-        return Template(tokens, real, c, np.where(hold > 0, HOLDERS[hold], c), hold > 0, opening)
-
+        return Text(tokens, self.known.code[at], self.known.kind[at])
 
-class Template:
-    """Template tokens of a text: plain and template hash of each, whether it is a placeholder, whether a capital that opens a sentence, and its surface."""
 
-    def __init__(self, tokens: list[str], places: np.ndarray, plain: np.ndarray, template: np.ndarray, held: np.ndarray, opening: np.ndarray):
-        self.tokens, self.places, self.plain, self.template, self.held, self.opening = tokens, places, plain, template, held, opening
+class Text:
+    """The tokens of a text, marks of sentence and line ends apart, in two readings; they are one object where they do not differ."""
 
-    def named(self) -> "Template":
-        """The other reading: capitals that open a sentence are names as well."""
-        if not self.opening.any():
-            return self
-        template = np.where(self.opening, HOLDERS[1], self.template)
-        return Template(self.tokens, self.places, self.plain, template, self.held | self.opening, self.opening)
+    def __init__(self, tokens: list[str], code: np.ndarray, kind: np.ndarray):
+        self.tokens = tokens
+        self.places = np.flatnonzero(kind < END)
+        self.code, self.kind = code[self.places], kind[self.places]
+        self.first = kind[self.places - 1] >= END
+        self.lines = np.cumsum(kind == BREAK)[self.places]
+        if len(self.places):
+            self.first[0] = True
+        opening = (self.kind == CAPITAL) & self.first
+        self.plain = self.read((self.kind == CAPITAL) & ~self.first)
+        self.named = self.read(self.kind == CAPITAL) if opening.any() else self.plain
 
     def __len__(self) -> int:
         return len(self.places)
 
-    def slots(self, start: int, size: int) -> list[str]:
-        """place:value of the placeholders of a window."""
-        return [f"{k}:{self.tokens[self.places[start + k]].lower()}" for k in range(size) if self.held[start + k]]
+    def read(self, name: np.ndarray) -> "Template":
+        """The reading in which these tokens are names or parts of names."""
+        n, number = len(self), self.kind == NUMBER
+        if not n or (not name.any() and not number.any()):
+            return Template(self, np.arange(n), self.code, self.code, np.zeros(n, bool))
+        goes_on = np.r_[False, name[1:] & name[:-1] & ~self.first[1:]]
+        if goes_on.any():
+            heads = np.flatnonzero(~goes_on)
+            lengths = np.diff(np.r_[heads, n])
+            heading = np.repeat(lengths > LONGEST_NAME, lengths)
+            name, goes_on = name & ~heading, goes_on & ~heading
+        # a unit stands by its number
+        beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
+        hold = np.where(name, 1, np.where(number, 2, np.where((self.kind == UNIT) & beside, 3, 0)))
+        code, at = self.code, np.arange(n)
+        if goes_on.any():
+            at = np.flatnonzero(~goes_on)
+            code = np.add.reduceat(code * POWERS[np.arange(n) - np.repeat(at, np.diff(np.r_[at, n]))], at)
+            hold = hold[at]
+        return Template(self, at, code, np.where(hold > 0, HOLDERS[hold], code), hold > 0)
+
+    def short_lines(self) -> Iterator[tuple[int, int]]:
+        """(place, hash) of the lines of under LEAST_TOKENS words."""
+        if not len(self):
+            return
+        starts = np.flatnonzero(np.r_[True, self.lines[1:] != self.lines[:-1]])
+        lengths = np.diff(np.r_[starts, len(self)])
+        for size in range(1, LEAST_TOKENS):
+            own = starts[lengths == size]
+            h = np.full(len(own), size + 2000, np.uint64)
+            for k in range(size):
+                h = h * FACTOR + self.code[own + k]
+            yield from zip(own.tolist(), h.view(np.int64).tolist())
+
+
+class Template:
+    """Template tokens of one reading: where each begins in the text, its plain and template hash, whether it is a placeholder."""
 
+    def __init__(self, text: Text, at: np.ndarray, plain: np.ndarray, template: np.ndarray, held: np.ndarray):
+        self.text, self.at, self.plain, self.template, self.held = text, at, plain, template, held
 
-def windows(t: Template, size: int) -> np.ndarray:
-    """Hash of the window that starts at each token."""
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def value(self, i: int) -> str:
+        start = self.at[i]
+        end = self.at[i + 1] if i + 1 < len(self.at) else len(self.text)
+        return " ".join(self.text.tokens[p] for p in self.text.places[start:end]).lower()
+
+    def values(self, start: int, size: int) -> list[str]:
+        """Values of the placeholders of a window."""
+        return [self.value(i) for i in range(start, start + size) if self.held[i]]
+
+    def slots(self, start: int, size: int) -> list[dict]:
+        """Values of a window's placeholders with the slot each belongs to: names and units by themselves, numbers by the next word too."""
+        out = []
+        for i in range(start, start + size):
+            if self.held[i]:
+                own = self.value(i)
+                number = self.text.kind[self.at[i]] == NUMBER
+                out.append({"slot": f"{own} {self.value(i + 1)}" if number and i + 1 < len(self) else own, "own": own})
+        return out
+
+
+def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the window that starts at each token, and whether it is compared as it stands."""
     n = len(t) - size + 1
     if n < 1:
-        return np.array([], np.uint64)
+        return np.array([], np.uint64), np.array([], bool)
 
     def rolled(codes: np.ndarray, start: int) -> np.ndarray:
         h = np.full(n, start, np.uint64)
@@ -132,91 +193,135 @@ def windows(t: Template, size: int) -> np.ndarray:
 
     canon = rolled(t.template, size + 1000)
     if not t.held.any():
-        return canon
+        return canon, np.zeros(n, bool)
     holders = np.r_[0, np.cumsum(t.held)]
-    weak = size - (holders[size:] - holders[:-size]) < min(LEAST_WORDS, size)
-    return np.where(weak, rolled(t.plain, size), canon) if weak.any() else canon
+    stands = size - (holders[size:] - holders[:-size]) < min(LEAST_WORDS, size)
+    return (np.where(stands, rolled(t.plain, size), canon) if stands.any() else canon), stands
+
+
+ITEM_ROW = "item string, item_key long, at int, place int, total int, size int, h long, slots array<struct<slot:string,own:string>>, named boolean"
+HIT_ROW = "doc string, key long, at int, h long, got array<string>, reading boolean"
+ARROW = {
+    "string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()),
+    "array<struct<slot:string,own:string>>": pa.list_(pa.struct([("slot", pa.string()), ("own", pa.string())])),
+}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.strip().split(" ", 1) for f in regex.split(r",(?![^<]*>)", schema)]
+    columns = list(zip(*rows)) or [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _key(text: str) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
+
+
+def _name(id_col: str) -> Column:
+    """An id as text, empty for a null one: a key that is never null."""
+    return F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit(""))
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item_id, at, total, size, h, slots, named): windows of every item in both readings; an item of fewer tokens than a window is one window."""
+    """ITEM_ROW: windows of every item in both readings, place being the word they begin with and total the number of places.
+
+    An item of fewer template tokens than a window is one window; one of under LEAST_TOKENS words is one line (size 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon = Canon()
         for b in batches:
             out = []
-            for item, text in zip(b.column("item_id").to_pylist(), b.column("body").to_pylist()):
-                t = canon(text or "")
-                size = min(WINDOW, len(t))
-                if not size:
+            for item, body in zip(b.column("item").to_pylist(), b.column("body").to_pylist()):
+                text = canon(body or "")
+                if not len(text):
+                    continue
+                key = _key(body)
+                if len(text) < LEAST_TOKENS:
+                    text.lines[:] = 0
+                    out += [(item, key, 0, 0, 1, 0, h, [], False) for _, h in text.short_lines()]
                     continue
-                for named, r in ((False, t), (True, t.named())):
-                    h = windows(r, size).view(np.int64).tolist()
-                    out += [(item, i, len(h), size, x, r.slots(i, size), named) for i, x in enumerate(h)]
-            cols = list(zip(*out)) or [[]] * 7
-            kinds = [b.column("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "at", "total", "size", "h", "slots", "named"])
+                own = []
+                for named, t in ((False, text.plain), (True, text.named)):
+                    size = min(WINDOW, len(t))
+                    h, stands = windows(t, size)
+                    own += [(i, int(t.at[i]), size, x, [] if stands[i] else t.slots(i, size), named) for i, x in enumerate(h.view(np.int64).tolist())]
+                total = len({place for _, place, *_ in own})
+                out += [(item, key, i, place, total, *rest) for i, place, *rest in own]
+            yield _batch(out, ITEM_ROW)
 
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, "item_id long, at int, total int, size int, h long, slots array<string>, named boolean")
+    return benchmark.select(_name(id_col).alias("item"), F.col(text_col).alias("body")).mapInArrow(run, ITEM_ROW)
 
 
 def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(doc_id, key, at, h, slots, reading): the windows of whole documents whose hash is one of those given.
+    """HIT_ROW: the windows of whole documents whose hash is one of those given, and their short lines for size 0.
 
-    reading: named or not; null for a window that no capital opens, which is the same in both.
+    reading: named or not; null where the text has one reading for both.
     """
     held_hashes = rows.sparkSession.sparkContext.broadcast(sorted_hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, known = Canon(), held_hashes.value
+        lookup = lambda h: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
         for b in batches:
             out = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
-                t = canon(text or "")
-                other, key = t.named(), None
-                openings = np.r_[0, np.cumsum(t.opening)]
+            for doc, body in zip(b.column("doc").to_pylist(), b.column("body").to_pylist()):
+                text, hits = canon(body or ""), []
+                both = text.named is text.plain
                 for size in sizes:
-                    h = windows(t, size)
-                    if not len(h):
+                    if not size:
+                        lines = list(text.short_lines())
+                        found = np.flatnonzero(lookup(np.array([h for _, h in lines], np.int64).view(np.uint64)))
+                        hits += [(*lines[i], [], None) for i in found.tolist()]
                         continue
-                    opened = openings[size:] > openings[:-size]
-                    found = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-                    hits = [(i, h[i], t, False if opened[i] else None) for i in found.tolist()]
-                    if other is not t:
-                        at = np.flatnonzero(opened)
-                        h = windows(other, size)[at]
-                        found = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
-                        hits += [(int(at[i]), h[i], other, True) for i in found.tolist()]
-                    for i, x, r, reading in hits:
-                        if key is None:
-                            key = int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
-                        out.append((doc, key, i, int(x.view(np.int64)), r.slots(i, size), reading))
-            cols = list(zip(*out)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "key", "at", "h", "slots", "reading"])
-
-    return rows.mapInArrow(run, "doc_id long, key long, at int, h long, slots array<string>, reading boolean")
+                    for t, reading in [(text.plain, None)] if both else [(text.plain, False), (text.named, True)]:
+                        h, stands = windows(t, size)
+                        found = np.flatnonzero(lookup(h))
+                        hits += [(i, int(h[i].view(np.int64)), [] if stands[i] else t.values(i, size), reading) for i in found.tolist()]
+                if hits:
+                    key = _key(body)
+                    out += [(doc, key, *x) for x in hits]
+            yield _batch(out, HIT_ROW)
+
+    return rows.mapInArrow(run, HIT_ROW)
+
+
+def _with_prefixes(items: DataFrame, coverage: float) -> DataFrame:
+    """Adds rare: whether the window is at one of the places of its item that the fewest other items share.
+
+    A document that holds `need` of an item's `total` places holds one of any total - need + 1
+    of them; these are the rarest, so that what thousands of items share brings up none of them.
+    """
+    shared = items.groupBy("h").agg(F.count("*").alias("n"))
+    places = items.join(shared, "h").groupBy("item", "item_key", "total", "place").agg(F.max("n").alias("n"))
+    need = F.greatest(F.lit(1), F.ceil(F.col("total") * F.lit(coverage) - F.lit(1e-9)))
+    rank = F.row_number().over(Window.partitionBy("item", "item_key").orderBy("n", "place"))
+    flags = places.select("item", "item_key", "place", (rank <= F.col("total") - need + 1).alias("rare"))
+    return items.join(flags, ["item", "item_key", "place"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, item_id, found, total, coverage, verbatim: one row per contaminated document text and item.
 
-    found of the item's `total` windows lie in consistent alignments. verbatim: all slots
+    found of the item's `total` places begin a window that counts. verbatim: enough of them
     have the item's own values; otherwise the question was re-parameterised. key is a hash
     of the text: rows that repeat id and text give one row, a repeated id with another
-    text a row of its own. Null and empty texts and items have no windows and match nothing.
+    text a row of its own; of an item id with several texts the best covered counts. Null and
+    empty texts and items, and items without a word, have no windows and match nothing. An item
+    of under LEAST_TOKENS words matches lines that hold these words alone.
     Null ids are kept. An empty input or benchmark gives an empty result. Texts are read
     whole. Other columns are not read.
 
     Hashes of the benchmark's windows go to the tasks in blocks of at most BLOCK_WINDOWS;
-    what is shuffled is the windows that hit, grouped by document and item.
+    what is shuffled is the windows that hit, grouped by document and item. Items are
+    brought up by their rarest windows alone, then compared in all.
     """
     spark = docs.sparkSession
     python_tasks(spark)
-    items = cut(item_windows(benchmark), "items")
+    items = cut(_with_prefixes(cut(item_windows(benchmark), "windows").distinct(), coverage), "items")
     total = items.count()
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
+    rows = docs.select(_name(id_col).alias("doc"), F.col(text_col).alias("body"))
     hits = None
     blocks = max(1, -(-total // BLOCK_WINDOWS))
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
@@ -228,39 +333,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
             hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return spark.createDataFrame([], "doc_id long, key long, item_id long, found long, total int, coverage double, verbatim boolean")
-    known = items.select("item_id", F.col("at").alias("item_at"), "total", "h", "named", F.col("slots").alias("item_slots"))
-    if total <= BROADCAST_WINDOWS:
-        known = F.broadcast(known)
-    pairs = hits.join(known, "h").where("reading is null or reading = named").withColumn("diagonal", F.col("at") - F.col("item_at"))
-    # slots of both sides stand at the same places of the window; places become those of the item.
-    # Windows that are compared as they stand have equal words, whichever of them are slots
-    placed = F.zip_with(
-        "item_slots",
-        F.when(F.size("slots") == F.size("item_slots"), F.col("slots")).otherwise(F.col("item_slots")),
-        lambda a, b: F.struct(F.substring_index(a, ":", 1).alias("k"), F.regexp_replace(a, "^[^:]*:", "").alias("own"), F.regexp_replace(b, "^[^:]*:", "").alias("got")),
-    )
-    aligned = (
-        pairs.select("doc_id", "key", "item_id", "total", "named", "diagonal", "item_at", placed.alias("s"))
-        .groupBy("doc_id", "key", "item_id", "total", "named", "diagonal")
-        .agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(F.transform("s", lambda x: F.struct(x["own"], x["got"]))))).alias("values"))
-    )
-    mapped = F.size(F.array_distinct(F.transform("values", lambda x: x["own"]))) == F.size("values")
-    same = F.forall("values", lambda x: x["own"] == x["got"])
-    each = aligned.where(mapped).select("doc_id", "key", "item_id", "total", same.alias("same"), F.explode("places").alias("place"))
-    covered = each.groupBy("doc_id", "key", "item_id", "total").agg(
+    hits = cut(hits, "hits")
+    known = items.select("item", "item_key", F.col("at").alias("item_at"), "place", "total", "h", "named", "slots", "rare")
+    sized = F.broadcast if total <= BROADCAST_ROWS else lambda x: x
+    same_reading = "reading is null or reading = named"
+    brought = hits.select("doc", "key", "h", "reading").join(sized(known.where("rare").select("h", "named", "item", "item_key")), "h").where(same_reading)
+    candidates = cut(brought.select("doc", "key", "item", "item_key").distinct(), "candidates")
+    pairs = hits.join(candidates, ["doc", "key"]).join(sized(known.drop("rare")), ["item", "item_key", "h"]).where(same_reading)
+
+    # slots of both sides stand in one order. Windows that are compared as they stand have none
+    one = ["doc", "key", "item", "item_key", "total", "named", "diagonal"]
+    filled = F.zip_with("slots", "got", lambda a, b: F.struct(a["slot"].alias("slot"), a["own"].alias("own"), b.alias("got")))
+    placed = pairs.withColumn("diagonal", F.col("at") - F.col("item_at")).withColumn("s", filled)
+    aligned = cut(placed.groupBy(*one, "place").agg(F.first("s").alias("s")), "aligned")
+    votes = aligned.select(*one, F.explode(F.array_distinct("s")).alias("v")).where("v.slot is not null").groupBy(*one, "v.slot", "v.own", "v.got").agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(*one, "slot").agg(F.max_by("got", F.struct("n", F.col("own") == F.col("got"), "got")).alias("got"))
+    mapping = chosen.groupBy(*one).agg(F.map_from_entries(F.collect_list(F.struct("slot", "got"))).alias("m"))
+    same = F.coalesce(F.forall("s", lambda x: x["own"] == x["got"]), F.lit(False)).alias("same")
+    agrees = F.coalesce(F.forall("s", lambda x: F.col("m")[x["slot"]] == x["got"]), F.lit(False))
+    counted = aligned.join(mapping, one, "left").select(*one, "place", same, agrees.alias("agrees")).where("same or agrees")
+    covered = counted.groupBy("doc", "key", "item", "item_key", "total").agg(
         F.countDistinct("place").alias("found"), F.countDistinct(F.when(F.col("same"), F.col("place"))).alias("exact")
     )
-    share = F.col("found") / F.col("total")
-    return covered.where(share >= coverage).select(
-        "doc_id", "key", "item_id", "found", "total", share.alias("coverage"), (F.col("exact") / F.col("total") >= coverage).alias("verbatim")
-    )
+    best = covered.withColumn("coverage", F.col("found") / F.col("total")).where(F.col("coverage") >= coverage)
+    best = best.groupBy("doc", "key", "item").agg(F.max_by(F.struct("found", "exact", "total", "coverage"), F.struct("coverage", "exact", "total")).alias("b"))
+    return best.select(
+        F.nullif("doc", F.lit("")).cast("long").alias("doc_id"), "key", F.nullif("item", F.lit("")).cast("long").alias("item_id"),
+        "b.found", "b.total", "b.coverage", (F.col("b.exact") / F.col("b.total") >= coverage).alias("verbatim"),
+    )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that no item contaminates, all their columns. A row is known by its id and a hash of its text."""
-    python_tasks(docs.sparkSession)
+    """The rows of docs that no item contaminates, all their columns. A row is known by its id and a hash of its text.
+
+    What goes is counted first: up to BROADCAST_ROWS rows of it are sent to the texts, more are joined as Spark sees fit.
+    """
+    bad = cut(contaminated(docs, benchmark, coverage, id_col, text_col).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct(), "bad")
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)
     # the key is what Spark's xxhash64 gives for the text
-    bad = contaminated(docs, benchmark, coverage, id_col, text_col).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_key")).distinct()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_bad")) & (key == F.col("_key")), "left_anti")
 

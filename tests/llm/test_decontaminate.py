@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 
 from regdelta.llm import decontaminate as D
@@ -18,7 +21,7 @@ def flagged(spark, docs, items):
 
 def test_verbatim_and_reparameterised(spark):
     other = QUESTION.replace("Anna", "Boris").replace("12", "40").replace("3 dollars", "7 euros").replace("5 loaves", "9 loaves")
-    torn = QUESTION.replace("Anna sells", "Anna sells").replace("does Anna", "does Carla")
+    torn = QUESTION.replace("does Anna", "does Carla")
     docs = [
         (1, f"{FILLER}.\n{QUESTION}\n{FILLER}"),
         (2, f"{FILLER}.\n{other}\n{FILLER}"),
@@ -36,25 +39,88 @@ def test_verbatim_and_reparameterised(spark):
     ]
     items = [(1, QUESTION, "a"), (2, "short one here", "b"), (3, None, "c"), (4, "", "d"), (1, QUESTION, "a")]
     got, kept = flagged(spark, docs, items)
-    assert {k for k in got} == {(1, 1), (2, 1), (None, 1), (6, 1), (7, 1)}
+    assert {k for k in got} == {(1, 1), (2, 1), (None, 1), (6, 1), (7, 1), (9, 1)}
     assert got[1, 1].verbatim and not got[2, 1].verbatim and got[1, 1].coverage == 1.0
-    assert kept == sorted([3, 4, 5, 6, 8, 9, 10], key=str)
+    # windows without the name that was changed are the item's own
+    assert got[9, 1].verbatim
+    assert kept == sorted([3, 4, 5, 6, 8, 10], key=str)
 
 
 def test_short_items(spark):
-    got, _ = flagged(spark, [(1, "well short one here it is"), (2, "short one there")], [(2, "short one here", "b")])
-    assert set(got) == {(1, 2)}
+    """Items of a few words match lines of these words alone; those of five words and more are windows."""
+    docs = [
+        (1, "a long and ordinary text that says yes once"),
+        (2, "Yes!"),
+        (3, "some line\n yes \nanother line"),
+        (4, "well it is not so short one here it is"),
+        (5, "two words"),
+        (6, "two words more"),
+        (7, "NO"),
+    ]
+    got, kept = flagged(spark, docs, [(1, "yes", ""), (2, "it is not so short one", ""), (3, "Two words", ""), (4, "?!", ""), (5, "N.O.", "")])
+    assert set(got) == {(2, 1), (3, 1), (4, 2), (5, 3)}
+    assert kept == [1, 6, 7]
 
 
 def test_inconsistent_slots_do_not_count(spark):
-    """The item names one person throughout, the text two: only the windows of one of them could be the question."""
-    item = "then our neighbour Anna gave the small red ball to her friend and later our neighbour Anna took the small red ball from her friend"
-    right = item.replace("Anna", "Berta")
-    wrong = item.replace("neighbour Anna gave", "neighbour Berta gave").replace("neighbour Anna took", "neighbour Dora took")
-    got, _ = flagged(spark, [(1, f"so {right}"), (2, f"so {wrong}")], [(1, f"so {item}", "")])
+    """Of mentions that the text gives to several names only those of the most frequent one are the question's; a window with two of them never is."""
+    item = "Monday the neighbour Anna gave the red ball to Anna and later that day our Anna took the small ball from Anna again"
+    names = iter(["Berta", "Carla", "Dora", "Emma"])
+    torn = "".join(next(names) if part == "Anna" else part for part in re.split("(Anna)", item))
+    got, _ = flagged(spark, [(1, f"so {item}".replace("Anna", "Berta")), (2, f"so {torn}")], [(1, f"so {item}", "")])
     assert set(got) == {(1, 1)}
 
 
+def test_changes_of_single_slots(spark):
+    one = "Every morning the baker called Anna sells 12 loaves of bread and her cousin sells 12 cakes at the market. How much does Anna earn when nothing is left on the shelf at noon?"
+    docs = [
+        (1, one.replace("does Anna", "does Carla")),
+        (2, one.replace("12 loaves", "30 loaves").replace("12 cakes", "9 cakes")),
+        (3, one.replace("Anna", "Mary Ann")),
+        (4, f"{FILLER}. {one} {FILLER}".replace("12 loaves", "30 loaves").replace("Anna", "Mary Ann Lee")),
+        (5, one.upper()),
+    ]
+    got, _ = flagged(spark, docs, [(1, one, "")])
+    assert {d for d, _ in got} >= {1, 2, 3, 4}
+    assert got[1, 1].verbatim and got[2, 1].coverage == 1.0 and got[3, 1].coverage == 1.0
+
+
+def test_random_reparameterisations(spark):
+    """New names and numbers, the same throughout: nine in ten are found; texts of the same words in another order are not."""
+    rng = random.Random(5)
+    words = "stone river bread every morning after lunch some children carry small boxes along quiet street before dinner while others wait near gate with heavy bags because rain falls".split()
+    people = "Anna Boris Carla Dmitri Emma Farid Greta Hugo Ines Jonas".split()
+
+    def question(rng):
+        out = []
+        for i in range(rng.randint(20, 50)):
+            out.append("{p%d}" % rng.randrange(2) if rng.random() < 0.08 else "{n%d}" % rng.randrange(3) if rng.random() < 0.06 else rng.choice(words))
+            if rng.random() < 0.06:
+                out[-1] += "."
+        return " ".join(out)
+
+    def fill(t, rng):
+        names = rng.sample(people, 2)
+        return t.format(p0=names[0], p1=f"{names[1]} {rng.choice(people)}" if rng.random() < 0.3 else names[1], **{f"n{k}": rng.randint(2, 900) for k in range(3)})
+
+    made = [question(rng) for _ in range(60)]
+    items = [(i, fill(t, rng), "") for i, t in enumerate(made)]
+    docs = [(i, f"{FILLER}. {fill(t, rng)}. {FILLER}") for i, t in enumerate(made)]
+    docs += [(1000 + i, " ".join(rng.sample(t.split(), len(t.split())))) for i, (_, t, _) in enumerate(items)]
+    got, _ = flagged(spark, docs, items)
+    assert len([i for i in range(60) if (i, i) in got]) >= 54
+    assert not [k for k in got if k[0] >= 1000]
+
+
+def test_windows_that_many_items_share(spark):
+    """A passage that all items share brings up none of them by itself."""
+    shared = "which of the following statements about the text above is right and why do you think so"
+    items = [(i, f"{shared} {' '.join(f'{w}{chr(97 + i)}' for w in 'alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi rho pi tau phi chi psi'.split())}", "") for i in range(20)]
+    docs = [(1, shared), (2, items[3][1]), (3, f"{items[4][1][:-20]} {items[5][1]}")]
+    got, _ = flagged(spark, docs, items)
+    assert set(got) == {(2, 3), (3, 4), (3, 5)}
+
+
 @pytest.mark.parametrize("block,broadcast", [(7, 1 << 17), (1 << 21, 0)])
 def test_blocks_and_shuffled_join_give_the_same(spark, monkeypatch, block, broadcast):
     marks = {i: chr(97 + i) * 3 for i in range(12)}
@@ -62,7 +128,7 @@ def test_blocks_and_shuffled_join_give_the_same(spark, monkeypatch, block, broad
     docs = [(100 + i, f"before it. {t} after") for i, t, _ in items] + [(1, FILLER)]
     want = {(100 + i, i) for i in range(12)}
     monkeypatch.setattr(D, "BLOCK_WINDOWS", block)
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
     assert set(flagged(spark, docs, items)[0]) == want
 
 
