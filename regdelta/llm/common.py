@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from regdelta.shipping import ship
 from regdelta.storage import cut
 
-__all__ = ["cut", "fold", "hash_edge", "heavy_keys", "labelled_ids", "least_count", "python_tasks", "table"]
+__all__ = ["cut", "fold", "hash_edge", "heavy_keys", "labelled_ids", "least_count", "leave_out", "python_tasks", "table"]
+
+#: Most rows that are sent to the texts to tell which of them go, about 80 bytes each.
+BROADCAST_GOING = 1 << 20
 
 #: Bounds of one Arrow batch. Texts can be long, so it is the bytes that count.
 BATCH_ROWS = 10_000
@@ -46,6 +49,23 @@ def least_count(counted: DataFrame, most: int) -> int:
     return int(fit.iloc[-1]) if len(fit) else int(by_count["n"].iloc[0]) + 1
 
 
+def leave_out(docs: DataFrame, going: DataFrame, ties: DataFrame, same) -> DataFrame:
+    """docs without the rows that `going` names, and one row of those that a row of `ties` names.
+
+    same: the condition that a row of docs is one that a row of going or ties names. Both are
+    written and counted: up to BROADCAST_GOING rows of them go to the texts, which then stay where
+    they are; more are joined as Spark sees fit. Rows that tie are aggregated before they move.
+    """
+    going, ties = cut(going, "going"), cut(ties, "ties")
+    sized = lambda x: F.broadcast(x) if x.count() <= BROADCAST_GOING else x
+    left = docs.join(sized(going), same, "left_anti")
+    if ties.isEmpty():
+        return left
+    ties = sized(ties)
+    one = left.join(ties, same).groupBy(*ties.columns).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return left.join(ties, same, "left_anti").unionByName(one.select("_row.*"))
+
+
 def hash_edge(rows: int, most: int) -> int:
     """xxhash64 values up to this one are about `most` of so many rows: the same ones on every run."""
     return 2**63 - 1 if rows <= most else int(-(2**63) + most / rows * (2**64 - 1))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, heavy_keys, python_tasks, table
+from regdelta.llm.common import cut, heavy_keys, leave_out, python_tasks, table
 
 #: Fingerprints that one merged block holds on average; sets the number of quotient bits.
 BLOCK_FINGERPRINTS = 1 << 16
@@ -161,18 +161,14 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The rows of docs that stay, all their columns; of rows that tie in id and text, one.
 
     The decisions are narrow (an id and a digest), and the rows they concern are found by
-    joining on both, so a repeated id with another text is decided by its own text.
+    both, so a repeated id with another text is decided by its own text.
     """
-    verdicts = exact_duplicates(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"), F.col("group_size").alias("_size")
-    )
-    verdicts = verdicts.groupBy("_keep", "_sha").agg(F.max("_size").alias("_size"), F.count("*").alias("_ties"))
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (sha == F.col("_sha"))
-    rows = docs.join(verdicts, on, "inner")
-    single = rows.where("_ties = 1").select(*docs.columns)
-    tied = rows.where("_ties > 1").groupBy("_sha").agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*")
-    return single.unionByName(tied)
+    verdicts = cut(exact_duplicates(docs, id_col, text_col), "verdicts")
+    key = [F.col("doc_id").alias("_leave_id"), F.unhex("text_sha256").alias("_leave_sha")]
+    going = verdicts.where("not kept").select(*key).distinct()
+    ties = verdicts.where("kept and group_size > 1").groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    sha = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    return leave_out(docs, going, ties, F.col(id_col).cast("long").eqNullSafe(F.col("_leave_id")) & (sha == F.col("_leave_sha")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

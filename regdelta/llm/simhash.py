@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, python_tasks, table
+from regdelta.llm.common import cut, leave_out, python_tasks, table
 from regdelta.llm.components import components
 
 BUDGET = 3
@@ -281,14 +281,13 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     id that stands on texts of several components is decided in each of them.
     """
     marks = _members(cut(fingerprints(docs, id_col, text_col, keyed=True), "simhash"))
-    alike = marks.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    alike = cut(marks.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("n")), "alike")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "n")).alias("r")
-    keep = alike.groupBy("root").agg(first).select(F.col("r.doc_id").alias("_keep"), F.col("r.text_key").alias("_key"), F.col("r.n").alias("_n"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (text_key(text_col) == F.col("_key"))
-    rows = docs.join(keep, on, "inner")
-    single = rows.where("_n = 1").select(*docs.columns)
-    tied = rows.where("_n > 1").groupBy("_keep", "_key").agg(F.first(F.struct(*docs.columns)).alias("r"))
-    return single.unionByName(tied.select("r.*"))
+    keep = cut(alike.groupBy("root").agg(first).select(F.col("r.doc_id").alias("_keep"), F.col("r.text_key").alias("_kept"), F.col("r.n").alias("_n")), "keep")
+    going = alike.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("text_key") == F.col("_kept")), "left_anti")
+    key = ["_leave_id", "_leave_key"]
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_leave_id")) & (text_key(text_col) == F.col("_leave_key"))
+    return leave_out(docs, going.select("doc_id", "text_key").toDF(*key), keep.where("_n > 1").select("_keep", "_kept").toDF(*key), same)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

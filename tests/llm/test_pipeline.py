@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline as P
-from regdelta.llm import bpe, decontaminate, quality, simhash
+from regdelta.llm import bpe, common, decontaminate, quality, simhash
+from regdelta.llm.exact_dedup import without_copies
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,6 +49,10 @@ def test_pipeline_against_plain_stages(spark):
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label string, key string"
 
 
+#: Ids of the rows below that a stage keeps.
+STAY = {"exact_dedup": [2, 3, 4, None], "near_dedup": [1, 3, 4, None], "decontaminate": [1, 2, 3, 3, 4, None]}
+
+
 @pytest.mark.parametrize("name,stage", P.STAGES)
 def test_stages_take_odd_rows_and_empty_tables(spark, name, stage):
     rows = [
@@ -63,3 +68,19 @@ def test_stages_take_odd_rows_and_empty_tables(spark, name, stage):
         assert out.count() <= docs.count()
         if name != P.STAGES[-1][0]:
             assert out.columns == docs.columns
+        if name in STAY and not docs.isEmpty():
+            assert sorted((r.doc_id for r in out.collect()), key=str) == STAY[name]
+
+
+def test_rows_that_tie_and_more_rows_than_are_broadcast(spark, monkeypatch):
+    """Null ids, an id on two texts and rows that repeat, with the rows that go joined by Spark."""
+    monkeypatch.setattr(common, "BROADCAST_GOING", 0)
+    a, b = "one two three four five six seven eight", "quite another line of words that shares nothing with it"
+    rows = [(None, a), (None, a), (None, b), (5, a), (5, b), (5, b), (6, b), (7, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y") for i, t in rows], SCHEMA)
+    exact = [(r.doc_id, r.text) for r in without_copies(docs).collect()]
+    assert sorted(exact, key=str) == [(5, a), (7, b)]
+    near = [(r.doc_id, r.text) for r in simhash.without_near_copies(docs).collect()]
+    assert sorted(near, key=str) == [(5, a), (5, b)]
+    nulls = [(r.doc_id, r.text) for r in simhash.without_near_copies(docs.where("doc_id is null")).collect()]
+    assert sorted(nulls, key=str) == [(None, a), (None, b)]
