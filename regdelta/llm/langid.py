@@ -7,10 +7,10 @@ many different left contexts a gram was seen.
 
 The model: for each order one sorted array of 64-bit gram hashes, common to all languages, with the
 interpolated log probability in each language beside it; and one of context hashes
-with back-off weights. It is broadcast while no order has more than MAX_GRAMS rows. A
-larger model stays in Spark as tables by gram, and only the probabilities of the most frequent
-four-grams are broadcast; four-grams of a text that are not among them are joined to the tables.
-Both ways give the same model.
+with back-off weights. It is broadcast while no order has more than MAX_GRAMS rows, nor its
+arrays more than CELLS * MAX_GRAMS cells. A larger model stays in Spark as tables by gram, and
+only the probabilities of the most frequent four-grams, within the same cells, are broadcast;
+four-grams of a text that are not among them are joined to the tables. Both ways give the same model.
 
 Scoring: binary search of a text's four-grams, sums by text, and the language of the
 lowest cross-entropy a symbol. A text whose cross-entropy is above what nearly all
@@ -29,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, fold, least_count, python_tasks, table
+from regdelta.llm.common import cut, fold, hash_edge, least_count, python_tasks, table
 
 ORDER = 4
-#: Most (language, gram) rows of one order in a model that is broadcast whole; most four-grams that are broadcast of a larger one.
+#: Most (language, gram) rows of one order in a model that is broadcast whole.
 MAX_GRAMS = 1 << 20
+#: Arrays that are broadcast have a cell for each gram and language: most cells are so many times MAX_GRAMS, however many the languages.
+CELLS = 4
 #: Symbols that are worked on at once.
 SYMBOLS = 1 << 20
 #: About so many texts calibrate the scores and the rejection; they are not counted.
@@ -327,10 +329,11 @@ def train(learned: DataFrame) -> Models | None:
     code = {x: i for i, x in enumerate(langs)}
     size = orders[1].select("gram").distinct().count() + 1
     models.floor = np.full(len(langs), -np.log(size))
-    if max(orders[k].count() for k in orders) > MAX_GRAMS:
+    grams, wide = zip(*[orders[k].agg(F.count("*"), F.countDistinct("gram")).first() for k in orders])
+    if max(grams) > MAX_GRAMS or max(wide) * len(langs) > CELLS * MAX_GRAMS:
         models.tables = _tables(orders, langs, size)
         counted = cut(orders[ORDER].groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-        frequent = counted.where(F.col("n") >= least_count(counted, MAX_GRAMS)).select("gram")
+        frequent = counted.where(F.col("n") >= least_count(counted, CELLS * MAX_GRAMS // len(langs))).select("gram")
         held = models.tables.logp[ORDER].join(frequent, "gram", "left_semi")
         rows = held.select("gram", *[F.col("p")[i].cast("float").alias(f"p{i}") for i in range(len(langs))]).toPandas()
         h = gram_hashes(rows["gram"], ORDER) if len(rows) else np.array([], np.uint64)
@@ -426,7 +429,7 @@ def calibrate(models: Models, texts: DataFrame) -> None:
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(i, j - i), pa.array(entropy.tolist(), pa.list_(pa.float64())), pa.array(size)], ["lang", "e", "size"])
 
     judged = _joined_entropies(models, texts, "lang") if models.tables else texts.mapInArrow(run, "lang string, e array<double>, size long")
-    rows = judged.where("size > 1").limit(8 * CALIBRATION_TEXTS).toPandas()
+    rows = judged.where("size > 1").toPandas()
     code = {x: i for i, x in enumerate(models.langs)}
     rows = rows[rows["lang"].isin(code.keys())]
     if len(rows) < 30:
@@ -462,12 +465,13 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     python_tasks(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang"))
     part = fold(F.col("doc_id"), 64)
-    labelled = rows.where("body is not null and lang is not null and doc_id is not null").where(part % 4 != 2).select("lang", "body", part.alias("part"))
+    labelled = rows.where("body is not null and lang is not null and doc_id is not null").where(part % 4 != 2).select("doc_id", "lang", "body", part.alias("part"))
     models = train(labelled.where("part != 3").select("lang", "body"))
     if models:
         apart = labelled.where("part = 3")
-        share = min(1.0, CALIBRATION_TEXTS / max(1, apart.count()))
-        calibrate(models, apart.sample(False, share, seed=7).select("lang", "body") if share < 1 else apart.select("lang", "body"))
+        drawn = F.xxhash64("doc_id") <= F.lit(hash_edge(apart.count(), CALIBRATION_TEXTS))
+        # an id counts once, however many rows repeat it
+        calibrate(models, apart.where(drawn).groupBy("doc_id").agg(F.min(F.struct("lang", "body")).alias("r")).select("r.*"))
     held = spark.sparkContext.broadcast(models)
     joined = bool(models and models.tables)
 
