@@ -1,12 +1,14 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance down the directories.
 
-A file is cut into segments, its lines and sentences. A segment's terms are weighed by
-their count times their inverse document frequency over the segments of all files, and
-compared with the templates by the cosine of the sparse vectors: only terms of the
-templates have a product, all others lengthen the segment's vector. The best segment
-gives the file's own licence. A file that is named like a licence file, or whose text is mostly
-licence segments, governs its directory; a file without a licence of its own takes
-that of the nearest directory above it.
+A file is cut into segments: lines and the sentences in them, sentences that are wrapped over several
+lines, and paragraphs of several sentences; comment marks are no terms. A segment's terms
+are weighed by their count times their inverse document frequency over the sentences of all
+files, and compared with the templates (headers, grants, titles) by the cosine of the sparse vectors:
+only terms of the templates have a product, all others lengthen the segment's vector. Versions and
+qualifiers have to agree besides: a template's numbers stand in the segment, and words like lesser
+or sharealike are in both or in neither. The best segment gives the file's own licence. A file
+governs its directory if it is named like a licence file, opens with a licence's title, or is mostly
+licence segments; a file without a licence of its own takes that of the nearest directory above it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -22,34 +25,74 @@ from pyspark.sql import functions as F
 
 from regdelta.llm.common import cut, python_tasks, table
 
-#: (licence, statement): how files commonly state each licence.
+#: (licence, statement): how files commonly state each licence, sentences and whole grants.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may not use this file except in compliance with the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "You can redistribute it under the terms of the GNU General Public License, either version 3 of the License, or any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "You can redistribute it under the terms of the GNU General Public License, either version 2 of the License, or any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: (licence, title): what the text of a licence opens with.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("MIT", "The MIT License (MIT)"),
+    ("ISC", "The ISC License"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+)
+#: Words that tell licences of one family apart.
+QUALIFIERS = frozenset("lesser library affero nc noncommercial nd noderivs noderivatives sa sharealike".split())
+#: A licence whose own clause stands beside the text of another one has that text as a part.
+CONTAINS = {"BSD-3-Clause": "BSD-2-Clause"}
 SIMILARITY = 0.75
 #: Share of a file's characters in licence segments that makes it a licence file.
 MOSTLY = 0.5
 TERM = regex.compile(r"[\p{L}\p{N}]+(?:\.\p{N}+)*")
 SEGMENT = regex.compile(r"[^\n]*?(?:[.;](?=\s)|\n|$)")
+#: A line without a letter or digit parts paragraphs.
+PARAGRAPH = regex.compile(r"(?:[^\p{L}\p{N}\n]*\n)*((?:[^\n]*[\p{L}\p{N}][^\n]*(?:\n|$))+)")
+SENTENCE = regex.compile(r"[^.;]*(?:[.;](?!\s)[^.;]*)*(?:[.;](?=\s)|[.;]?$)")
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|unlicense|notice)([.-][^/]*)?$"
 
 
@@ -57,12 +100,27 @@ def terms(segment: str) -> list[str]:
     return TERM.findall(segment.lower())
 
 
+def _stripped(start: int, segment: str) -> tuple[int, str]:
+    return start + len(segment) - len(segment.lstrip()), segment.strip()
+
+
 def segments(text: str) -> Iterator[tuple[int, str]]:
     """(place, segment) of every sentence, at most a line."""
     for m in SEGMENT.finditer(text):
-        s = m.group().strip()
+        at, s = _stripped(m.start(), m.group())
         if s:
-            yield m.start() + len(m.group()) - len(m.group().lstrip()), s
+            yield at, s
+
+
+def wrapped(text: str) -> Iterator[tuple[int, str]]:
+    """(place, segment) of the sentences that stand on several lines, and of paragraphs of several sentences or lines."""
+    for p in PARAGRAPH.finditer(text):
+        at, body = _stripped(p.start(1), p.group(1))
+        parts = [_stripped(at + m.start(), m.group()) for m in SENTENCE.finditer(body)]
+        parts = [(i, s) for i, s in parts if s]
+        yield from ((i, s) for i, s in parts if "\n" in s)
+        if len(parts) > 1:
+            yield at, body
 
 
 def segment_frequencies(files: DataFrame, vocabulary: frozenset[str]) -> tuple[int, dict[str, int]]:
@@ -96,6 +154,7 @@ class Matcher:
         self.other = sorted(self.idf.values())[len(words) // 2] if words else 1.0
         self.posting: dict[str, list[tuple[int, float]]] = {}
         self.names = [name for name, _ in bags]
+        self.told = [frozenset(w for w in bag if w[0].isnumeric() or w in QUALIFIERS) for _, bag in bags]
         marks: set[str] = set()
         for i, (_, bag) in enumerate(bags):
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in bag.items()))
@@ -123,34 +182,58 @@ class Matcher:
         if not dots:
             return 0.0, None
         norm = math.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in bag.items()))
-        score, name = max((s / norm, self.names[i]) for i, s in dots.items())
+        qualified = QUALIFIERS.intersection(bag)
+        agree = [(s / norm, self.names[i]) for i, s in dots.items() if all(w in bag for w in self.told[i]) and qualified == self.told[i] & QUALIFIERS]
+        score, name = max(agree, default=(0.0, None))
         return min(score, 1.0), name
 
 
-def own_licences(files: DataFrame, matcher: Matcher, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, path, own_licence, similarity, place, statement, mostly): the best segment of each file."""
-    held = files.sparkSession.sparkContext.broadcast(matcher)
+def _opens(matcher: Matcher, titles: Matcher, text: str, similarity: float) -> bool:
+    """Whether the first line or the first lines up to a paragraph's end are the title of a licence."""
+    first = next(PARAGRAPH.finditer(text[: 1 << 10]), None)
+    heads = [first.group(1), first.group(1).lstrip().split("\n")[0]] if first else []
+    return any(titles.best(h)[0] >= similarity for h in heads)
+
+
+def own_licences(files: DataFrame, matcher: Matcher, titles: Matcher, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, path, own_licence, similarity, place, statement, text_of): the best segment of each file.
+
+    text_of: the file is the text of a licence, as it opens with its title or is mostly licence segments.
+    """
+    held = files.sparkSession.sparkContext.broadcast((matcher, titles))
+
+    def scan(m: Matcher, titles: Matcher, text: str) -> tuple:
+        best, found, spans, size = (0.0, None, None, None), set(), [], 0
+        for at, s in segments(text):
+            size += len(s)
+        for at, s in chain(segments(text), wrapped(text)):
+            score, name = m.best(s) if m.may_hold(s) else (0.0, None)
+            if score >= similarity:
+                spans.append((at, at + len(s)))
+                found.add(name)
+                if score > best[0]:
+                    best = (score, name, at, s)
+        covered, end = 0, 0
+        for a, b in sorted(spans):
+            covered += max(0, b - max(a, end))
+            end = max(end, b)
+        name = next((k for k, part in CONTAINS.items() if best[1] == part and k in found), best[1])
+        opens = _opens(m, titles, text, similarity)
+        return name, best[0] if name else None, best[2], best[3], bool(name) and (opens or covered >= MOSTLY * size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
+        m, t = held.value
         for b in batches:
-            out = []
-            for doc, path, text in zip(b.column("id").to_pylist(), b.column("path").to_pylist(), b.column("body").to_pylist()):
-                best, licensed, size = (0.0, None, None, None), 0, 0
-                # files without a marker have no licence segment, and their size does not matter then
-                for at, s in segments(text) if text and m.may_hold(text) else ():
-                    size += len(s)
-                    score, name = m.best(s) if m.may_hold(s) else (0.0, None)
-                    if score >= similarity:
-                        licensed += len(s)
-                        if score > best[0]:
-                            best = (score, name, at, s)
-                out.append((doc, path, best[1], best[0] if best[1] else None, best[2], best[3], bool(size) and licensed >= MOSTLY * size))
+            # files without a marker have no licence segment
+            out = [
+                (doc, path, *(scan(m, t, text) if text and m.may_hold(text) else (None, None, None, None, False)))
+                for doc, path, text in zip(b.column("id").to_pylist(), b.column("path").to_pylist(), b.column("body").to_pylist())
+            ]
             cols = list(zip(*out)) or [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "path", "own_licence", "similarity", "place", "statement", "mostly"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["id", "path", "own_licence", "similarity", "place", "statement", "text_of"])
 
-    return files.mapInArrow(run, "id long, path string, own_licence string, similarity double, place long, statement string, mostly boolean")
+    return files.mapInArrow(run, "id long, path string, own_licence string, similarity double, place long, statement string, text_of boolean")
 
 
 def directory(path: Column) -> Column:
@@ -166,13 +249,14 @@ def ancestors(folder: Column) -> Column:
 
 
 def scan_licences(
-    files: DataFrame, templates=TEMPLATES, similarity: float = SIMILARITY, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text"
+    files: DataFrame, templates=TEMPLATES, titles=TITLES, similarity: float = SIMILARITY, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, path, own_licence, similarity, place, statement, licence, licence_path, inherited: one row per input row.
 
     own_licence: template nearest to any segment, at the similarity or above; place and
     statement are that segment. Equal similarities take the first segment, and of templates
-    the last licence by name. licence: the own one, or that of the nearest folder at or above the
+    the last licence by name; a licence that contains the one found has its own clause looked for
+    in all segments (CONTAINS). licence: the own one, or that of the nearest folder at or above the
     file's that a licence file governs; licence_path is that file. Two licence files
     of a folder: the more similar governs, then the lesser path. Null texts count as
     empty and have no licence of their own; a null path lies in the top folder. Repeated rows
@@ -184,11 +268,12 @@ def scan_licences(
     spark = files.sparkSession
     python_tasks(spark)
     rows = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("body"))
+    templates = (*templates, *titles)
     total, frequency = segment_frequencies(rows, frozenset(w for _, t in templates for w in terms(t)))
     # a narrow row a file; it is used three times below
-    found = cut(own_licences(rows, Matcher(templates, total, frequency, similarity), similarity), "licences")
+    found = cut(own_licences(rows, Matcher(templates, total, frequency, similarity), Matcher(titles, total, frequency, similarity), similarity), "licences")
     found = found.withColumn("folder", directory(F.coalesce("path", F.lit(""))))
-    governs = found.where(F.col("own_licence").isNotNull() & (F.col("mostly") | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False))))
+    governs = found.where(F.col("own_licence").isNotNull() & (F.col("text_of") | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False))))
     rules = governs.groupBy(F.col("folder").alias("above")).agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), F.col("path").alias("licence_path"), F.col("own_licence").alias("licence"))).alias("rule")
     )

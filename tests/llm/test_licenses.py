@@ -1,5 +1,8 @@
 import math
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 from regdelta.llm import licenses as L
 
@@ -15,7 +18,8 @@ def plain_scan(rows):
         for _, s in L.segments(text or ""):
             total += 1
             df.update(set(L.terms(s)))
-    vocabulary = sorted({w for _, t in L.TEMPLATES for w in L.terms(t)})
+    templates = (*L.TEMPLATES, *L.TITLES)
+    vocabulary = sorted({w for _, t in templates for w in L.terms(t)})
     idf = {w: math.log((1 + total) / (1 + df[w])) + 1 for w in vocabulary}
     middle = sorted(idf.values())[len(vocabulary) // 2]
 
@@ -25,17 +29,32 @@ def plain_scan(rows):
     def cosine(a, b):
         return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
+    telling = lambda w: w[0].isnumeric() or w in L.QUALIFIERS
+
+    def nearest(s, templates):
+        words, v = set(L.terms(s)), vector(s)
+        fits = []
+        for n, t in templates:
+            own = set(L.terms(t))
+            if v and {w for w in own if telling(w)} <= words and words & L.QUALIFIERS == own & L.QUALIFIERS:
+                fits.append((cosine(v, vector(t)), n))
+        return max(fits, default=(0, None))
+
     own, rules = [], {}
     for doc, path, text in rows:
-        best, licensed, size = (0, None), 0, 0
-        for _, s in L.segments(text or ""):
-            size += len(s)
-            v = vector(s)
-            got = max(((cosine(v, vector(t)), n) for n, t in L.TEMPLATES), default=(0, None)) if v else (0, None)
+        text = text or ""
+        best, size, covered, found = (0, None), sum(len(s) for _, s in L.segments(text)), set(), set()
+        for at, s in [*L.segments(text), *L.wrapped(text)]:
+            got = nearest(s, templates) if len(s) < 10_000 else (0, None)
             if got[0] >= L.SIMILARITY - 1e-12:
-                licensed += len(s)
+                covered.update(range(at, at + len(s)))
+                found.add(got[1])
                 if got[0] > best[0] + 1e-12:
                     best = got
+        if best[1] == "BSD-2-Clause" and "BSD-3-Clause" in found:
+            best = (best[0], "BSD-3-Clause")
+        head = text.lstrip().split("\n\n")[0]
+        licensed = size if any(nearest(x, L.TITLES)[0] >= L.SIMILARITY for x in (head, head.split("\n")[0])) else len(covered)
         own.append(best[1])
         folder = tuple(p for p in (path or "").split("/")[:-1] if p)
         name = (path or "").split("/")[-1].lower()
@@ -63,7 +82,21 @@ ROWS = [
     (10, "deep/k.txt", "Licensed under CC BY-NC 4.0."),
     (11, "deep/l.txt", "the licence of the house of the king is under the sea"),
     (2, "a/b/x.py", PROSE),
+    (12, "gpl/main.c", "/* This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n */\nint main() {}\n" + PROSE * 9),
+    (13, "gpl/other.c", PROSE),
+    (14, "isc/readme", "ISC License\n\nCopyright (c) 2020 Somebody\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED AS IT IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES."),
+    (15, "isc/x.c", PROSE),
+    (16, "apache/text", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + PROSE * 20),
+    (17, "apache/x.c", PROSE),
+    (18, "bsd3/LICENSE", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nNeither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"),
+    (19, "bsd2/LICENSE", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"),
+    (20, "no/a", "You can redistribute it under the terms of the GNU General Public License, either version 2 of the License, or any later version"),
+    (21, "no/b", "GNU Lesser General Public License, version 3"),
+    (22, "no/c", "BSD 2-Clause License"),
+    (23, "no/d", "Licensed under CC BY-ND 4.0"),
+    (24, "no/e", "Apache License, Version 1.1"),
 ]
+OWN = {12: "GPL-3.0", 14: "ISC", 16: "Apache-2.0", 18: "BSD-3-Clause", 19: "BSD-2-Clause", 20: "GPL-2.0", 21: "LGPL-3.0", 22: "BSD-2-Clause", 23: None, 24: None}
 
 
 def test_scan(spark):
@@ -73,6 +106,9 @@ def test_scan(spark):
     by_id = {r[0]: r for r in got}
     assert by_id[2][3] == "MIT" and by_id[4][3] == "MIT" and by_id[6][3] == "Apache-2.0" and by_id[10][2] == "CC-BY-NC-4.0"
     assert by_id[11][2] is None and by_id[7][3] is None
+    assert {k: by_id[k][2] for k in OWN} == OWN
+    # headers do not govern, texts of licences do
+    assert by_id[13][3] is None and by_id[15][3] == "ISC" and by_id[17][3] == "Apache-2.0"
 
 
 def test_statement_is_the_text_at_its_place(spark):
@@ -91,3 +127,18 @@ def test_documents_of_the_given_table(spark):
 
 def test_empty_table(spark):
     assert L.scan_licences(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+TEXTS = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+FOLDER = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not all((FOLDER / n).exists() for n in TEXTS), reason="the system has no licence texts")
+def test_texts_of_licences(spark):
+    """Whole texts are known for what they are, and govern the files beside them whatever their own name."""
+    rows = [(i, f"{n}/text", (FOLDER / n).read_text(), "x", "y") for i, n in enumerate(TEXTS)]
+    rows += [(100 + i, f"{n}/src/code.py", PROSE, "x", "y") for i, n in enumerate(TEXTS)]
+    got = {r.path: r for r in L.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {n: got[f"{n}/text"].own_licence for n in TEXTS} == TEXTS
+    titled = [n for n in TEXTS if n not in ("BSD", "CC0-1.0")]
+    assert {n: got[f"{n}/src/code.py"].licence for n in titled} == {n: TEXTS[n] for n in titled}
