@@ -119,21 +119,32 @@ class Text:
         n, number = len(self), self.kind == NUMBER
         if not n or (not name.any() and not number.any()):
             return Template(self, np.arange(n), self.code, self.code, np.zeros(n, bool))
-        goes_on = np.r_[False, name[1:] & name[:-1] & ~self.first[1:]]
-        if goes_on.any():
+        goes_on = np.zeros(n, bool)
+        goes_on[1:] = name[1:] & name[:-1] & ~self.first[1:]
+        folds = goes_on.any()
+        if folds:
             heads = np.flatnonzero(~goes_on)
-            lengths = np.diff(np.r_[heads, n])
-            heading = np.repeat(lengths > LONGEST_NAME, lengths)
-            name, goes_on = name & ~heading, goes_on & ~heading
+            lengths = np.diff(heads, append=n)
+            if (lengths > LONGEST_NAME).any():
+                heading = np.repeat(lengths > LONGEST_NAME, lengths)
+                name, goes_on = name & ~heading, goes_on & ~heading
+                folds = goes_on.any()
+        hold = name.view(np.int8) + 2 * number.view(np.int8)
         # a unit stands by its number
-        beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
-        hold = np.where(name, 1, np.where(number, 2, np.where((self.kind == UNIT) & beside, 3, 0)))
+        if number.any():
+            beside = np.zeros(n, bool)
+            beside[1:] = number[:-1]
+            beside[:-1] |= number[1:]
+            hold[(self.kind == UNIT) & beside] = 3
         code, at = self.code, np.arange(n)
-        if goes_on.any():
+        if folds:
             at = np.flatnonzero(~goes_on)
-            code = np.add.reduceat(code * POWERS[np.arange(n) - np.repeat(at, np.diff(np.r_[at, n]))], at)
+            code = np.add.reduceat(code * POWERS[np.arange(n) - np.repeat(at, np.diff(at, append=n))], at)
             hold = hold[at]
-        return Template(self, at, code, np.where(hold > 0, HOLDERS[hold], code), hold > 0)
+        held = hold > 0
+        template = code.copy()
+        template[held] = HOLDERS[hold[held]]
+        return Template(self, at, code, template, held)
 
     def short_lines(self) -> Iterator[tuple[int, int]]:
         """(place, hash) of the lines of under LEAST_TOKENS words."""
@@ -194,7 +205,8 @@ def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     canon = rolled(t.template, size + 1000)
     if not t.held.any():
         return canon, np.zeros(n, bool)
-    holders = np.r_[0, np.cumsum(t.held)]
+    holders = np.zeros(len(t) + 1, np.int32)
+    np.cumsum(t.held, out=holders[1:])
     stands = size - (holders[size:] - holders[:-size]) < min(LEAST_WORDS, size)
     return (np.where(stands, rolled(t.plain, size), canon) if stands.any() else canon), stands
 
@@ -263,7 +275,14 @@ def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canon, known = Canon(), held_hashes.value
-        lookup = lambda h: known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+        begins = np.zeros(1 << 20, bool)
+        begins[known >> np.uint64(44)] = True
+
+        def lookup(h: np.ndarray) -> np.ndarray:
+            """Places of the hashes that are known; few are looked for whose first bits no known one has."""
+            at = np.flatnonzero(begins[h >> np.uint64(44)])
+            return at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
+
         for b in batches:
             out = []
             for doc, body in zip(b.column("doc").to_pylist(), b.column("body").to_pylist()):
@@ -272,12 +291,12 @@ def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[in
                 for size in sizes:
                     if not size:
                         lines = list(text.short_lines())
-                        found = np.flatnonzero(lookup(np.array([h for _, h in lines], np.int64).view(np.uint64)))
+                        found = lookup(np.array([h for _, h in lines], np.int64).view(np.uint64))
                         hits += [(*lines[i], [], None) for i in found.tolist()]
                         continue
                     for t, reading in [(text.plain, None)] if both else [(text.plain, False), (text.named, True)]:
                         h, stands = windows(t, size)
-                        found = np.flatnonzero(lookup(h))
+                        found = lookup(h)
                         hits += [(i, int(h[i].view(np.int64)), [] if stands[i] else t.values(i, size), reading) for i in found.tolist()]
                 if hits:
                     key = _key(body)
