@@ -66,6 +66,7 @@ TEMPLATES = (
 #: (licence, title): what the text of a licence opens with.
 TITLES = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("MIT", "The MIT License (MIT)"),
     ("ISC", "The ISC License"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
@@ -172,7 +173,8 @@ class Matcher:
         low = text.lower()
         return any(m in low for m in self.markers)
 
-    def best(self, segment: str) -> tuple[float, str | None]:
+    def best(self, segment: str, first: int = 0) -> tuple[float, str | None]:
+        """Similarity and licence of the nearest template, from the given one on."""
         bag = Counter(terms(segment))
         dots: dict[int, float] = {}
         for w in bag.keys() & self.posting.keys():
@@ -183,26 +185,28 @@ class Matcher:
             return 0.0, None
         norm = math.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in bag.items()))
         qualified = QUALIFIERS.intersection(bag)
-        agree = [(s / norm, self.names[i]) for i, s in dots.items() if all(w in bag for w in self.told[i]) and qualified == self.told[i] & QUALIFIERS]
+        agree = [(s / norm, self.names[i]) for i, s in dots.items() if i >= first and all(w in bag for w in self.told[i]) and qualified == self.told[i] & QUALIFIERS]
         score, name = max(agree, default=(0.0, None))
         return min(score, 1.0), name
 
 
-def _opens(matcher: Matcher, titles: Matcher, text: str, similarity: float) -> bool:
+def _opens(matcher: Matcher, first_title: int, text: str, similarity: float) -> bool:
     """Whether the first line or the first lines up to a paragraph's end are the title of a licence."""
     first = next(PARAGRAPH.finditer(text[: 1 << 10]), None)
     heads = [first.group(1), first.group(1).lstrip().split("\n")[0]] if first else []
-    return any(titles.best(h)[0] >= similarity for h in heads)
+    return any(matcher.best(h, first_title)[0] >= similarity for h in heads)
 
 
-def own_licences(files: DataFrame, matcher: Matcher, titles: Matcher, similarity: float = SIMILARITY) -> DataFrame:
+def own_licences(files: DataFrame, matcher: Matcher, first_title: int, similarity: float = SIMILARITY) -> DataFrame:
     """(id, path, own_licence, similarity, place, statement, text_of): the best segment of each file.
 
+    Templates are titles from first_title on.
+
     text_of: the file is the text of a licence, as it opens with its title or is mostly licence segments.
     """
-    held = files.sparkSession.sparkContext.broadcast((matcher, titles))
+    held = files.sparkSession.sparkContext.broadcast(matcher)
 
-    def scan(m: Matcher, titles: Matcher, text: str) -> tuple:
+    def scan(m: Matcher, text: str) -> tuple:
         best, found, spans, size = (0.0, None, None, None), set(), [], 0
         for at, s in segments(text):
             size += len(s)
@@ -218,15 +222,15 @@ def own_licences(files: DataFrame, matcher: Matcher, titles: Matcher, similarity
             covered += max(0, b - max(a, end))
             end = max(end, b)
         name = next((k for k, part in CONTAINS.items() if best[1] == part and k in found), best[1])
-        opens = _opens(m, titles, text, similarity)
+        opens = _opens(m, first_title, text, similarity)
         return name, best[0] if name else None, best[2], best[3], bool(name) and (opens or covered >= MOSTLY * size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, t = held.value
+        m = held.value
         for b in batches:
             # files without a marker have no licence segment
             out = [
-                (doc, path, *(scan(m, t, text) if text and m.may_hold(text) else (None, None, None, None, False)))
+                (doc, path, *(scan(m, text) if text and m.may_hold(text) else (None, None, None, None, False)))
                 for doc, path, text in zip(b.column("id").to_pylist(), b.column("path").to_pylist(), b.column("body").to_pylist())
             ]
             cols = list(zip(*out)) or [[]] * 7
@@ -268,10 +272,10 @@ def scan_licences(
     spark = files.sparkSession
     python_tasks(spark)
     rows = files.select(F.col(id_col).cast("long").alias("id"), F.col(path_col).alias("path"), F.col(text_col).alias("body"))
-    templates = (*templates, *titles)
+    first_title, templates = len(templates), (*templates, *titles)
     total, frequency = segment_frequencies(rows, frozenset(w for _, t in templates for w in terms(t)))
     # a narrow row a file; it is used three times below
-    found = cut(own_licences(rows, Matcher(templates, total, frequency, similarity), Matcher(titles, total, frequency, similarity), similarity), "licences")
+    found = cut(own_licences(rows, Matcher(templates, total, frequency, similarity), first_title, similarity), "licences")
     found = found.withColumn("folder", directory(F.coalesce("path", F.lit(""))))
     governs = found.where(F.col("own_licence").isNotNull() & (F.col("text_of") | F.coalesce(F.col("path").rlike(LICENCE_NAME), F.lit(False))))
     rules = governs.groupBy(F.col("folder").alias("above")).agg(

@@ -90,11 +90,11 @@ ROWS = [
     (17, "apache/x.c", PROSE),
     (18, "bsd3/LICENSE", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nNeither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n"),
     (19, "bsd2/LICENSE", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n"),
-    (20, "no/a", "You can redistribute it under the terms of the GNU General Public License, either version 2 of the License, or any later version"),
-    (21, "no/b", "GNU Lesser General Public License, version 3"),
-    (22, "no/c", "BSD 2-Clause License"),
-    (23, "no/d", "Licensed under CC BY-ND 4.0"),
-    (24, "no/e", "Apache License, Version 1.1"),
+    (20, "noa/x", "You can redistribute it under the terms of the GNU General Public License, either version 2 of the License, or any later version"),
+    (21, "nob/x", "GNU Lesser General Public License, version 3"),
+    (22, "noc/x", "BSD 2-Clause License"),
+    (23, "nod/x", "Licensed under CC BY-ND 4.0"),
+    (24, "noe/x", "Apache License, Version 1.1"),
 ]
 OWN = {12: "GPL-3.0", 14: "ISC", 16: "Apache-2.0", 18: "BSD-3-Clause", 19: "BSD-2-Clause", 20: "GPL-2.0", 21: "LGPL-3.0", 22: "BSD-2-Clause", 23: None, 24: None}
 
