@@ -79,7 +79,7 @@ TEMPLATES = {
                CASE WHEN c_custkey % 3 <> 0 THEN NULL ELSE ARRAY[{pick("c_nationkey % 4", ("CN", "US", "GB", "DE"))}, 'JP'] END AS origins,
                CASE WHEN c_custkey % 4 <> 0 THEN NULL ELSE ARRAY[{pick("c_nationkey % 4", ("US", "EU", "GB", "CN"))}] END AS destinations,
                CAST((c_custkey % 10) / 10.0 AS DOUBLE) AS min_significance,
-               {pick("c_custkey % 6", (None, "que & para", "der | und", "penalty & !para", "pen:*", "lithium &"))} AS keyword_query,
+               {pick("c_custkey % 9", (None, "que & para", "der | und", "penalties & !para", "pen:*", "lithium &", "(pay <-> the <-> penalties) & importer", "the | of", "!para & !der"))} AS keyword_query,
                {pick("c_custkey % 5", ("email", "none", "slack", "webhook", "fax"))} AS channel,
                CASE WHEN c_custkey % 7 = 0 THEN 'desk@example.com' END AS channel_target,
                c_custkey % 9 <> 0 AS is_active

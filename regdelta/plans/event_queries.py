@@ -174,13 +174,14 @@ def rescore(spark, sf):
 
 _WORDS = "list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))"
 MATCHES = f"""{SCORED}, subs AS ({D.duck_sql("subscriptions")}),
-texts AS (SELECT DISTINCT event_id, {_WORDS.replace("text", "raw_text")} AS w FROM detected),
+texts AS (SELECT DISTINCT event_id, {_WORDS.replace("text", "raw_text")} AS w, lower(raw_text) AS low FROM detected),
 matches AS (
   SELECT s.id AS subscription_id, e.event_id FROM subs s, scored e JOIN texts t USING (event_id)
   WHERE is_active AND significance_score >= min_significance AND (topics IS NULL OR list_contains(topics, topic))
     AND (origins IS NULL OR len(origin_countries) = 0 OR list_has_any(origins, origin_countries)) AND (destinations IS NULL OR len(destination_countries) = 0 OR list_has_any(destinations, destination_countries))
-    AND CASE id % 6 WHEN 0 THEN true WHEN 1 THEN list_has_all(w, ['que', 'para']) WHEN 2 THEN list_has_any(w, ['der', 'und'])
-        WHEN 3 THEN list_contains(w, 'penalty') AND NOT list_contains(w, 'para') WHEN 4 THEN len(list_filter(w, lambda x: starts_with(x, 'pen'))) > 0 ELSE false END)"""
+    AND CASE id % 9 WHEN 0 THEN true WHEN 1 THEN list_has_all(w, ['que', 'para']) WHEN 2 THEN list_has_any(w, ['der', 'und'])
+        WHEN 3 THEN list_contains(w, 'penalty') AND NOT list_contains(w, 'para') WHEN 4 THEN len(list_filter(w, lambda x: starts_with(x, 'pen'))) > 0
+        WHEN 6 THEN contains(low, 'pay the penalty') AND list_contains(w, 'importer') WHEN 8 THEN NOT list_has_any(w, ['para', 'der']) ELSE false END)"""
 
 
 def _texts(spark, sf):
@@ -197,16 +198,16 @@ def match_events(spark, sf):
     return _matches(spark, sf)
 
 
-@query(f"""WITH {B.OBS}, w AS (SELECT DISTINCT seq AS doc, {_WORDS.replace("text", "raw_text")} AS w FROM obs), r AS (SELECT * FROM (VALUES (1), (2), (3), (4)) v(rule))
-SELECT doc, rule FROM w, r WHERE CASE rule WHEN 1 THEN list_has_all(w, ['que', 'para']) WHEN 2 THEN list_has_any(w, ['der', 'und']) WHEN 3 THEN list_contains(w, 'penalty') AND NOT list_contains(w, 'para') ELSE len(list_filter(w, lambda x: starts_with(x, 'pen'))) > 0 END""")
+@query(f"""WITH {B.OBS}, w AS (SELECT DISTINCT seq AS doc, {_WORDS.replace("text", "raw_text")} AS w, lower(raw_text) AS low FROM obs), r AS (SELECT * FROM (VALUES (1), (2), (3), (4), (6)) v(rule))
+SELECT doc, rule FROM w, r WHERE CASE rule WHEN 6 THEN contains(low, 'pay the penalty') AND list_contains(w, 'importer') WHEN 1 THEN list_has_all(w, ['que', 'para']) WHEN 2 THEN list_has_any(w, ['der', 'und']) WHEN 3 THEN list_contains(w, 'penalty') AND NOT list_contains(w, 'para') ELSE len(list_filter(w, lambda x: starts_with(x, 'pen'))) > 0 END""")
 def percolate(spark, sf):
-    rules = D.subscriptions(spark, sf).where("keyword_query is not null").select((F.col("id") % 6).cast("int").alias("rule"), "keyword_query").distinct()
+    rules = D.subscriptions(spark, sf).where("keyword_query is not null").select((F.col("id") % 9).cast("int").alias("rule"), "keyword_query").distinct()
     good, _ = M.validate_rules(rules)
     docs = D.observations(spark, sf).select(F.col("seq").alias("doc"), F.col("raw_text").alias("text")).dropDuplicates(["doc"])
-    return M.percolate(docs, good.select("rule", "conjuncts"))
+    return M.percolate(docs, good)
 
 
-@query(f"WITH subs AS ({D.duck_sql('subscriptions')}) SELECT id FROM subs WHERE id % 6 = 5")
+@query(f"WITH subs AS ({D.duck_sql('subscriptions')}) SELECT id FROM subs WHERE id % 9 = 5")
 def invalid_rules(spark, sf):
     return M.validate_rules(D.subscriptions(spark, sf))[1].select("id")
 
@@ -247,6 +248,15 @@ def new_alerts(spark, sf):
     return M.new_alerts(m, m.where("subscription_id % 2 = 0")).select("alert_id", "subscription_id", "event_id")
 
 
+@query(f"""{MATCHES}, n AS (SELECT event_id, count(*) AS k FROM matches WHERE event_id IN (SELECT event_id FROM scored WHERE doc_id % 13 <> 0) AND subscription_id % 2 = 1 GROUP BY 1)
+SELECT event_id, CASE WHEN significance_score IS NULL THEN 'unscored' WHEN doc_id % 13 = 0 THEN 'no_text' ELSE 'matched' END AS status, coalesce(k, 0) AS alerts_created FROM scored LEFT JOIN n USING (event_id)""")
+def match_status(spark, sf):
+    scored, texts = B.scored(spark, sf), cut(_texts(spark, sf), "texts")
+    unread = texts.join(scored.select("event_id", "doc_id"), "event_id").select("event_id", F.when(F.col("doc_id") % 13 != 0, F.col("text")).alias("text"))
+    known = M.match_events(scored, texts, D.subscriptions(spark, sf).where("id % 2 = 0"))
+    return M.match_job(scored, unread, D.subscriptions(spark, sf), known)[0]
+
+
 @query(f"""{ALERTS} SELECT alert_id, CASE WHEN delivered_at IS NOT NULL THEN 'already_delivered' WHEN subscription_id % 11 = 0 THEN 'orphaned' WHEN s.channel = 'none' THEN 'inbox_only' WHEN s.channel <> 'email' THEN 'unroutable'
     WHEN delivery_attempts >= 5 THEN 'dead_letter' ELSE 'to_send' END AS plan,
   CASE WHEN plan = 'to_send' THEN coalesce(s.channel_target, s.user_email) END AS recipient,

@@ -1,11 +1,14 @@
 """Table jobs on small inputs: matching, alerts, rolling counts, landing, streams."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from regdelta import constants as C
+from regdelta.functions.stem import stem
 from regdelta.operators import alerts as A
 from regdelta.operators import changes as G
 from regdelta.operators import matching as M
@@ -52,26 +55,94 @@ def test_replaying_a_batch_changes_nothing(spark):
     assert late.count() == 0
 
 
+def words(t):
+    return re.findall(r"\d+(?:\.\d+)+|\w+", t.lower())
+
+
+def spoken(t):
+    """Stems with their places, stop words left out."""
+    return [(i, stem(w)) for i, w in enumerate(words(t)) if w not in C.STOP_WORDS]
+
+
+def follows(t, *steps):
+    """Whether the text has the stems at these distances from the first one."""
+    at = spoken(t)
+    return any(all((i + d, s) in at for d, s in steps) for i, _ in at)
+
+
 RULES = {
-    "a & b": lambda w: {"a", "b"} <= w,
-    "a | (b & !c)": lambda w: "a" in w or ("b" in w and "c" not in w),
-    "!(a | b) & d": lambda w: not {"a", "b"} & w and "d" in w,
-    "alp:* & !a": lambda w: any(x.startswith("alp") for x in w) and "a" not in w,
-    "!a": lambda w: "a" not in w,
+    "k & b": lambda w, t: {"k", "b"} <= w,
+    "k | (b & !c)": lambda w, t: "k" in w or ("b" in w and "c" not in w),
+    "!(k | b) & d": lambda w, t: not {"k", "b"} & w and "d" in w,
+    "alp:* & !k": lambda w, t: any(x.startswith("alp") for x in w) and "k" not in w,
+    "!k": lambda w, t: "k" not in w,
+    "q:*": lambda w, t: any(x.startswith("q") for x in w),
+    "!q:* & b": lambda w, t: not any(x.startswith("q") for x in w) and "b" in w,
+    "the & batteries": lambda w, t: "batteri" in w,
+    "the | of": lambda w, t: False,
+    "!the | c": lambda w, t: "c" in w,
+    "batteries <-> of <-> importing": lambda w, t: follows(t, (0, "batteri"), (2, "import")),
+    "'battery of imports' | d": lambda w, t: "d" in w or follows(t, (0, "batteri"), (2, "import")),
+    "k <2> b & !d": lambda w, t: follows(t, (0, "k"), (2, "b")) and "d" not in w,
+    "9401.61": lambda w, t: "9401.61" in w,
+    "dying": lambda w, t: "die" in w,
+    "(k|b|c|d)&(alpha|quay|b|c)&(k|d|battery|quiet)&!(importer&quay)": lambda w, t: bool({"k", "b", "c", "d"} & w and {"alpha", "quay", "b", "c"} & w and {"k", "d", "batteri", "quiet"} & w) and not {"import", "quay"} <= w,
 }
+BROKEN = ["k &", "(k", "k b", "(k | b) <-> c", "k <-> ", "| k"]
 
 
 def test_keyword_rules(spark):
     rng = random.Random(5)
-    texts = [" ".join(rng.choices(["a", "b", "c", "d", "alpha", "Alp"], k=rng.randint(0, 4))) for _ in range(60)]
+    vocabulary = ["k", "b", "c", "d", "alpha", "Alp", "quay", "Quiet", "battery of importers", "batteries", "the", "9401.61", "9401", "dies", "b"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 5))) for _ in range(150)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
-    subs = spark.createDataFrame([(i, r) for i, r in enumerate([*RULES, "a &", "(a", "a b"])], "rule int, keyword_query string")
+    subs = spark.createDataFrame(list(enumerate([*RULES, *BROKEN, None, " "])), "rule int, keyword_query string")
     good, bad = M.validate_rules(subs)
-    assert sorted(r.rule for r in bad.collect()) == [5, 6, 7]
-    pairs = docs.select("doc").crossJoin(good.select("rule"))
-    got = {(r.doc, r.rule) for r in M.percolate(docs, good.select("rule", "conjuncts"), pairs).collect()}
-    want = {(d, r) for d, t in enumerate(texts) for r, f in enumerate(RULES.values()) if f(set(t.lower().split()))}
-    assert got == want
+    n = len(RULES)
+    assert sorted(r.rule for r in bad.collect()) == list(range(n, n + len(BROKEN)))
+    rules = good.where("program is not null")
+    judged = {(r.doc, r.rule): r.holds for r in M.judge_rules(docs, rules).collect()}
+    is_open = {r.rule: r.open for r in rules.collect()}
+    sets = [{s for _, s in spoken(t)} for t in texts]
+    for d, t in enumerate(texts):
+        for r, (rule, f) in enumerate(RULES.items()):
+            assert judged.get((d, r), is_open[r]) == f(sets[d], t), (t, rule)
+    got = {(r.doc, r.rule) for r in M.percolate(docs, rules).collect()}
+    assert got == {(d, r) for d, t in enumerate(texts) for r, f in enumerate(RULES.values()) if not is_open[r] and f(sets[d], t)}
+
+
+@pytest.mark.parametrize("most", [1 << 17, 0])
+def test_events_meet_subscriptions(spark, monkeypatch, most):
+    """Classes, open rules, salted and broadcast joins give what each pair by itself gives."""
+    monkeypatch.setattr(M, "BROADCAST_CLASSES", most)
+    monkeypatch.setattr(M, "BROADCAST_WORDS", most)
+    rng = random.Random(9)
+    some = lambda values: rng.sample(values, rng.randint(1, 2)) if rng.random() < 0.6 else None
+    rules = [None, "steel", "!steel", "steel & !zinc", "iron | zinc", "tin &"]
+    subs = [(i, some(["t1", "t2", "t3"]), some(["CN", "US"]), some(["DE", "FR"]), rng.choice([0.0, 0.5, 0.9]), rng.choice(rules), rng.random() < 0.9) for i in range(80)]
+    events = [(f"e{i}", rng.choice(["t1", "t2", None]), rng.choice([0.2, 0.6, 0.95, None]), rng.choice([[], ["CN"], ["US", "JP"], None]), rng.choice([[], ["DE"], None])) for i in range(40)]
+    texts = [(f"e{i}", rng.choice(["steel", "zinc and steel", "iron", "", None, "nothing"])) for i in range(35)]
+    e = spark.createDataFrame(events, "event_id string, topic string, significance_score double, origin_countries array<string>, destination_countries array<string>")
+    s = spark.createDataFrame(subs, "id long, topics array<string>, origins array<string>, destinations array<string>, min_significance double, keyword_query string, is_active boolean")
+    t = spark.createDataFrame(texts, "event_id string, text string")
+    words_of = {k: set((x or "").split()) for k, x in texts}
+    holds = {None: lambda w: True, "steel": lambda w: "steel" in w, "!steel": lambda w: "steel" not in w, "steel & !zinc": lambda w: "steel" in w and "zinc" not in w, "iron | zinc": lambda w: bool({"iron", "zinc"} & w), "tin &": lambda w: False}
+    meet = lambda rule, own: rule is None or not own or bool(set(rule) & set(own))
+    want = {
+        (i, k)
+        for i, topics, origins, destinations, least, rule, active in subs
+        for k, topic, score, o, d in events
+        if active and score is not None and words_of.get(k) and score >= least and (topics is None or topic in topics) and meet(origins, o) and meet(destinations, d) and holds[rule](words_of[k])
+    }
+    got = [(r.subscription_id, r.event_id) for r in M.match_events(e, t, s).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    known = spark.createDataFrame([x for x in sorted(want)[::3]], "subscription_id long, event_id string")
+    statuses, fresh = M.match_job(e, t, s, known)
+    assert fresh.count() == len(want) - known.count()
+    by_id = {r.event_id: r for r in statuses.collect()}
+    for k, _, score, *_ in events:
+        assert by_id[k].status == ("unscored" if score is None else "matched" if words_of.get(k) else "no_text")
+        assert by_id[k].alerts_created == sum(e == k for _, e in want - set(sorted(want)[::3]))
 
 
 def test_workflow(spark):
