@@ -35,11 +35,18 @@ def bench_normalize(text: Column) -> Column:
 
 def detect_language(text: Column) -> Column:
     """Script shares of the first 4000 characters, then a vote of function words; null without letters."""
-    head = F.left(F.coalesce(text, F.lit("")), F.lit(4000))
+    return _once(F.left(F.coalesce(text, F.lit("")), F.lit(4000)), lambda head: _once(F.split(F.lower(head), r"[^\p{L}]+"), lambda words: _language(head, words)))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value), the value being worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _language(head: Column, words: Column) -> Column:
     letters = F.length(F.regexp_replace(head, r"[\s\p{P}\p{S}\p{Z}]", ""))
     count = lambda cls: F.length(head) - F.length(F.regexp_replace(head, cls, ""))
     share = lambda cls: count(cls) / letters
-    words = F.split(F.lower(head), r"[^\p{L}]+")
     votes = F.array(*[F.struct(F.size(F.filter(words, lambda w: w.isin(*ws))).alias("n"), F.lit(k).alias("k")) for k, ws in sorted(C.FUNCTION_WORDS.items(), reverse=True)])
     best = F.array_max(votes)
     return (

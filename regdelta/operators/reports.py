@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regdelta import constants as C
 from regdelta.functions import text as X
 from regdelta.functions.entity import compute_cost
+from regdelta.operators.changes import since
 
 
 def _of(df: DataFrame, domain: str) -> DataFrame:
@@ -61,17 +60,9 @@ def corpus_snapshot(docs: DataFrame) -> DataFrame:
     return counts.withColumn("pct", F.round(F.col("docs") * 100.0 / F.sum("docs").over(Window.partitionBy()), 1))
 
 
-def since(df: DataFrame, column: str, spec: str, as_of: Column) -> DataFrame:
-    """Rows of the last 15m, 24h, 7d or 2w before as_of."""
-    m = re.fullmatch(r"(\d+)([mhdw])", spec.strip())
-    if not m:
-        raise ValueError(f"bad duration: {spec!r}")
-    seconds = int(m[1]) * {"m": 60, "h": 3600, "d": 86400, "w": 604800}[m[2]]
-    return df.where(F.unix_timestamp(column) >= F.unix_timestamp(as_of) - seconds)
-
-
-def list_changes(events: DataFrame, kind=None, url=None, domain=None, min_score=None, change_type=None, topic=None, limit: int = 50) -> DataFrame:
-    out = events
+def list_changes(events: DataFrame, kind=None, url=None, domain=None, min_score=None, change_type=None, topic=None, recent: str | None = None, as_of: Column | None = None, limit: int = 50) -> DataFrame:
+    """The newest events that fit. recent: a span before as_of, as `since` takes it."""
+    out = since(events, "detected_at", recent, as_of) if recent else events
     for column, value in (("diff_kind", kind), ("source_url", url), ("change_type", change_type), ("topic", topic)):
         if value is not None:
             out = out.where(F.col(column) == value)
@@ -82,13 +73,15 @@ def list_changes(events: DataFrame, kind=None, url=None, domain=None, min_score=
     return out.orderBy(F.desc("detected_at"), "event_id").limit(limit)
 
 
-def list_obligations(obligations: DataFrame, events: DataFrame, kind: str | None = None, upcoming: bool = False, as_of: Column | None = None, limit: int = 50) -> DataFrame:
+def list_obligations(obligations: DataFrame, events: DataFrame, kind: str | None = None, upcoming: bool = False, as_of: Column | None = None, recent: str | None = None, limit: int = 50) -> DataFrame:
+    if recent:
+        events = since(events, "detected_at", recent, as_of)
     out = obligations.join(events.select("event_id", "source_url", "detected_at"), "event_id")
     if kind:
         out = out.where(F.col("obligation_type") == kind)
     order = [F.desc("detected_at")]
     if upcoming:
-        out = out.where(F.col("deadline_date") >= as_of)
+        out = out.where(F.col("deadline_date") >= F.to_date(as_of))
         order.append(F.asc("deadline_date"))
     return out.orderBy(*order, "event_id", "chunk_no", "pos").limit(limit)
 
@@ -120,8 +113,12 @@ def with_cost(calls: DataFrame) -> DataFrame:
     return calls.withColumn("cost", compute_cost(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("model")))
 
 
-def cost_report(calls: DataFrame) -> DataFrame:
-    """Totals, by scope, by model and by UTC day in one pass: cut (all, scope, model, day), key and figures."""
+def cost_report(calls: DataFrame, start: Column | None = None, scope: str | None = None) -> DataFrame:
+    """Totals, by scope, by model and by UTC day in one pass: cut (all, scope, model, day), key and figures; of calls from start on and of one scope."""
+    if start is not None:
+        calls = calls.where(F.col("ts") >= start)
+    if scope:
+        calls = calls.where(F.col("scope") == scope)
     rows = with_cost(calls).select(
         F.coalesce("scope", F.lit("unknown")).alias("scope"), F.coalesce("model", F.lit("unknown")).alias("model"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "prompt_tokens", "completion_tokens", "cost"
     )
@@ -145,19 +142,39 @@ def cost_per_event(calls: DataFrame) -> DataFrame:
     return per.groupBy(kind.alias("class")).agg(F.count("*").alias("events"), F.sum("calls").alias("calls"), F.sum("tokens").alias("tokens"), F.round(F.avg("cost"), 8).alias("mean_cost"))
 
 
-def pipeline_lag(events: DataFrame) -> DataFrame:
-    """p50 and p95 seconds from detection to score; unscored events."""
-    lag = F.unix_timestamp("scored_at") - F.unix_timestamp("detected_at")
-    return events.agg(F.percentile(lag, 0.5).alias("p50"), F.percentile(lag, 0.95).alias("p95"), F.count_if(F.col("scored_at").isNull()).alias("unscored"))
+def pipeline_lag(events: DataFrame, as_of: Column, days: int = 7, gate: float = C.Config.score_gate) -> DataFrame:
+    """Of the events detected in the days before as_of: p50 and p95 seconds from detection to score and from score to obligations,
+    events without a score, and scored ones whose obligations are still to come. Equal lags are counted before percentiles are taken."""
+    seconds, score = F.unix_timestamp, F.col("significance_score")
+    pending = F.col("scored_at").isNotNull() & F.col("obligations_extracted_at").isNull() & F.coalesce(score >= gate, F.lit(False))
+    recent = events.where(seconds("detected_at") > seconds(as_of) - days * 86_400)
+    counts = recent.groupBy(
+        (seconds("scored_at") - seconds("detected_at")).alias("a"), (seconds("obligations_extracted_at") - seconds("scored_at")).alias("b"), score.isNull().alias("unscored"), pending.alias("pending")
+    ).agg(F.count("*").alias("n"))
+    lag = lambda c, p: F.percentile(c, p, F.col("n"))
+    tally = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0))
+    return counts.agg(
+        lag("a", 0.5).alias("p50_score"), lag("a", 0.95).alias("p95_score"), lag("b", 0.5).alias("p50_obligations"), lag("b", 0.95).alias("p95_obligations"),
+        tally("unscored").alias("unscored"), tally("pending").alias("pending"),
+    )
 
 
 def bench_summary(results: DataFrame) -> DataFrame:
-    """By backend: totals, ok rate, percentiles at the half-even rounded index, mean length of ok texts."""
+    """By backend: totals, ok rate, percentiles at the half-even rounded index, mean length of ok texts.
+
+    Equal times are counted first, so that a backend's rows are its distinct times when they are put in order.
+    """
     ok = F.col("ok")
-    sorted_ms = F.array_sort(F.collect_list("elapsed_ms"))
-    base = results.groupBy("backend").agg(F.count("*").alias("total"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"), sorted_ms.alias("_ms"), F.floor(F.avg("text_len")).alias("avg_len"))
-    at = lambda p: F.element_at("_ms", (F.rint(F.lit(p / 100) * (F.size("_ms") - 1)) + 1).cast("int"))
-    return base.select("backend", "total", "ok", "errors", F.round(F.col("ok") / F.col("total"), 3).alias("ok_rate"), at(50).alias("p50"), at(95).alias("p95"), "avg_len")
+    per = results.groupBy("backend", "elapsed_ms").agg(
+        F.count("*").alias("n"), F.count("elapsed_ms").alias("timed"), F.count_if(ok).alias("ok"), F.count_if(~ok).alias("errors"), F.sum("text_len").alias("chars"), F.count("text_len").alias("texts")
+    )
+    w = Window.partitionBy("backend")
+    placed = per.withColumns({"upto": F.sum("timed").over(w.orderBy(F.asc_nulls_first("elapsed_ms"))), "all": F.sum("timed").over(w)})
+    at = lambda p: F.min(F.when(F.col("upto") > F.rint(F.lit(p / 100) * (F.col("all") - 1)), F.col("elapsed_ms")))
+    out = placed.groupBy("backend").agg(
+        F.sum("n").alias("total"), F.sum("ok").alias("ok"), F.sum("errors").alias("errors"), at(50).alias("p50"), at(95).alias("p95"), F.floor(F.try_divide(F.sum("chars"), F.sum("texts"))).alias("avg_len")
+    )
+    return out.select("backend", "total", "ok", "errors", F.round(F.col("ok") / F.col("total"), 3).alias("ok_rate"), "p50", "p95", "avg_len")
 
 
 def false_changes(results: DataFrame, run_a: int, run_b: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,13 @@ def rolling_blocks(blocks: DataFrame, seconds: int = 86_400) -> DataFrame:
     return blocks.withColumn("blocks", F.count("*").over(w))
 
 
+def block_status(blocks: DataFrame, as_of: Column, seconds: int = 86_400, order: str = "event_id") -> DataFrame:
+    """(domain, blocks, last_reason) of the window before as_of: one row a domain that was blocked in it. Of equal times the greater order is the later."""
+    age = F.unix_micros(as_of) - F.unix_micros("ts")
+    recent = blocks.where((age >= 0) & (age < seconds * 1_000_000))
+    return recent.groupBy("domain").agg(F.count("*").alias("blocks"), F.max_by("reason", F.struct("ts", order)).alias("last_reason"))
+
+
 def rolling_failures(calls: DataFrame, seconds: int = 60, threshold: int = 10) -> DataFrame:
     """Failures of each scope with the count of its window, and whether that trips the breaker."""
     failures = calls.where("failed and scope is not null")

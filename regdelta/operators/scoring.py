@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from regdelta import constants as C
 from regdelta.functions import entity as E
 from regdelta.functions import text as X
-from regdelta.operators.changes import first_by
+from regdelta.operators.changes import first_by, since
 
 SCORE_JSON = (
     "significance_score string, change_type string, topic string, affected_entities array<string>, origin_countries array<string>, "
@@ -101,7 +101,9 @@ def obligation_prompt(url, title, kind, score, chunk, index, total) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Source URL: "), url), F.concat(F.lit("Title: "), F.coalesce(title, F.lit("-"))), F.concat(F.lit("Diff kind: "), kind), F.concat(F.lit("Significance score: "), F.when(score.isNotNull(), F.format_string("%.2f", score)).otherwise("-")), F.lit(""), hint, chunk)
 
 
-def backlog(events: DataFrame, mode: str = "default", kind: str | None = None, domain: str | None = None, limit: int = 50) -> DataFrame:
+def backlog(events: DataFrame, mode: str = "default", kind: str | None = None, domain: str | None = None, recent: str | None = None, as_of: Column | None = None, limit: int = 50) -> DataFrame:
+    """Events that wait for a score, newest first; recent: a span before as_of."""
+    events = since(events, "detected_at", recent, as_of) if recent else events
     rows = {"default": "significance_score is null and error is null", "retry": "significance_score is null or error is not null", "force": "true"}[mode]
     out = events.where(rows)
     if kind:
@@ -131,7 +133,11 @@ def entity_links(mentions: DataFrame) -> DataFrame:
     return first_by(mentions, ["event_id", "key"], ["pos"]).select("event_id", "key", F.left("surface", F.lit(255)).alias("mention_text"))
 
 
-def top_entities(entities: DataFrame, links: DataFrame, events: DataFrame, min_score: float | None = None, kind: str | None = None, limit: int = 15) -> DataFrame:
+def top_entities(
+    entities: DataFrame, links: DataFrame, events: DataFrame, min_score: float | None = None, kind: str | None = None, recent: str | None = None, as_of: Column | None = None, limit: int = 15
+) -> DataFrame:
+    if recent:
+        events = since(events, "detected_at", recent, as_of)
     e = events.select("event_id", "significance_score")
     if min_score is not None:
         e = e.where(F.col("significance_score") >= min_score)

@@ -134,10 +134,16 @@ def quote_spans(spark, sf):
     return o.select("batch", "seq", X.quote_start(F.col("raw_text"), q).cast("string").alias("span_start"), X.quote_end(F.col("raw_text"), q).cast("string").alias("span_end"))
 
 
-@query(f"""WITH {B.OBS} SELECT batch, seq, CASE doc_id % 7 WHEN 4 THEN '2026-06-30' WHEN 6 THEN '2026-06-30' END AS deadline FROM obs WHERE doc_id % 7 >= 4""")
+_NAMES = "|".join(C.MONTHS)
+_ISO, _DMY, _MDY = r"\b(\d{4}-\d{2}-\d{2})\b", rf"(?i)\b(\d{{1,2}})\s+({_NAMES})\s+(\d{{4}})\b", rf"(?i)\b({_NAMES})\s+(\d{{1,2}}),\s*(\d{{4}})\b"
+
+
+@query(f"""WITH {B.OBS}, f AS (SELECT batch, seq, regexp_extract(raw_text, '{_ISO}', 1) AS iso, regexp_extract(raw_text, '{_DMY}', ['d', 'm', 'y']) AS a, regexp_extract(raw_text, '{_MDY}', ['m', 'd', 'y']) AS b FROM obs)
+SELECT batch, seq, CASE WHEN iso <> '' THEN CAST(try_cast(iso AS DATE) AS VARCHAR) WHEN a.d <> '' THEN CAST(CAST(try_strptime(a.d || ' ' || a.m || ' ' || a.y, '%d %B %Y') AS DATE) AS VARCHAR)
+  WHEN b.d <> '' THEN CAST(CAST(try_strptime(b.d || ' ' || b.m || ' ' || b.y, '%d %B %Y') AS DATE) AS VARCHAR) END AS deadline FROM f""")
 def deadlines(spark, sf):
-    tail = F.right("raw_text", F.lit(30))
-    return D.observations(spark, sf).where("doc_id % 7 >= 4").select("batch", "seq", X.parse_deadline(tail).cast("string").alias("deadline"))
+    """The first date of each whole text."""
+    return D.observations(spark, sf).select("batch", "seq", X.parse_deadline(F.col("raw_text")).cast("string").alias("deadline"))
 
 
 @query(f"WITH {B.DETECTED} SELECT batch, seq, source_url, outcome, event_id, prev_hash FROM detected")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from regdelta import constants as C
 from regdelta.functions import entity as E
+from regdelta.functions import text as X
 from regdelta.operators import alerts as A
 from regdelta.operators import matching as M
 from regdelta.operators import reports as R
@@ -52,14 +53,14 @@ def top_scored(spark, sf):
     return R.top_scored(B.scored(spark, sf))
 
 
-@query(f"{SCORED} SELECT event_id FROM scored WHERE (significance_score IS NULL OR error IS NOT NULL) AND diff_kind = 'modified' ORDER BY detected_at DESC, event_id LIMIT 50")
+@query(f"{SCORED} SELECT event_id FROM scored WHERE (significance_score IS NULL OR error IS NOT NULL) AND diff_kind = 'modified' AND detected_at >= {AS_OF - 14 * DAY} ORDER BY detected_at DESC, event_id LIMIT 50")
 def score_backlog(spark, sf):
-    return S.backlog(B.scored(spark, sf), "retry", kind="modified").select("event_id")
+    return S.backlog(B.scored(spark, sf), "retry", kind="modified", recent="2w", as_of=F.timestamp_seconds(F.lit(AS_OF))).select("event_id")
 
 
-@query(f"{SCORED} SELECT event_id FROM scored WHERE diff_kind = 'created' AND contains(source_url, 'fca.org.uk') AND significance_score >= 0.3 ORDER BY detected_at DESC, event_id LIMIT 50")
+@query(f"{SCORED} SELECT event_id FROM scored WHERE diff_kind = 'created' AND contains(source_url, 'fca.org.uk') AND significance_score >= 0.3 AND detected_at >= {AS_OF - 4 * DAY} ORDER BY detected_at DESC, event_id LIMIT 50")
 def list_changes(spark, sf):
-    return R.list_changes(B.scored(spark, sf), kind="created", domain="fca.org.uk", min_score=0.3).select("event_id")
+    return R.list_changes(B.scored(spark, sf), kind="created", domain="fca.org.uk", min_score=0.3, recent="4d", as_of=F.timestamp_seconds(F.lit(AS_OF))).select("event_id")
 
 
 @query(f"{SCORED} SELECT event_id FROM scored WHERE list_has_all(origin_countries, ['CN', 'US'])")
@@ -72,9 +73,14 @@ def tariff_summary(spark, sf):
     return R.tariff_summary(B.scored(spark, sf))
 
 
-@query(f"{SCORED} SELECT quantile_cont(scored_at - detected_at, 0.5) AS p50, quantile_cont(scored_at - detected_at, 0.95) AS p95, count(*) FILTER (scored_at IS NULL) AS unscored FROM scored")
+_EXTRACTED = "CASE WHEN doc_id % 2 = 0 THEN scored_at + 120 * (doc_id % 30) END"
+
+
+@query(f"""{SCORED} SELECT quantile_cont(scored_at - detected_at, 0.5) AS p50_score, quantile_cont(scored_at - detected_at, 0.95) AS p95_score, quantile_cont({_EXTRACTED} - scored_at, 0.5) AS p50_obligations, quantile_cont({_EXTRACTED} - scored_at, 0.95) AS p95_obligations,
+  count(*) FILTER (significance_score IS NULL) AS unscored, count(*) FILTER (scored_at IS NOT NULL AND doc_id % 2 = 1 AND significance_score >= 0.6) AS pending FROM scored WHERE detected_at > {AS_OF + 4 * DAY - 7 * DAY}""")
 def pipeline_lag(spark, sf):
-    return R.pipeline_lag(B.scored(spark, sf))
+    s = B.scored(spark, sf).withColumn("obligations_extracted_at", F.expr("CASE WHEN doc_id % 2 = 0 THEN timestamp_seconds(unix_timestamp(scored_at) + 120 * (doc_id % 30)) END"))
+    return R.pipeline_lag(s, F.timestamp_seconds(F.lit(AS_OF + 4 * DAY)))
 
 
 _ENTITY_NAMES = {x.strip().lower().replace("  ", " "): x for x in D.ENTITIES}
@@ -99,11 +105,11 @@ def entity_links(spark, sf):
 
 
 @query(f"""{MENTIONS}, l AS (SELECT DISTINCT event_id, key FROM mentions), n AS (SELECT key, arg_min(display, detected_at * 1000000.0 + doc_id * 10 + pos) AS display_name, max(type) AS entity_type FROM mentions GROUP BY 1)
-SELECT key, count(*) AS mentions, any_value(display_name) AS display_name, any_value(entity_type) AS entity_type FROM l JOIN scored USING (event_id) JOIN n USING (key) WHERE significance_score >= 0.3 GROUP BY key ORDER BY mentions DESC, display_name, key LIMIT 15""")
+SELECT key, count(*) AS mentions, any_value(display_name) AS display_name, any_value(entity_type) AS entity_type FROM l JOIN scored USING (event_id) JOIN n USING (key) WHERE significance_score >= 0.3 AND detected_at >= {AS_OF - 2 * DAY} GROUP BY key ORDER BY mentions DESC, display_name, key LIMIT 15""")
 def top_entities(spark, sf):
     s = B.scored(spark, sf)
     m = S.entity_mentions(s)
-    return S.top_entities(S.sync_entities(m), S.entity_links(m), s, min_score=0.3)
+    return S.top_entities(S.sync_entities(m), S.entity_links(m), s, min_score=0.3, recent="2d", as_of=F.timestamp_seconds(F.lit(AS_OF)))
 
 
 @query(f"{SCORED} SELECT event_id FROM scored WHERE significance_score IS NOT NULL AND len(affected_entities) > 0 AND doc_id % 3 <> 0")
@@ -221,7 +227,7 @@ def matched_terms(spark, sf):
 
 
 ALERTS = f"""{MATCHES}, alerts AS (SELECT sha256(subscription_id || '|' || event_id) AS alert_id, subscription_id, event_id, {D.START} + (subscription_id % 30) * 3600 AS created_at,
-  CASE WHEN subscription_id % 4 = 0 THEN {D.START} END AS delivered_at, CAST(subscription_id % 7 AS INT) AS delivery_attempts,
+  CASE WHEN subscription_id % 4 = 0 THEN {D.START} END AS delivered_at, CASE WHEN subscription_id % 5 < 2 THEN 'timeout' END AS delivery_error, CAST(subscription_id % 7 AS INT) AS delivery_attempts,
   CASE subscription_id % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'done' ELSE 'waived' END AS workflow_status, CASE WHEN subscription_id % 3 = 0 THEN 'desk' END AS assigned_to,
   '2024-01-' || lpad(CAST(1 + subscription_id % 28 AS VARCHAR), 2, '0') AS due_date FROM matches)"""
 
@@ -233,6 +239,7 @@ def _alerts(spark, sf, scored=None):
         {
             "created_at": F.timestamp_seconds(F.lit(D.START) + (s % 30) * 3600),
             "delivered_at": F.when(s % 4 == 0, F.timestamp_seconds(F.lit(D.START))),
+            "delivery_error": F.when(s % 5 < 2, "timeout"),
             "delivery_attempts": (s % 7).cast("int"),
             "workflow_status": F.when(s % 4 == 0, "open").when(s % 4 == 1, "in_progress").when(s % 4 == 2, "done").otherwise("waived"),
             "assigned_to": F.when(s % 3 == 0, "desk"),
@@ -268,10 +275,10 @@ def plan_delivery(spark, sf):
     return out.select("alert_id", "plan", "recipient", F.unix_timestamp("next_attempt_at").cast("string").alias("next_attempt_at"))
 
 
-@query(f"""{ALERTS} SELECT count(*) AS total, count(delivered_at) AS delivered, count(*) FILTER (delivered_at IS NULL AND delivery_attempts > 0) AS failed,
-  count(*) FILTER (delivered_at IS NULL AND delivery_attempts >= 5) AS dead_lettered, round(count(delivered_at) * 100.0 / nullif(count(*), 0), 1) AS pct FROM alerts""")
+@query(f"""{ALERTS} SELECT count(*) AS total, count(delivered_at) AS delivered, count(*) FILTER (delivered_at IS NULL AND delivery_error IS NOT NULL) AS failed,
+  count(*) FILTER (delivered_at IS NULL AND delivery_attempts >= 5) AS dead_lettered, round(count(delivered_at) * 100.0 / nullif(count(*), 0), 1) AS pct FROM alerts WHERE created_at > {D.START + 36 * 3600 - DAY}""")
 def delivery_stats(spark, sf):
-    return A.delivery_stats(_alerts(spark, sf))
+    return A.delivery_stats(_alerts(spark, sf), F.timestamp_seconds(F.lit(D.START + 36 * 3600)))
 
 
 @query(f"""{ALERTS} SELECT workflow_status, count(*) AS alerts, count(assigned_to) AS assigned, count(*) FILTER (due_date < '2024-01-15' AND workflow_status IN ('open', 'in_progress')) AS overdue FROM alerts GROUP BY 1""")
@@ -294,6 +301,13 @@ def inbox(spark, sf):
     return A.inbox(own, alerts, "me@example.com", status="pending").select("alert_id")
 
 
+@query(f"""{ALERTS} SELECT alert_id FROM alerts JOIN subs ON id = subscription_id WHERE subs.label = 'BUILDING' AND workflow_status = 'in_progress' AND assigned_to = 'desk' ORDER BY created_at DESC, alert_id LIMIT 200""")
+def inbox_workflow(spark, sf):
+    """What the desk has in progress of all subscriptions of a label, as one user's."""
+    own = D.subscriptions(spark, sf).where("label = 'BUILDING'").withColumn("user_email", F.lit("me@example.com"))
+    return A.inbox(own, _alerts(spark, sf), "me@example.com", workflow="in_progress", assignee="desk", limit=200).select("alert_id")
+
+
 @query(f"{ALERTS} SELECT alert_id FROM alerts WHERE subscription_id % 3 <> 0")
 def delete_cascade(spark, sf):
     gone = D.subscriptions(spark, sf).where("id % 3 = 0").select(F.col("id").alias("subscription_id"))
@@ -338,6 +352,15 @@ def cost_report(spark, sf):
     return R.cost_report(_calls(spark, sf))
 
 
+_SOME = "FROM (SELECT * FROM costed WHERE scope = 'obligations' AND ts >= 1705276800)"
+
+
+@query(f"""{COSTED} SELECT 'all' AS cut, '' AS key, {_FIGURES.replace("FROM costed", _SOME)} UNION ALL SELECT 'scope', coalesce(scope, 'unknown'), {_FIGURES.replace("FROM costed", _SOME)} GROUP BY 2 UNION ALL SELECT 'model', model, {_FIGURES.replace("FROM costed", _SOME)} GROUP BY 2
+  UNION ALL SELECT 'day', strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m-%d'), {_FIGURES.replace("FROM costed", _SOME)} GROUP BY 2""")
+def cost_report_of_a_scope(spark, sf):
+    return R.cost_report(_calls(spark, sf), start=F.timestamp_seconds(F.lit(1705276800)), scope="obligations")
+
+
 @query(f"{COSTED} SELECT event_id, model, cost FROM costed ORDER BY cost DESC, event_id LIMIT 5")
 def most_expensive_calls(spark, sf):
     return R.most_expensive(_calls(spark, sf))
@@ -354,6 +377,13 @@ def rolling_blocks(spark, sf):
     return W.rolling_blocks(_calls(spark, sf)).select("event_id", "domain", "blocks")
 
 
+@query(f"{CALLS}, e AS (SELECT max(ts) AS t FROM calls) SELECT domain, count(*) AS blocks, arg_max(reason, ts * 1000000000 + event_id) AS last_reason FROM calls, e WHERE ts <= t AND ts > t - 86400 GROUP BY 1")
+def block_status(spark, sf):
+    calls = _calls(spark, sf)
+    last = calls.agg(F.max("ts").alias("t")).first()["t"]
+    return W.block_status(calls, F.lit(last))
+
+
 @query(f"{CALLS} SELECT event_id, scope, count(*) OVER (PARTITION BY scope ORDER BY ts RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS failures, failures >= 3 AS tripped FROM calls WHERE failed AND scope IS NOT NULL")
 def rolling_failures(spark, sf):
     return W.rolling_failures(_calls(spark, sf), 3600, 3).select("event_id", "scope", "failures", "tripped")
@@ -441,17 +471,24 @@ def event_versions(spark, sf):
     return out.select("event_id", F.col("new_chars").cast("long").alias("new_chars"), F.coalesce(F.col("prev_chars").cast("string"), F.lit("-")).alias("prev_chars"), F.unix_timestamp("new_seen_at").alias("new_seen_at"))
 
 
-@query(f"""{SCORED}, t AS (SELECT source_url, content_hash, any_value(raw_text) AS raw_text FROM obs WHERE doc_id % 2 = 0 GROUP BY 1, 2)
-SELECT event_id, coalesce(left(raw_text, 40), summary, '-') AS text FROM scored LEFT JOIN t USING (source_url, content_hash)""")
+@query(f"""{SCORED}, t AS (SELECT source_url, content_hash, any_value(raw_text) AS raw_text FROM obs GROUP BY 1, 2)
+SELECT event_id, sha256(coalesce(nullif(raw_text, ''), summary, '-')) AS text_hash, length(coalesce(nullif(raw_text, ''), summary, '-')) AS chars FROM scored LEFT JOIN t USING (source_url, content_hash)""")
 def event_texts(spark, sf):
-    known = B.versions(spark, sf).where("doc_id % 2 = 0")
     events = B.scored(spark, sf).withColumn("unified_diff", F.lit(None).cast("string"))
-    out = S.event_text(events, known)
-    return out.select("event_id", F.coalesce(F.when(F.length("text") > 40, F.left("text", F.lit(40))).otherwise(F.col("text")), F.lit("-")).alias("text"))
+    text = F.coalesce("text", F.lit("-"))
+    return S.event_text(events, B.versions(spark, sf)).select("event_id", F.sha2(text, 256).alias("text_hash"), F.length(text).cast("long").alias("chars"))
 
 
-@query(f"""{SCORED}, p AS (SELECT event_id, 'Source URL: ' || source_url || chr(10) || 'Title: -' || chr(10) || 'Diff kind: ' || diff_kind || chr(10) || 'Significance score: ' || coalesce(printf('%.2f', significance_score), '-') || chr(10) || chr(10)
-  || 'Document content — chunk 2 of 3.' || chr(10) || 'text' AS prompt FROM scored) SELECT event_id, sha256(prompt) AS prompt_hash FROM p""")
+@query(f"""{SCORED}, t AS (SELECT source_url, content_hash, any_value(raw_text) AS raw_text, any_value(title) AS title FROM obs GROUP BY 1, 2),
+c AS (SELECT event_id, source_url, title, diff_kind, significance_score, raw_text, CAST(ceil(length(raw_text) / 5600.0) AS BIGINT) AS total FROM scored JOIN t USING (source_url, content_hash) WHERE significance_score >= 0.6),
+p AS (SELECT *, unnest(range(0, total)) AS i FROM c)
+SELECT event_id, i AS chunk_no, sha256('Source URL: ' || source_url || chr(10) || 'Title: ' || title || chr(10) || 'Diff kind: ' || diff_kind || chr(10) || 'Significance score: ' || printf('%.2f', significance_score) || chr(10) || chr(10)
+  || CASE WHEN total > 1 THEN 'Document content — chunk ' || (i + 1) || ' of ' || total || '.' ELSE 'Document content:' END || chr(10) || substring(raw_text, i * 5600 + 1, 6000)) AS prompt_hash FROM p""")
 def obligation_prompts(spark, sf):
-    p = S.obligation_prompt(F.col("source_url"), F.lit(None).cast("string"), F.col("diff_kind"), F.col("significance_score"), F.lit("text"), F.lit(1), F.lit(3))
-    return B.scored(spark, sf).select("event_id", F.sha2(p, 256).alias("prompt_hash"))
+    """Prompts of the whole texts of events that pass the gate, a chunk each."""
+    due = B.scored(spark, sf).where("significance_score >= 0.6")
+    texts = S.event_text(due.withColumn("unified_diff", F.lit(None).cast("string")), B.versions(spark, sf))
+    chunks = texts.withColumn("chunks", X.fixed_chunks(F.col("text"), 6000, 400)).select("event_id", "title", F.size("chunks").alias("total"), F.posexplode("chunks").alias("chunk_no", "chunk"))
+    c = due.select("event_id", "source_url", "diff_kind", "significance_score").join(chunks, "event_id")
+    p = S.obligation_prompt(F.col("source_url"), F.col("title"), F.col("diff_kind"), F.col("significance_score"), F.col("chunk"), F.col("chunk_no"), F.col("total"))
+    return c.select("event_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.sha2(p, 256).alias("prompt_hash"))

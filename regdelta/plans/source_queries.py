@@ -31,7 +31,7 @@ def page_plain_text(spark, sf):
 
 
 FEED = """items AS (SELECT 'https://feed' || CAST(doc_id % 3 AS VARCHAR) || '.example.com/rss' AS feed_url, 'Feed' AS feed_title, doc_id AS pos, CASE WHEN doc_id % 5 <> 0 THEN 'Item ' || CAST(doc_id AS VARCHAR) END AS title,
-  CASE WHEN doc_id % 7 <> 0 THEN 'https://x.example.com/' || CAST(doc_id % 50 AS VARCHAR) END AS link, CASE WHEN doc_id % 11 <> 0 THEN left(trim(text), 80) END AS summary, CASE WHEN doc_id % 2 = 0 THEN 'guid-' || CAST(doc_id % 90 AS VARCHAR) END AS guid FROM documents)"""
+  CASE WHEN doc_id % 7 <> 0 THEN 'https://x.example.com/' || CAST(doc_id % 50 AS VARCHAR) END AS link, CASE WHEN doc_id % 11 <> 0 THEN trim(text) END AS summary, CASE WHEN doc_id % 2 = 0 THEN 'guid-' || CAST(doc_id % 90 AS VARCHAR) END AS guid FROM documents)"""
 
 
 def _items(spark, sf):
@@ -42,7 +42,7 @@ def _items(spark, sf):
         d.alias("pos"),
         F.when(d % 5 != 0, F.concat(F.lit("Item "), text(d))).alias("title"),
         F.when(d % 7 != 0, F.concat(F.lit("https://x.example.com/"), text(d % 50))).alias("link"),
-        F.when(d % 11 != 0, F.left(F.trim("text"), F.lit(80))).alias("summary"),
+        F.when(d % 11 != 0, F.trim("text")).alias("summary"),
         F.when(d % 2 == 0, F.concat(F.lit("guid-"), text(d % 90))).alias("guid"),
         F.lit(None).cast("string").alias("published"),
     )
@@ -56,7 +56,7 @@ def feed_documents(spark, sf):
     return S.feed_items_to_documents(_items(spark, sf)).select("feed_url", "pos", "source_url", "title", "raw_text", "content_hash")
 
 
-REGISTER = """idx AS (SELECT 'FR-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS document_number, CASE WHEN doc_id % 6 <> 0 THEN 'Notice ' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN doc_id % 4 <> 0 THEN left(trim(text, ' ' || chr(10)), 40) END AS abstract,
+REGISTER = """idx AS (SELECT 'FR-' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS document_number, CASE WHEN doc_id % 6 <> 0 THEN 'Notice ' || CAST(doc_id AS VARCHAR) END AS title, CASE WHEN doc_id % 4 <> 0 THEN trim(text, ' ' || chr(10)) END AS abstract,
   CASE doc_id % 4 WHEN 0 THEN 'RULE' WHEN 1 THEN 'PROPOSED_RULE' WHEN 2 THEN 'NOTICE' ELSE 'PRESIDENTIAL_DOCUMENT' END AS type, '2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') AS publication_date,
   'https://r.example.com/' || CAST(doc_id AS VARCHAR) AS html_url, CASE WHEN doc_id % 3 <> 0 THEN trim(text, ' ' || chr(10)) END AS body FROM documents)"""
 
@@ -67,7 +67,7 @@ def _register(spark, sf):
     index = docs.select(
         F.concat(F.lit("FR-"), F.lpad(d.cast("string"), 9, "0")).alias("document_number"),
         F.when(d % 6 != 0, F.concat(F.lit("Notice "), d.cast("string"))).alias("title"),
-        F.when(d % 4 != 0, F.left(X.strip(F.col("text")), F.lit(40))).alias("abstract"),
+        F.when(d % 4 != 0, X.strip(F.col("text"))).alias("abstract"),
         F.when(d % 4 == 0, "RULE").when(d % 4 == 1, "PROPOSED_RULE").when(d % 4 == 2, "NOTICE").otherwise("PRESIDENTIAL_DOCUMENT").alias("type"),
         F.array(F.struct(F.lit("Agency A").alias("raw_name")), F.struct(F.lit("Agency B").alias("raw_name"))).alias("agencies"),
         F.concat(F.lit("2024-01-"), F.lpad((1 + d % 28).cast("string"), 2, "0")).alias("publication_date"),
@@ -118,7 +118,8 @@ def frontier(spark, sf):
 
 @query("""WITH log AS (SELECT c_custkey AS id, c_custkey % 4 AS op, c_nationkey FROM customer)
 SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 THEN 'renamed' ELSE c_mktsegment END AS label, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS channel FROM customer WHERE c_custkey % 4 <> 2
-UNION ALL SELECT c_custkey + 1000000, 'new', NULL FROM customer WHERE c_custkey % 4 = 3""")
+UNION ALL SELECT c_custkey + 1000000, 'new', CASE WHEN c_custkey % 8 = 3 THEN 'patched' END FROM customer WHERE c_custkey % 4 = 3
+UNION ALL SELECT c_custkey, 'again', NULL FROM customer WHERE c_custkey % 8 = 2""")
 def registry_changes(spark, sf):
     c = D.read(spark, sf, "customer")
     table = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_name").alias("channel"))
@@ -130,7 +131,18 @@ def registry_changes(spark, sf):
     earlier = c.where(k % 4 == 1).select(k.alias("id"), F.lit(1).alias("seq"), F.lit("patch").alias("op"), F.create_map(F.lit("label"), F.lit("first")).alias("patch"))
     gone = c.where(k % 4 == 2).select(k.alias("id"), F.lit(1).alias("seq"), F.lit("delete").alias("op"), empty.alias("patch"))
     made = c.where(k % 4 == 3).select((k + 1_000_000).alias("id"), F.lit(1).alias("seq"), F.lit("create").alias("op"), F.create_map(F.lit("label"), F.lit("new")).alias("patch"))
+    # creates of keys that are there and second creates are rejected, patches before a create as well; a deleted key may be made again
+    sent = lambda label: F.create_map(F.lit("label"), F.lit(label))
+    more = [
+        c.where(k % 4 == 0).select(k.alias("id"), F.lit(1).alias("seq"), F.lit("create").alias("op"), sent("taken").alias("patch")),
+        c.where(k % 4 == 3).select((k + 1_000_000).alias("id"), F.lit(2).alias("seq"), F.lit("create").alias("op"), sent("second").alias("patch")),
+        c.where(k % 8 == 3).select((k + 1_000_000).alias("id"), F.lit(3).alias("seq"), F.lit("patch").alias("op"), F.create_map(F.lit("channel"), F.lit("patched")).alias("patch")),
+        c.where(k % 4 == 3).select((k + 1_000_000).alias("id"), F.lit(0).alias("seq"), F.lit("patch").alias("op"), sent("too early").alias("patch")),
+        c.where(k % 8 == 2).select(k.alias("id"), F.lit(2).alias("seq"), F.lit("create").alias("op"), sent("again").alias("patch")),
+    ]
     log = patches.unionByName(earlier).unionByName(gone).unionByName(made)
+    for part in more:
+        log = log.unionByName(part)
     return A.apply_registry_changes(table, log, "id", ["label", "channel"])
 
 
