@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,8 +68,8 @@ TEMPLATES = (
 TITLES = (
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
-    ("MIT", "The MIT License (MIT)"),
-    ("ISC", "The ISC License"),
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
     ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
@@ -113,10 +114,12 @@ def segments(text: str) -> Iterator[tuple[int, str]]:
             yield at, s
 
 
-def wrapped(text: str) -> Iterator[tuple[int, str]]:
-    """(place, segment) of the sentences that stand on several lines, and of paragraphs of several sentences or lines."""
+def wrapped(text: str, may_hold=None) -> Iterator[tuple[int, str]]:
+    """(place, segment) of the sentences that stand on several lines, and of paragraphs of several sentences or lines; of the paragraphs that may hold a licence."""
     for p in PARAGRAPH.finditer(text):
         at, body = _stripped(p.start(1), p.group(1))
+        if may_hold and not may_hold(body):
+            continue
         parts = [_stripped(at + m.start(), m.group()) for m in SENTENCE.finditer(body)]
         parts = [(i, s) for i, s in parts if s]
         yield from ((i, s) for i, s in parts if "\n" in s)
@@ -145,7 +148,8 @@ class Matcher:
     """Weights and template vectors; terms that no template has weigh as much as a middling template term.
 
     markers: a segment without any of these cannot reach the similarity. Of each template
-    the shortest terms are left out as long as all of them together would stay below it.
+    the shortest and then the most frequent terms are left out as long as all of them together would stay below it;
+    a template that needs a longer number or qualifier is marked by that alone. Markers are whole terms.
     """
 
     def __init__(self, templates, total: int, frequency: dict[str, int], similarity: float = SIMILARITY):
@@ -162,16 +166,34 @@ class Matcher:
             share = {w: n * self.idf[w] / norm for w, n in bag.items()}
             for w, x in share.items():
                 self.posting.setdefault(w, []).append((i, x))
+            needed = [w for w in self.told[i] if len(w) > 2]
+            if needed:
+                marks.add(max(needed, key=lambda w: (len(w), w)))
+                continue
             common = 0.0
-            for w in sorted(share, key=lambda w: (len(w), w)):
+            for w in sorted(share, key=lambda w: (len(w) > 3, self.idf[w], w)):
                 common += share[w] ** 2
                 if math.sqrt(common) >= similarity - 1e-9:
                     marks.add(w)
         self.markers = sorted(marks)
+        self.automaton: ahocorasick.Automaton | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"automaton": None}
 
     def may_hold(self, text: str) -> bool:
+        if not self.markers:
+            return False
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for m in self.markers:
+                self.automaton.add_word(m, len(m))
+            self.automaton.make_automaton()
         low = text.lower()
-        return any(m in low for m in self.markers)
+        for end, size in self.automaton.iter(low):
+            if not low[end + 1 : end + 2].isalnum() and not (end >= size and low[end - size].isalnum()):
+                return True
+        return False
 
     def best(self, segment: str, first: int = 0) -> tuple[float, str | None]:
         """Similarity and licence of the nearest template, from the given one on."""
@@ -207,10 +229,10 @@ def own_licences(files: DataFrame, matcher: Matcher, first_title: int, similarit
     held = files.sparkSession.sparkContext.broadcast(matcher)
 
     def scan(m: Matcher, text: str) -> tuple:
-        best, found, spans, size = (0.0, None, None, None), set(), [], 0
-        for at, s in segments(text):
-            size += len(s)
-        for at, s in chain(segments(text), wrapped(text)):
+        best, found, spans = (0.0, None, None, None), set(), []
+        lines = list(segments(text))
+        size = sum(len(s) for _, s in lines)
+        for at, s in chain(lines, wrapped(text, m.may_hold)):
             score, name = m.best(s) if m.may_hold(s) else (0.0, None)
             if score >= similarity:
                 spans.append((at, at + len(s)))
