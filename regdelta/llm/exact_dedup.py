@@ -4,8 +4,10 @@ Every partition of the input builds one counting quotient filter over the 64-bit
 fingerprints of its texts: the high bits (the quotient) name a block, the low bits (the
 remainder) stand sorted in the block's run, each with its counter. Filters merge block
 by block: runs are concatenated, sorted by remainder, counters of equal remainders
-added. Quotient and remainder together are the whole fingerprint, so merging loses
-nothing. Fingerprints that were counted once are settled; those counted more often send
+added. A run is kept as a sorted array of whole remainders beside an array of counters: it is
+the sorted, lossless form that filters are merged in, without packed slots and their run-end bits,
+which serve lookups that no one makes here. Quotient and remainder together are the whole
+fingerprint, so merging loses nothing. Fingerprints that were counted once are settled; those counted more often send
 their texts to a byte comparison.
 """
 
