@@ -60,6 +60,40 @@ def normalize_url(url: Column) -> Column:
     return F.when(scheme.isin("http", "https"), full)
 
 
+def _without_dots(path: Column) -> Column:
+    """Path whose `.` and `..` segments are followed; those that lead above the root are dropped."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def follow(done, x):
+        up = F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1)).otherwise(done)
+        return F.when(x == "..", up).when(x == ".", done).otherwise(F.array_append(done, x))
+
+    followed = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), follow), "/")
+    folder = F.when(last.isin(".", ".."), F.concat(F.regexp_replace(followed, "/$", ""), F.lit("/"))).otherwise(followed)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), folder).otherwise(path)
+
+
+def resolve_url(href: Column, base: Column) -> Column:
+    """The absolute URL that a link of a page stands for, by RFC 3986; null if either is null."""
+    h = F.trim(href)
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    here = F.when(path_of(base) == "", "/").otherwise(path_of(base))
+    folder = F.regexp_extract(here, "^(.*/)", 1)
+    path = F.regexp_extract(h, "^([^?#]*)", 1)
+    rest = F.regexp_extract(h, "^[^?#]*(.*)$", 1)
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)", 1)
+    return (
+        F.when(h.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
+        .when(path.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .when(path != "", F.concat(root, _without_dots(F.concat(folder, path)), rest))
+        .when(rest.startswith("?"), F.concat(root, here, rest))
+        .otherwise(F.concat(root, here, query, rest))
+    )
+
+
 def is_spider_trap(url: Column) -> Column:
     path = path_of(url)
     return (F.length(url) > 512) | url.rlike(C.SESSION_PATTERN) | path.rlike(C.CALENDAR_PATTERN) | path.rlike(C.REPEATED_PATTERN)

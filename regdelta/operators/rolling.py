@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _frame(keys: list[str], ts: str, seconds: int) -> Window:
-    """The last `seconds` up to each row; a row exactly that old is out."""
-    return Window.partitionBy(*keys).orderBy(F.unix_micros(ts)).rangeBetween(-(seconds * 1_000_000 - 1), 0)
+def rolling_count(rows: DataFrame, key: str, ts: str, seconds: int, name: str) -> DataFrame:
+    """Adds the count of the key's rows in the last `seconds` up to each row; a row exactly that old is out.
+
+    Time is cut in buckets as long as the window. A row goes to its own and to the next bucket, where it
+    is only counted, so that a key with most of the rows is many groups.
+    """
+    length = seconds * 1_000_000
+    bucket = F.floor(F.unix_micros(ts) / length)
+    spread = rows.withColumn("_next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", bucket + F.col("_next"))
+    w = Window.partitionBy(key, "_bucket").orderBy(F.unix_micros(ts)).rangeBetween(-(length - 1), 0)
+    return spread.withColumn(name, F.count("*").over(w)).where("_next = 0").drop("_next", "_bucket")
 
 
 def rolling_blocks(blocks: DataFrame, seconds: int = 86_400) -> DataFrame:
-    w = _frame(["domain"], "ts", seconds)
-    return blocks.withColumn("blocks", F.count("*").over(w))
+    return rolling_count(blocks, "domain", "ts", seconds, "blocks")
 
 
 def block_status(blocks: DataFrame, as_of: Column, seconds: int = 86_400, order: str = "event_id") -> DataFrame:
@@ -25,26 +32,33 @@ def block_status(blocks: DataFrame, as_of: Column, seconds: int = 86_400, order:
 
 def rolling_failures(calls: DataFrame, seconds: int = 60, threshold: int = 10) -> DataFrame:
     """Failures of each scope with the count of its window, and whether that trips the breaker."""
-    failures = calls.where("failed and scope is not null")
-    return failures.withColumn("failures", F.count("*").over(_frame(["scope"], "ts", seconds))).withColumn("tripped", F.col("failures") >= threshold)
+    failures = rolling_count(calls.where("failed and scope is not null"), "scope", "ts", seconds, "failures")
+    return failures.withColumn("tripped", F.col("failures") >= threshold)
 
 
 def breaker_intervals(calls: DataFrame, seconds: int = 60, threshold: int = 10, cooldown: int = 300) -> DataFrame:
-    """(scope, opened_at, open_until, trips): overlapping openings merged."""
-    trips = rolling_failures(calls, seconds, threshold).where("tripped").select("scope", F.unix_micros("ts").alias("a"))
-    trips = trips.withColumn("b", F.col("a") + cooldown * 1_000_000)
-    order = Window.partitionBy("scope").orderBy("a", "b")
+    """(scope, opened_at, open_until, trips): overlapping openings merged.
+
+    Trips of one stretch as long as the cooldown overlap and are merged first; the stretches are put in order.
+    """
+    length = cooldown * 1_000_000
+    trips = rolling_failures(calls, seconds, threshold).where("tripped").select("scope", F.unix_micros("ts").alias("t"))
+    stretches = trips.groupBy("scope", F.floor(F.col("t") / length).alias("_stretch")).agg(F.min("t").alias("a"), (F.max("t") + length).alias("b"), F.count("*").alias("n"))
+    order = Window.partitionBy("scope").orderBy("a")
     before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = trips.withColumn("_new", (before.isNull() | (F.col("a") > before)).cast("int"))
+    marked = stretches.withColumn("_new", (before.isNull() | (F.col("a") > before)).cast("int"))
     island = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = island.groupBy("scope", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("trips"))
+    out = island.groupBy("scope", "_island").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.sum("n").alias("trips"))
     return out.select("scope", F.timestamp_micros("a").alias("opened_at"), F.timestamp_micros("b").alias("open_until"), "trips")
 
 
-def is_open(calls: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Adds whether the breaker of a call's scope is open then. A scope's intervals are disjoint; the last that began decides."""
-    a = intervals.select("scope", F.col("opened_at").alias("ts"), F.col("open_until").alias("_until"), F.lit(0).alias("_kind"))
-    b = calls.withColumn("_kind", F.lit(1))
-    w = Window.partitionBy("scope").orderBy("ts", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = b.unionByName(a, allowMissingColumns=True).withColumn("_last", F.last("_until", ignorenulls=True).over(w))
-    return both.where("_kind = 1").withColumn("open", F.coalesce(F.col("ts") < F.col("_last"), F.lit(False))).drop("_until", "_last", "_kind")
+def is_open(calls: DataFrame, intervals: DataFrame, seconds: int = 300) -> DataFrame:
+    """Adds whether the breaker of a call's scope is open then.
+
+    A scope's intervals are disjoint. They and the calls meet by scope and stretch of `seconds`; any length
+    gives the same result, and at most one interval fits a call.
+    """
+    stretch = lambda c: F.floor(F.unix_micros(c) / (seconds * 1_000_000))
+    spread = intervals.select(F.col("scope").alias("_scope"), "opened_at", "open_until", F.explode(F.sequence(stretch("opened_at"), stretch("open_until"))).alias("_stretch"))
+    fits = (F.col("scope") == F.col("_scope")) & (stretch("ts") == F.col("_stretch")) & (F.col("ts") >= F.col("opened_at")) & (F.col("ts") < F.col("open_until"))
+    return calls.join(spread, fits, "left").withColumn("open", F.col("_scope").isNotNull()).select(*calls.columns, "open")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regdelta import constants as C
 from regdelta.functions import text as X
+from regdelta.functions import url as L
 from regdelta.operators import alerts as A
 from regdelta.operators import crawl
 from regdelta.operators import reports as R
+from regdelta.plans import base as B
 from regdelta.plans import derived as D
 from regdelta.plans.registry import query
 from regdelta.sources import landing as S
@@ -25,7 +28,12 @@ def page_titles(spark, sf):
     return D.read(spark, sf, "pages").select("page_id", F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("lang"), F.length(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)).cast("long").alias("title_len"))
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '<[^>]+>', chr(10), 'g')"
+_SIGNS = "replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&')"
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace({_BARE}, '[ \t]+\n', chr(10), 'g') AS t FROM pages)
+SELECT page_id, trim(regexp_replace({_SIGNS}, '\n[ \t]*\n(?:[ \t]*\n)+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM b""")
 def page_plain_text(spark, sf):
     return D.read(spark, sf, "pages").select("page_id", P.html_to_text(F.col("html")).alias("text"))
 
@@ -116,6 +124,24 @@ def frontier(spark, sf):
     return crawl.expand_frontier(edges, seeds)
 
 
+_STEM = "regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
+_QUERY = f"list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]*=.') AND NOT list_contains([{B.quoted(C.TRACKING_PARAMS)}], lower(split_part(x, '=', 1)))))"
+
+
+# links of the pages are absolute paths, so the SQL has no other form to resolve
+@query(f"""WITH p AS (SELECT lower(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)) AS root, {_STEM} AS stem, {_QUERY} AS q, html FROM pages WHERE starts_with(url, 'http')),
+n AS (SELECT root, regexp_replace(split_part(root, '://', 2), '^[w.]+', '') AS host, root || CASE WHEN stem = '' THEN '/' ELSE stem END || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url, html FROM p),
+s AS (SELECT root, url, html FROM n WHERE host = 'example.com' OR ends_with(host, '.example.com')),
+h AS (SELECT root, trim(unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=["'']([^"'']*)["'']', 1))) AS href FROM s),
+l AS (SELECT DISTINCT root || CASE WHEN rtrim(href, '/') = '' THEN '/' ELSE rtrim(href, '/') END AS url FROM h WHERE starts_with(href, '/'))
+SELECT url, CAST(0 AS INT) AS depth, 'html' AS class FROM s GROUP BY url
+UNION ALL SELECT url, 1, 'html' FROM l WHERE url NOT IN (SELECT url FROM s)""")
+def crawl_frontier(spark, sf):
+    pages = D.read(spark, sf, "pages")
+    seeds = pages.where(L.is_same_domain(F.col("url"), "example.com")).select("url", F.col("page_id").alias("pos"))
+    return crawl.crawl_frontier(pages, seeds, "example.com", max_pages=None, max_pdfs=None, max_xmls=None).select("url", "depth", "class")
+
+
 @query("""WITH log AS (SELECT c_custkey AS id, c_custkey % 4 AS op, c_nationkey FROM customer)
 SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 THEN 'renamed' ELSE c_mktsegment END AS label, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS channel FROM customer WHERE c_custkey % 4 <> 2
 UNION ALL SELECT c_custkey + 1000000, 'new', CASE WHEN c_custkey % 8 = 3 THEN 'patched' END FROM customer WHERE c_custkey % 4 = 3
