@@ -218,13 +218,14 @@ def test_lists_and_ledgers(spark, tmp_path):
     assert [(r.id, r.expected.significance_score.max) for r in Land.read_golden(spark, str(tmp_path / "golden.jsonl")).collect()] == [("g1", 0.3)]
 
 
-def test_streamed_ingest_equals_the_batch_job(spark, tmp_path):
+@pytest.mark.parametrize("every", [2, 32])
+def test_streamed_ingest_equals_the_batch_job(spark, tmp_path, every):
     log = random_log(60, 9)
     land = str(tmp_path / "in")
     for b in range(6):
         observed(spark, [r for r in log if r[2] == b]).coalesce(1).write.mode("append").parquet(land)
         stream = spark.readStream.schema(observed(spark, []).schema).parquet(land)
-        J.each_batch(stream, J.ingest_batch(str(tmp_path / "state"), str(tmp_path / "events")), str(tmp_path / "ck")).awaitTermination(120)
+        J.each_batch(stream, J.ingest_batch(str(tmp_path / "state"), str(tmp_path / "events"), every=every), str(tmp_path / "ck")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "events")).collect()
     want = [r for r in sequential_outcomes(log) if r[4] != "unchanged"]
     assert sorted((r.source_url, r.content_hash, r.outcome) for r in got) == sorted((u, h, k) for u, h, _, _, k, _ in want)
@@ -280,6 +281,17 @@ def test_alert_stream_makes_each_alert_once(spark, tmp_path):
     run(events, 1)
     got = spark.read.parquet(str(tmp_path / "alerts")).select("subscription_id", "event_id").collect()
     assert sorted(map(tuple, got)) == [(1, "e1"), (1, "e2"), (2, "e1")]
+    assert spark.read.parquet(str(tmp_path / "alerts" / "batch=1")).count() == 0
+    addressed = subs.withColumns({"user_email": F.concat(F.lit("u"), F.col("id").cast("string"), F.lit("@x.org")), "channel": F.when(F.col("id") == 1, "email").otherwise("none"), "channel_target": F.lit(None).cast("string")})
+    J.alert_batch(texts, addressed, str(tmp_path / "again"), str(tmp_path / "outbox"))(events, 0)
+    assert sorted((r.event_id, r.recipient) for r in spark.read.parquet(str(tmp_path / "outbox")).collect()) == [("e1", "u1@x.org"), ("e2", "u1@x.org")]
+
+
+def test_streamed_ingest_keeps_what_the_filter_passes(spark, tmp_path):
+    rule = "The importer shall comply with section 5 of this regulation and pay the penalty required by the act. " * 5
+    rows = observed(spark, [("u", "h", 0, 0), ("v", "k", 0, 1)]).withColumn("raw_text", F.when(F.col("source_url") == "u", rule).otherwise("hello there"))
+    J.ingest_batch(str(tmp_path / "state"), str(tmp_path / "events"), filtered=True)(rows.withColumn("title", F.lit("")), 0)
+    assert [r.source_url for r in spark.read.parquet(str(tmp_path / "events")).collect()] == ["u"]
 
 
 def test_domain_report_and_eval(spark):
