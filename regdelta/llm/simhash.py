@@ -5,16 +5,19 @@ members agree in the bits read so far. The self-join walks pairs of nodes downwa
 bit at a time, adds up the bits in which the two paths differ and drops a pair as soon
 as the sum is over the error budget.
 
-To share the walk out, the fingerprint is rotated by 0, 16, 32 and 48 bits. Of four
-16-bit blocks that hold at most three errors one holds none, so in some rotation the
-two fingerprints lie below the same node at depth 16. These nodes are the groups that
-Spark deals out. A group that is too large for a task is replaced by pairs of its
-child nodes, eight bits deeper, that are still within the budget, and so on.
+To share the walk out, the blocks of a fingerprint are moved so that each in turn comes
+first. Of four 16-bit blocks that hold at most three errors one holds none, so in some
+order the two fingerprints lie below the same node at depth 16. These nodes are the groups
+that Spark deals out. Beyond 2^30 fingerprints it is each three of six blocks that come
+first, and the nodes lie at depth 31 to 33. A group that is too large for a task is replaced
+by pairs of its child nodes, eight bits deeper, that are still within the budget, and so on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -137,15 +140,42 @@ def walk(f: np.ndarray, pairs: list[np.ndarray], roots: Roots, depth: int, budge
             depth += 1
 
 
-def _rotate(f: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    bits = bits.astype(np.uint64)
-    return np.where(bits == 0, f, (f << bits) | (f >> ((np.uint64(64) - bits) % np.uint64(64))))
+def _layout(widths: tuple[int, ...], held: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """For each choice of `held` blocks: their bits in all, and how the blocks move when these come first.
+
+    A move is (shift to the right, mask, shift to the left). With `held` of held + BUDGET blocks, any two
+    fingerprints within the budget agree on all blocks of some choice.
+    """
+    from_right = [64 - sum(widths[: i + 1]) for i in range(len(widths))]
+    tables = []
+    for first in combinations(range(len(widths)), held):
+        order, left, moves = [*first, *(i for i in range(len(widths)) if i not in first)], 64, []
+        for i in order:
+            left -= widths[i]
+            moves.append((from_right[i], (1 << widths[i]) - 1, left))
+        tables.append((sum(widths[i] for i in first), moves))
+    return tables
+
+
+#: Four tables with keys of 16 bits; twenty with keys of 31 to 33 bits, for so many fingerprints that
+#: nodes of 16 bits would all be large: division would multiply each row by up to 93.
+NARROW, WIDE = _layout((16,) * 4, 1), _layout((11, 11, 11, 11, 10, 10), 3)
+TABLES = NARROW + WIDE
+
+
+def _restored(f: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The fingerprints whose blocks were moved for these tables."""
+    out = np.empty_like(f)
+    for t in np.unique(table):
+        at = table == t
+        out[at] = sum(((f[at] >> np.uint64(left)) & np.uint64(mask)) << np.uint64(right) for right, mask, left in TABLES[t][1])
+    return out
 
 
 def _links(rows: pd.DataFrame) -> pd.DataFrame:
     """Walks the node pairs of some groups together; emits a link to its root for each member that has another root.
 
-    rows: grp, side (0: the one node, 1: the other, 2: a node with itself), spent, depth, f (rotated), turn.
+    rows: grp, side (0: the one node, 1: the other, 2: a node with itself), spent, depth, f (its blocks moved), tab (index in TABLES).
     """
     rows = rows.assign(f=rows["f"].to_numpy(np.int64).view(np.uint64)).sort_values(["grp", "side", "f"], kind="stable")
     f, grp, side = rows["f"].to_numpy(), rows["grp"].to_numpy(), rows["side"].to_numpy()
@@ -163,7 +193,7 @@ def _links(rows: pd.DataFrame) -> pd.DataFrame:
         walk(f, [starts[a], ends[a], starts[b], ends[b], spent[starts[a]]], roots, int(d))
     at = roots.find(np.arange(len(f)))
     moved = at != np.arange(len(f))
-    plain = _rotate(f, 64 - rows["turn"].to_numpy(np.int64)).view(np.int64)
+    plain = _restored(f, rows["tab"].to_numpy(np.int64)).view(np.int64)
     return pd.DataFrame({"a": plain[moved], "b": plain[at[moved]]})
 
 
@@ -186,32 +216,26 @@ def _walk_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _links(pd.concat(held))
 
 
-NODE = "grp string, side int, spent int, depth int, f long, turn int"
+NODE = "grp string, side int, spent int, depth int, f long, tab int"
 
 
-def _rotations(fps: DataFrame) -> DataFrame:
-    turns = [
-        F.struct(
-            F.concat(F.lit(f"{t}:"), F.lower(F.hex(F.shiftrightunsigned(rot, 48)))).alias("grp"),
-            F.lit(2).alias("side"),
-            F.lit(0).alias("spent"),
-            F.lit(16).alias("depth"),
-            rot.alias("f"),
-            F.lit(t).alias("turn"),
-        )
-        for t in (0, 16, 32, 48)
-        for rot in [F.col("fp") if t == 0 else F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t))]
-    ]
-    return fps.select(F.inline(F.array(*turns)))
+def _nodes(fps: DataFrame, layout: list) -> DataFrame:
+    rows = []
+    for t, (depth, moves) in enumerate(layout, TABLES.index(layout[0])):
+        blocks = [F.shiftleft(F.shiftrightunsigned("fp", right).bitwiseAND(F.lit(mask).cast("long")), left) for right, mask, left in moves]
+        f = reduce(Column.bitwiseOR, blocks)
+        key = F.concat(F.lit(f"{t}:"), F.lower(F.hex(F.shiftrightunsigned(f, 64 - depth))))
+        rows.append(F.struct(key.alias("grp"), F.lit(2).alias("side"), F.lit(0).alias("spent"), F.lit(depth).alias("depth"), f.alias("f"), F.lit(t).alias("tab")))
+    return fps.select(F.inline(F.array(*rows)))
 
 
-def _divide(nodes: DataFrame, depth: int) -> DataFrame:
+def _divide(nodes: DataFrame) -> DataFrame:
     """Replaces node pairs by the pairs of their children eight bits deeper that are within the budget.
 
     A child takes part in the pairs whose partner exists; the partner is found by
     toggling at most the bits that the budget leaves.
     """
-    byte = F.shiftrightunsigned("f", 56 - depth).bitwiseAND(F.lit(255)).cast("int")
+    byte = F.expr("shiftrightunsigned(f, 56 - depth)").bitwiseAND(F.lit(255)).cast("int")
     masks = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(bin(m).count("1")).alias("c")) for m in range(256) if bin(m).count("1") <= BUDGET])
     # side 2: child x with itself, and with x ^ m for m > 0; the lesser of the two is side 0
     spread = nodes.withColumn("x", byte).withColumn("t", F.explode(masks)).where(F.col("spent") + F.col("t.c") <= BUDGET)
@@ -224,29 +248,34 @@ def _divide(nodes: DataFrame, depth: int) -> DataFrame:
         F.concat_ws("/", "grp", left.cast("string"), right.cast("string")).alias("grp"),
         new_side.cast("int").alias("side"),
         (F.col("spent") + F.col("t.c")).cast("int").alias("spent"),
-        F.lit(depth + 8).alias("depth"),
+        (F.col("depth") + 8).alias("depth"),
         "f",
-        "turn",
+        "tab",
     )
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints, enough of them to connect whatever lies within the budget."""
-    parts = _rotations(fps)
+def near_links(fps: DataFrame, layout: list | None = None) -> DataFrame:
+    """(a, b): links between different fingerprints, enough of them to connect whatever lies within the budget.
+
+    layout: NARROW or WIDE, by the number of fingerprints if not given; the links connect the same.
+    """
+    if layout is None:
+        layout = NARROW if fps.count() <= NODE_ROWS << 14 else WIDE
+    parts, deepest = _nodes(fps, layout), max(depth for depth, _ in layout)
     found = None
     for level in range(7):
         sizes = parts.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("side").alias("sides"), F.max("side").alias("kind"))
         # a group needs two members: two of one node, or one on either side
         sizes = cut(sizes.where("n > 1 and (kind = 2 or sides = 2)"), "nodes")
         large = sizes.where(F.col("n") > NODE_ROWS).select("grp")
-        last = level == 6 or large.isEmpty()
+        last = deepest + 8 * (level + 1) > 64 or large.isEmpty()
         fit = sizes.select("grp") if last else sizes.where(F.col("n") <= NODE_ROWS).select("grp")
         ready = parts.join(fit, "grp", "left_semi")
         links = ready.repartition("grp").sortWithinPartitions("grp").mapInPandas(_walk_groups, "a long, b long")
         found = links if found is None else found.unionByName(links)
         if last:
             return found
-        parts = cut(_divide(parts.join(large, "grp", "left_semi"), 16 + 8 * level), "children")
+        parts = cut(_divide(parts.join(large, "grp", "left_semi")), "children")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,3 +97,69 @@ def test_the_corrected_risk_sees_through_unlabelled_positives():
     x = np.r_[rows(np.ones(800, bool)), rows(hidden)]
     w, b = X.fit_nnpu(x, np.r_[np.ones(800, bool), np.zeros(n, bool)], prior)
     assert (((x[800:] @ w + b) > 0) == hidden).mean() > 0.97
+
+
+def test_quality_scores_are_sums_of_table_cells(spark):
+    """Scores of the operator against a plain loop over the tables of a model fitted to the same rows."""
+    docs, labels = corpus(240)
+    learn = [(d, q) for d, q, _, _ in labels if zlib.crc32(str(d).encode()) % 4 != 2]
+    text = {d: t for d, t, *_ in docs}
+    model = Q.fit(np.array([Q.figures(text[d]) for d, _ in learn]), np.array([float(q) for _, q in learn]))
+    assert model.pairs
+
+    def plain(t):
+        x = Q.figures(t)
+        at = [sum(1 for e in edges if e <= v) for edges, v in zip(model.edges, x)]
+        total = model.base
+        for j, cells in enumerate(model.mains):
+            total += cells[at[j]]
+        for i, j, ci, cj, cells in model.pairs:
+            total += cells[ci[at[i]]][cj[at[j]]]
+        return 1 / (1 + np.exp(-total))
+
+    got = {r.doc_id: r.score for r in Q.scores(spark.createDataFrame(docs, DOCS), model).collect()}
+    assert len(got) == 240 and all(abs(got[d] - plain(t)) < 1e-9 for d, t in text.items())
+    # the operator fits the same rows; their order may differ by partition, and sums with it
+    whole = {r.doc_id: r.score for r in Q.score_quality(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    assert all(abs(whole[d] - plain(t)) < 1e-6 for d, t in text.items())
+
+
+def test_toxicity_scores_are_sums_of_feature_weights(spark):
+    """Features and weights of a trained model, summed by a plain loop over words and their beginnings."""
+    docs, labels = corpus(400)
+    frame, known = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    learn = X.fold(X.F.col("doc_id"), 5) != 0
+    model = X.train(frame, known, learn)
+    weight = dict(zip(model.features.tolist(), model.weights))
+
+    def plain(t):
+        words = set(X.WORD.findall(t.lower()))
+        marks = {w + "$" for w in words} | {w[:k] for w in words for k in range(3, 8) if len(w) >= k}
+        return 1 / (1 + np.exp(-(model.bias + sum(weight.get(X._hash(m), 0.0) for m in marks))))
+
+    cache = X.WordCache(model.features)
+    assert all(abs(model.score(cache, [t])[0] - plain(t)) < 1e-9 for _, t, *_ in docs)
+    got = {r.doc_id: r for r in X.score_toxicity(frame, known).collect()}
+    sides = [(r.score >= 0.5) == (plain(t) >= 0.5) for d, t, *_ in docs for r in [got[d]]]
+    assert len(got) == 400 and sum(sides) / len(sides) > 0.99
+
+
+def test_features_are_those_that_a_plain_count_would_choose(spark):
+    docs, labels = corpus(400)
+    learn = {d for d, *_ in docs if zlib.crc32(str(d).encode()) % 5 != 0}
+    toxic = {d for d, _, t, _ in labels if t and d in learn}
+    prior = len(toxic) / len(learn)
+    count: dict[str, list[int]] = {}
+    for d, t, *_ in docs:
+        if d in learn:
+            words = set(X.WORD.findall(t.lower()))
+            for m in {w + "$" for w in words} | {w[:k] for w in words for k in range(3, 8) if len(w) >= k}:
+                count.setdefault(m, [0, 0])[d not in toxic] += 1
+    p, u = len(toxic), len(learn) - len(toxic)
+    want = set()
+    for m, (a, b) in count.items():
+        spread = ((a + b) / (p + u) * (1 / p + 1 / u)) ** 0.5
+        if a >= 3 and prior * (a / p) / ((b + 0.5) / (u + 1)) >= 0.35 and (a / p - b / u) / spread >= 4:
+            want.add(X._hash(m))
+    model = X.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), X.fold(X.F.col("doc_id"), 5) != 0)
+    assert set(model.features.tolist()) == want and 0 < len(want) < X.FEATURES

@@ -43,14 +43,14 @@ def clustered(n, seed):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("node_rows,frontier", [(1 << 16, 1 << 20), (3, 7)])
-def test_components_match_brute_force(spark, monkeypatch, node_rows, frontier):
+@pytest.mark.parametrize("node_rows,frontier,layout", [(1 << 16, 1 << 20, S.NARROW), (3, 7, S.NARROW), (3, 7, S.WIDE), (1 << 16, 1 << 20, S.WIDE)])
+def test_components_match_brute_force(spark, monkeypatch, node_rows, frontier, layout):
     """With nodes of three rows, the division of large nodes does most of the work."""
     monkeypatch.setattr(S, "NODE_ROWS", node_rows)
     monkeypatch.setattr(S, "FRONTIER", frontier)
     fps = clustered(250, 3)
     signed = [x - 2**64 if x >= 2**63 else x for x in fps]
-    links = S.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    links = S.near_links(spark.createDataFrame([(x,) for x in signed], "fp long"), layout)
     pairs = [(r.a, r.b) for r in links.collect()]
     at = {x: i for i, x in enumerate(signed)}
     root = list(range(len(fps)))
