@@ -329,9 +329,23 @@ def replay_workflow(spark, sf):
     return A.replay_workflow(acts).select("alert_id", "status", "applied", F.size("rejects").alias("rejected"))
 
 
-@query()
+@query(f"""WITH RECURSIVE acts AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY ts, seq) AS k FROM ({D.duck_sql("actions")})),
+walk AS (SELECT alert_id, CAST(0 AS BIGINT) AS k, 'open' AS status, CAST(NULL AS VARCHAR) AS assigned_to, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS BIGINT) AS closed, 0 AS applied, 0 AS comments, '' AS rejects FROM (SELECT DISTINCT alert_id FROM acts)
+  UNION ALL SELECT w.alert_id, a.k, CASE WHEN move THEN a.action ELSE status END, CASE WHEN code IS NULL AND a.action = 'assign' THEN a.value ELSE assigned_to END,
+    CASE WHEN move AND a.action <> 'in_progress' THEN a.value ELSE note END, CASE WHEN move AND a.action <> 'in_progress' THEN CAST(a.ts AS BIGINT) WHEN move THEN NULL ELSE closed END,
+    applied + CAST(code IS NULL AND NOT same AS INT), comments + CAST(code IS NULL AND a.action = 'comment' AS INT), rejects || coalesce(CAST(a.seq AS VARCHAR) || ':' || code || ' ', '')
+  FROM walk w JOIN acts a ON a.alert_id = w.alert_id AND a.k = w.k + 1,
+  LATERAL (SELECT a.action = w.status AS same, CASE WHEN a.action IN ('in_progress', 'done', 'waived') AND a.action <> w.status AND w.status NOT IN ('open', 'in_progress') THEN 'invalid_transition'
+    WHEN a.action IN ('done', 'waived') AND a.action <> w.status AND a.value IS NULL THEN 'missing_resolution_note' WHEN a.action = 'assign' AND a.value IS NULL THEN 'missing_assignee' WHEN a.action = 'comment' AND a.value IS NULL THEN 'empty_comment' END AS code) l,
+  LATERAL (SELECT l.code IS NULL AND NOT l.same AND a.action IN ('in_progress', 'done', 'waived') AS move) m)
+SELECT alert_id, CAST(k AS INT) AS actions, status, coalesce(assigned_to, '') AS assigned_to, coalesce(note, '') AS note, coalesce(CAST(closed AS VARCHAR), '') AS closed_at, applied, comments, trim(rejects) AS rejects
+FROM walk QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY k DESC) = 1""")
 def replay_workflow_full(spark, sf):
-    return A.replay_workflow(D.from_events(spark, sf, "actions"))
+    """Every action and the whole state; no action sets a due date here. Missing values print as nothing, rejects as seq:code."""
+    state = A.replay_workflow(D.from_events(spark, sf, "actions"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    rejects = F.array_join(F.transform("rejects", lambda r: F.concat_ws(":", r["seq"].cast("string"), r["code"])), " ")
+    return state.select("alert_id", "actions", "status", text(F.col("assigned_to")).alias("assigned_to"), text(F.col("note")).alias("note"), text(F.unix_timestamp("closed_at")).alias("closed_at"), "applied", "comments", rejects.alias("rejects"))
 
 
 # ledgers and rolling counts

@@ -6,6 +6,8 @@ import email
 import email.policy
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -54,19 +56,19 @@ def _xml_text(markup):
     return X.collapse(F.regexp_replace(markup, r"<[^>]+>", " "))
 
 
-def legal_xml_sections(spark: SparkSession, path: str, title: str, row_tag: str = "section", section_key: bool = False) -> DataFrame:
+def legal_xml_sections(spark: SparkSession, path: str, title: str, row_tag: str = "section", section_key: bool = False, dated: bool = True, untitled: str = "Section") -> DataFrame:
     """One document per section, article or chapter of the files: heading and date in the title, all inner text.
 
     Children are read as markup, so their order is kept. All sections of a file have its path as url;
-    section_key adds `#n` to tell them apart.
+    section_key adds `#n` to tell them apart. dated: whether its own date is in the title of a section.
     """
     schema = "num string, heading string, content string, _effectiveDate string, _startDate string"
     rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
     rows = rows.select("*", F.col("_metadata.file_path").alias("source_url"), F.monotonically_increasing_id().alias("seq"))
     plain = {c: _xml_text(F.coalesce(c, F.lit(""))) for c in ("num", "heading", "content")}
     text = X.collapse(F.concat_ws(" ", *plain.values()))
-    heading = F.coalesce(F.nullif(F.trim(F.concat_ws(" ", plain["num"], plain["heading"])), F.lit("")), F.lit("Section"))
-    date = F.coalesce("_effectiveDate", "_startDate", F.lit(""))
+    heading = F.coalesce(F.nullif(F.trim(F.concat_ws(" ", plain["num"], plain["heading"])), F.lit("")), F.lit(untitled))
+    date = F.coalesce("_effectiveDate", "_startDate", F.lit("")) if dated else F.lit("")
     docs = rows.select(
         "seq", "source_url", F.lit("xml").alias("source_type"), text.alias("raw_text"),
         F.concat(F.lit(f"{title} — "), heading, F.when(date != "", F.concat(F.lit(" (effective: "), date, F.lit(")"))).otherwise("")).alias("title"),
@@ -79,6 +81,52 @@ def legal_xml_sections(spark: SparkSession, path: str, title: str, row_tag: str
     return docs
 
 
+#: Root element and its attributes, after declarations and comments.
+XML_ROOT = r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*<([A-Za-z_][\w.:-]*)([^>]*)>"
+# fixed values: namespaces and root elements by which a format is known
+USLM_MARKS, AKN_MARKS = ("gpo.gov", "uslm"), ("oasis-open.org/legaldocml", "akomaNtoso")
+
+
+def xml_formats(spark: SparkSession, path: str) -> DataFrame:
+    """(source_url, format, published, xml) of each file: uslm, akn or generic by its root; published is the first FRBRdate."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_url"), F.col("value").alias("xml"))
+    tag, space = F.regexp_extract("xml", XML_ROOT, 1), F.regexp_extract(F.regexp_extract("xml", XML_ROOT, 2), r"\bxmlns(?::uslm)?\s*=\s*[\"']([^\"']*)", 1)
+    kind = F.when(space.contains(USLM_MARKS[0]) | F.lower(tag).contains(USLM_MARKS[1]), "uslm").when(space.contains(AKN_MARKS[0]) | tag.contains(AKN_MARKS[1]), "akn").otherwise("generic")
+    return files.select("source_url", kind.alias("format"), F.regexp_extract("xml", r"<(?:\w+:)?FRBRdate\b[^>]*?\bdate\s*=\s*[\"']([^\"']*)", 1).alias("published"), "xml")
+
+
+def _root_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(source_url, pos, name, text) of the elements below the root of each file; a file that is no XML has none."""
+    for files in batches:
+        rows = []
+        for url, xml in zip(files["source_url"], files["xml"]):
+            try:
+                root = ElementTree.fromstring(xml)
+            except ElementTree.ParseError:
+                continue
+            rows += [(url, i, c.get("title") or c.get("id") or c.tag.rpartition("}")[2], " ".join("".join(c.itertext()).split())) for i, c in enumerate(root)]
+        yield pd.DataFrame(rows, columns=["source_url", "pos", "name", "text"])
+
+
+def legal_xml_documents(spark: SparkSession, path: str, title: str) -> DataFrame:
+    """Documents of legal XML files of any format, by their root.
+
+    uslm: its sections; akn: its sections, articles and chapters, dated by the first FRBRdate of the file;
+    others: the elements below the root with 50 characters or more. Equal texts of a file are one document.
+    """
+    ship(spark)
+    kinds = xml_formats(spark, path)
+    of = lambda kind: kinds.where(F.col("format") == kind)
+    uslm = legal_xml_sections(spark, path, title).join(of("uslm").select("source_url"), "source_url", "left_semi")
+    akn = reduce(DataFrame.unionByName, [legal_xml_sections(spark, path, title, tag, dated=False, untitled="Article") for tag in ("section", "article", "chapter")])
+    akn = akn.join(of("akn").select("source_url", "published"), "source_url")
+    akn = akn.withColumn("title", F.concat("title", F.when(F.col("published") != "", F.concat(F.lit(" (effective: "), "published", F.lit(")"))).otherwise(""))).drop("published")
+    parts = of("generic").select("source_url", "xml").mapInPandas(_root_children, "source_url string, pos long, name string, text string").where(F.length("text") >= 50)
+    other = parts.select("source_url", F.col("pos").alias("seq"), F.lit("xml").alias("source_type"), F.col("text").alias("raw_text"), F.concat(F.lit(f"{title} — "), "name").alias("title"))
+    other = other.withColumns({"content_hash": X.content_hash(F.col("raw_text")), "language": X.detect_language(F.col("raw_text"))})
+    return first_by(uslm.unionByName(akn).unionByName(other), ["source_url", "content_hash"], ["seq", "title"])
+
+
 REGISTER_TYPES = ("RULE", "PROPOSED_RULE", "PRESIDENTIAL_DOCUMENT")
 
 

@@ -195,6 +195,21 @@ def test_legal_xml(spark, tmp_path):
     assert "All importers of steel must register here." in rows[0].raw_text
 
 
+def test_legal_xml_by_the_root_of_each_file(spark, tmp_path):
+    duty = "Importers of steel have to register before the first of May."
+    (tmp_path / "a.xml").write_text(f'<?xml version="1.0"?><!-- c --><uscDoc xmlns="http://schemas.gpo.gov/xml/uslm"><section startDate="2024-02-01"><num>1</num><content>{duty}</content></section><note>{duty} This is no section.</note></uscDoc>')
+    (tmp_path / "b.xml").write_text(
+        '<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><act><meta><FRBRdate date="2023-03-03" name="x"/><FRBRdate date="2024-01-01"/></meta>'
+        f"<body><article><num>Art. 2</num><content>{duty}</content></article><section><content>{duty} Twice a year.</content></section></body></act></akomaNtoso>"
+    )
+    (tmp_path / "c.xml").write_text(f'<law><part title="First">{duty}</part><part id="p2">{duty}</part><part id="p3">under fifty characters</part><rule>Banks <b>report</b> what they hold, every single year, to the registry.</rule></law>')
+    (tmp_path / "d.xml").write_text("no markup at all")
+    rows = Land.legal_xml_documents(spark, str(tmp_path), "Law").collect()
+    got = sorted((r.source_url[-5:], r.title) for r in rows)
+    assert got == [("a.xml", "Law — 1 (effective: 2024-02-01)"), ("b.xml", "Law — Art. 2 (effective: 2023-03-03)"), ("b.xml", "Law — Article (effective: 2023-03-03)"), ("c.xml", "Law — First"), ("c.xml", "Law — rule")]
+    assert "Banks report what they hold" in next(r.raw_text for r in rows if r.title == "Law — rule")
+
+
 def test_mail(spark, tmp_path):
     body = "This notice says that importers have new duties from May on."
     (tmp_path / "a.eml").write_text(f"Subject: Notice\nFrom: a@x.org\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nContent-Type: text/plain\n\n{body}\n")
