@@ -8,7 +8,9 @@ from regdelta.llm.decontaminate import op6_decontaminate
 from regdelta.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from regdelta.llm.langid import op1_language_id
 from regdelta.llm.licenses import op10_license_scan
+from regdelta.llm.mixing import OP13_SQL, op13_source_mix
 from regdelta.llm.quality import op3_quality
+from regdelta.llm.resampling import op11_importance_resampling
 from regdelta.llm.simhash import op5_simhash
 from regdelta.llm.token_counts import op4_token_counts
 from regdelta.llm.toxicity import op8_toxicity
@@ -25,11 +27,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op13_source_mix": op13_source_mix,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op13_source_mix": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
