@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from regdelta.llm.bpe import op7_byte_bpe
+from regdelta.llm.conversation_trie import OP12_SQL, op12_conversation_trie
 from regdelta.llm.decontaminate import op6_decontaminate
 from regdelta.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from regdelta.llm.langid import op1_language_id
@@ -28,12 +29,14 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_license_scan": op10_license_scan,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_trie": op12_conversation_trie,
     "op13_source_mix": op13_source_mix,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_exact_dedup": OP2_SQL,
+    "op12_conversation_trie": OP12_SQL,
     "op13_source_mix": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
