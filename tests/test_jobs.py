@@ -101,7 +101,7 @@ def test_keyword_rules(spark):
     n = len(RULES)
     assert sorted(r.rule for r in bad.collect()) == list(range(n, n + len(BROKEN)))
     rules = good.where("program is not null")
-    judged = {(r.doc, r.rule): r.holds for r in M.judge_rules(docs, rules).collect()}
+    judged = {(r.doc, r.rule): r.holds for r in M.judge_rules(docs, rules).collect()}  # where they are not as in an empty text
     is_open = {r.rule: r.open for r in rules.collect()}
     sets = [{s for _, s in spoken(t)} for t in texts]
     for d, t in enumerate(texts):
@@ -111,10 +111,70 @@ def test_keyword_rules(spark):
     assert got == {(d, r) for d, t in enumerate(texts) for r, f in enumerate(RULES.values()) if not is_open[r] and f(sets[d], t)}
 
 
+def evaluate(program, met):
+    stack = []
+    for x in program:
+        if x == "!":
+            stack.append(not stack.pop())
+        elif x in "&|":
+            b, a = stack.pop(), stack.pop()
+            stack.append(a and b if x == "&" else a or b)
+        else:
+            stack.append(x in met)
+    return stack[0]
+
+
+def random_rule(rng, depth, terms):
+    if depth == 0 or rng.random() < 0.2:
+        return rng.choice(terms)
+    if rng.random() < 0.3:
+        return f"!({random_rule(rng, depth - 1, terms)})"
+    return f"({random_rule(rng, depth - 1, terms)} {rng.choice('&|')} {random_rule(rng, depth - 1, terms)})"
+
+
+def test_covers_leave_out_no_text():
+    rng = random.Random(11)
+    for _ in range(400):
+        rule = M._Rule(random_rule(rng, 4, ["u", "v", "w", "x", "y"]))
+        n, costs = len(rule.terms), [rng.randrange(9) for _ in rule.terms]
+        chosen = {str(i) for i in M.cover(rule.program, rule.open(), costs)}
+        for bits in range(1 << n):
+            met = {str(i) for i in range(n) if bits >> i & 1}
+            assert evaluate(rule.program, met) == rule.open() or met & chosen
+    common_and_rare = M._Rule("common & rare")
+    assert M.cover(common_and_rare.program, False, [900, 2]) == [1] and M.cover(common_and_rare.program, False, [2, 900]) == [0]
+
+
+def test_a_rule_is_judged_where_it_can_hold(spark, monkeypatch):
+    seen = []
+    real = M._candidates
+    monkeypatch.setattr(M, "_candidates", lambda *a: seen.append(real(*a)) or seen[-1])
+    docs = spark.createDataFrame([(i, f"common words rare{i % 500}x") for i in range(1000)], "doc int, text string")
+    subs = spark.createDataFrame([(i, f"common & rare{i}x") for i in range(500)] + [(500, "common & (rare1x | rare2x) & !rare3x"), (501, "!(common & rare7x)")], "rule int, keyword_query string")
+    rules = M.validate_rules(subs)[0]
+    got = {(r.doc, r.rule): r.holds for r in M.judge_rules(docs, rules).collect()}
+    want = {(i, i % 500): True for i in range(1000)} | {(i, 500): True for i in (1, 2, 501, 502)} | {(i, 501): False for i in (7, 507)}
+    assert got == want
+    assert seen[0].count() == len(want)
+
+
+def test_deep_rules_work_and_far_phrases_are_invalid(spark):
+    deep = {"!" * 3000 + "k": "k", "(" * 3000 + "k" + ")" * 3000: "k", "!" * 3001 + "k": "b", "k" + " & k" * 3000: "k"}
+    subs = spark.createDataFrame(list(enumerate([*deep, "k <99999999999> b", "k <16384> b", "(" * 3000 + "k"])), "rule int, keyword_query string")
+    good, bad = M.validate_rules(subs)
+    assert sorted(r.rule for r in bad.collect()) == [4, 6]
+    docs = spark.createDataFrame([("k", "k"), ("b", "b")], "doc string, text string")
+    rules = good.where("rule < 4")
+    is_open = {r.rule: r.open for r in rules.collect()}
+    judged = {(r.doc, r.rule): r.holds for r in M.judge_rules(docs, rules).collect()}
+    assert all(judged.get((d, i), is_open[i]) == (d == want) for i, want in enumerate(deep.values()) for d in "kb")
+
+
 @pytest.mark.parametrize("most", [1 << 17, 0])
 def test_events_meet_subscriptions(spark, monkeypatch, most):
-    """Classes, open rules, salted and broadcast joins give what each pair by itself gives."""
+    """Classes in one index or several, open rules, joins of both kinds give what each pair by itself gives."""
     monkeypatch.setattr(M, "BROADCAST_CLASSES", most)
+    monkeypatch.setattr(M, "BLOCK_CLASSES", max(most, 7))
     monkeypatch.setattr(M, "BROADCAST_WORDS", most)
     rng = random.Random(9)
     some = lambda values: rng.sample(values, rng.randint(1, 2)) if rng.random() < 0.6 else None
