@@ -466,12 +466,13 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"), F.col(lang_col).alias("lang"))
     part = fold(F.col("doc_id"), 64)
     labelled = rows.where("body is not null and lang is not null and doc_id is not null").where(part % 4 != 2).select("doc_id", "lang", "body", part.alias("part"))
-    models = train(labelled.where("part != 3").select("lang", "body"))
+    # about CALIBRATION_TEXTS texts of fold 3 calibrate, all others are counted
+    apart = F.col("part") == 3
+    drawn = apart & (F.xxhash64("doc_id") <= F.lit(hash_edge(labelled.where(apart).count(), CALIBRATION_TEXTS)))
+    models = train(labelled.where(~drawn).select("lang", "body"))
     if models:
-        apart = labelled.where("part = 3")
-        drawn = F.xxhash64("doc_id") <= F.lit(hash_edge(apart.count(), CALIBRATION_TEXTS))
         # an id counts once, however many rows repeat it
-        calibrate(models, apart.where(drawn).groupBy("doc_id").agg(F.min(F.struct("lang", "body")).alias("r")).select("r.*"))
+        calibrate(models, labelled.where(drawn).groupBy("doc_id").agg(F.min(F.struct("lang", "body")).alias("r")).select("r.*"))
     held = spark.sparkContext.broadcast(models)
     joined = bool(models and models.tables)
 

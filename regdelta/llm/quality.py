@@ -213,17 +213,18 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40,
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, most: int = FIT_ROWS) -> Additive:
-    """Fits about `most` labelled documents; their figures are worked out on the executors."""
+    """Fits about `most` labelled documents; their figures are worked out on the executors. An id counts once, with its text of least hash, however many rows repeat it."""
     ids = labelled_ids(labels, "quality", learn, most)
     # about `most` rows of two numbers: small whatever the input
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body"), F.xxhash64("text").alias("hash")).join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [figures(t or "") for t in b.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(got, pa.list_(pa.float64()))], ["label", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), b.column("label"), pa.array(got, pa.list_(pa.float64()))], ["doc_id", "hash", "label", "x"])
 
-    got = rows.select("label", "body").mapInArrow(run, "label int, x array<double>").toPandas()
+    figured = rows.select("doc_id", "hash", "label", "body").mapInArrow(run, "doc_id long, hash long, label int, x array<double>")
+    got = figured.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "hash").alias("r")).select("r.*").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FIGURES))), np.zeros(0))
     return fit(np.stack(got["x"].to_numpy()), (got["label"].to_numpy() > 0).astype(float))

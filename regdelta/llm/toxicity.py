@@ -140,11 +140,13 @@ def train(docs: DataFrame, labels: DataFrame, learn, most_toxic: int = FIT_TOXIC
     toxic = labelled_ids(labels, "toxic", learn, 2**62).where("label = 1").select("doc_id")
     toxic = cut(toxic.where(F.xxhash64("doc_id") <= F.lit(hash_edge(got["toxic"], most_toxic))), "toxic-ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("body")).where(learn)
-    edge = hash_edge(rows.count(), most_unlabelled)
+    edge = hash_edge(rows.agg(F.approx_count_distinct("doc_id")).first()[0], most_unlabelled)
     # about most_toxic numbers: small whatever the input
-    positive = rows.join(F.broadcast(toxic), "doc_id").select(F.lit(1).alias("label"), "body")
+    positive = rows.join(F.broadcast(toxic), "doc_id").select("doc_id", F.lit(1).alias("label"), "body")
     others = rows.where(F.xxhash64("doc_id", F.lit(1)) <= F.lit(edge)).join(F.broadcast(toxic), "doc_id", "left_anti")
-    sample = cut(positive.unionByName(others.select(F.lit(0).alias("label"), "body")), "toxic-fit")
+    drawn = positive.unionByName(others.select("doc_id", F.lit(0).alias("label"), "body"))
+    # an id counts once, with its text of least hash, however many rows repeat it
+    sample = cut(drawn.groupBy("doc_id", "label").agg(F.min_by("body", F.xxhash64("body")).alias("body")).select("label", "body"), "toxic-fit")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     p, u = sizes.get(1, 0), sizes.get(0, 0)
     if not p or not u:

@@ -117,10 +117,10 @@ def judge_urls(
     rule, ruled = matching_rule(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), ruled.alias("ruled"))
 
+    # a URL is learned from once, however many pages have it
     labelled = base.where("ruled is not null")
-    n = labelled.count()
-    edge = hash_edge(n, fit_urls)
-    fit = lexical(labelled.where(F.xxhash64("url") <= F.lit(edge))).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    edge = hash_edge(labelled.agg(F.approx_count_distinct("url")).first()[0], fit_urls)
+    fit = lexical(labelled.where(F.xxhash64("url") <= F.lit(edge)).dropDuplicates(["url"])).withColumn("label", (F.col("ruled") == "block").cast("double"))
     fit = cut(fit.drop("path"), "url-fit")
     got = fit.agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).first()
     if not got["n"] or got["blocked"] in (0, got["n"]):

@@ -163,3 +163,25 @@ def test_features_are_those_that_a_plain_count_would_choose(spark):
             want.add(X._hash(m))
     model = X.train(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS), X.fold(X.F.col("doc_id"), 5) != 0)
     assert set(model.features.tolist()) == want and 0 < len(want) < X.FEATURES
+
+
+def test_an_id_or_url_on_very_many_rows_is_fitted_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from regdelta.llm import url_filter as U
+
+    n = 20_000
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('text number ', id) AS text").unionByName(spark.range(n).selectExpr("5L AS doc_id", "concat('again ', id % 3) AS text"))
+    labels = spark.range(200).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "CAST(id % 2 AS INT) AS toxic")
+    fitted = []
+    real = Q.fit
+    monkeypatch.setattr(Q, "fit", lambda x, y: fitted.append(len(y)) or real(x, y))
+    Q.train(docs, labels, F.lit(True))
+    monkeypatch.setattr(X, "fit_nnpu", lambda x, positive, prior: fitted.append(len(positive)) or (np.zeros(x.shape[1]), 0.0))
+    X.train(docs.withColumn("text", F.when(F.col("doc_id") % 2 == 1, F.concat("text", F.lit(" vile"))).otherwise(F.col("text"))), labels, F.lit(True))
+    assert fitted[0] == 200 and fitted[1:] in ([], [200])
+    pages = spark.range(n).selectExpr("id AS page_id", "'http://example.org/es/a' AS url").unionByName(spark.range(40).selectExpr("id AS page_id", "concat('http://a', id, if(id % 2 = 0, '.com/fr/', '.com/de/')) AS url"))
+    rows = []
+    monkeypatch.setattr(U, "cut", lambda df, label, real=U.cut: (lambda out: rows.append((label, out.count())) or out)(real(df, label)))
+    U.judge_urls(pages, rounds=1).count()
+    assert dict(rows)["url-fit"] == 41
