@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from regdelta import constants as C
 from regdelta.functions import text as X
 from regdelta.functions.entity import artifact_key
+from regdelta.operators.store import BucketStore
 from regdelta.shipping import ship
+from regdelta.storage import cut
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -169,6 +171,19 @@ def upsert_documents(state: DataFrame | None, batch: DataFrame, now: F.Column) -
     return joined.select(*picked, F.coalesce("b.repeats", F.lit(0)).alias("repeats"), seen.alias("last_seen_at"), outcome.alias("outcome"))
 
 
+DOCUMENTS = "content_hash string, source_url string, source_type string, title string, language string, raw_text string, fetched_at timestamp, last_seen_at timestamp, outcome string, repeats bigint"
+
+
+def keep_documents(store: BucketStore, number: int, batch: DataFrame, now: F.Column) -> DataFrame:
+    """Upserts a batch into a store of DOCUMENTS by content_hash; (content_hash, outcome, repeats) of the hashes of the batch.
+
+    Only buckets with a hash of the batch are read and written; texts of other buckets are not touched.
+    """
+    rows = cut(batch.where("content_hash is not null"), "batch")
+    after = store.apply(number, rows, lambda known, new: upsert_documents(known, new, now))
+    return after.join(rows.select("content_hash").distinct(), "content_hash", "left_semi").select("content_hash", "outcome", "repeats")
+
+
 def archive_keys(batch: DataFrame, known: DataFrame) -> DataFrame:
     """Adds artifact_uri: that of an archived hash (which may be null), else a new key."""
     have = known.select("content_hash", F.col("artifact_uri").alias("_uri"), F.lit(True).alias("_known"))

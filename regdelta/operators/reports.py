@@ -24,15 +24,20 @@ def report_versions(versions: DataFrame, as_of: Column, domain: str = "") -> Dat
     return _of(versions, domain).groupBy("source_type").agg(F.countDistinct("source_url").alias("unique_urls"), F.count("*").alias("versions_total"), F.count_if(recent).alias("versions_last_hour"))
 
 
+def _mean(score: Column) -> Column:
+    """To two places; summed up exactly, so that the order of the rows does not matter."""
+    return F.round(F.sum(score.cast("decimal(18,6)")).cast("double") / F.count(score), 2)
+
+
 def report_scoring(events: DataFrame, domain: str = "") -> DataFrame:
     s, e = F.col("significance_score"), F.col("error")
     return _of(events, domain).groupBy("diff_kind", "change_type").agg(
-        F.count("*").alias("events"), F.count(s).alias("scored"), F.count(e).alias("errored"), F.count_if(s.isNull() & e.isNull()).alias("unscored"), F.round(F.avg(s), 2).alias("avg_score")
+        F.count("*").alias("events"), F.count(s).alias("scored"), F.count(e).alias("errored"), F.count_if(s.isNull() & e.isNull()).alias("unscored"), _mean(s).alias("avg_score")
     )
 
 
 def report_topics(events: DataFrame, domain: str = "") -> DataFrame:
-    return _of(events, domain).groupBy(F.coalesce("topic", F.lit("(unscored)")).alias("topic")).agg(F.count("*").alias("events"), F.round(F.avg("significance_score"), 2).alias("avg_score"))
+    return _of(events, domain).groupBy(F.coalesce("topic", F.lit("(unscored)")).alias("topic")).agg(F.count("*").alias("events"), _mean(F.col("significance_score")).alias("avg_score"))
 
 
 def top_scored(events: DataFrame, domain: str = "", limit: int = 10) -> DataFrame:

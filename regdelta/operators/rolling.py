@@ -5,20 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regdelta.operators.ranks import running_total
+from regdelta.storage import cut
 
-def rolling_count(rows: DataFrame, key: str, ts: str, seconds: int, name: str) -> DataFrame:
+
+#: Rows of a key in one window from which on they are counted by running totals.
+HOT_ROWS = 1 << 20
+
+
+def rolling_count(rows: DataFrame, key: str, ts: str, seconds: int, name: str, hot: int = HOT_ROWS) -> DataFrame:
     """Adds the count of the key's rows in the last `seconds` up to each row; a row exactly that old is out.
 
     Time is cut in buckets as long as the window. A row goes to its own and to the next bucket, where it
-    is only counted, so that a key with most of the rows is many groups.
+    is only counted, so that a key with most of the rows is many groups. A key that has more than `hot` rows in some
+    bucket, which would be one task, is counted by running totals over ranges instead; the counts are the same.
     """
     length = seconds * 1_000_000
     bucket = F.floor(F.unix_micros(ts) / length)
+    full = rows.where(F.col(ts).isNotNull()).groupBy(key, bucket.alias("_bucket")).agg(F.count("*").alias("_n")).where(F.col("_n") > hot)
+    full = cut(full.select(F.col(key).alias("_key")).distinct(), "hot")
+    if full.isEmpty():
+        return _by_buckets(rows, key, ts, length, bucket, name)
+    # a key has more than `hot` rows each, so they are few
+    is_hot = F.col(key).eqNullSafe(F.col("_key")) & F.col(ts).isNotNull()
+    rest = _by_buckets(rows.join(F.broadcast(full), is_hot, "left_anti"), key, ts, length, bucket, name)
+    return rest.unionByName(_by_totals(rows.join(F.broadcast(full), is_hot, "left_semi"), key, ts, length, name))
+
+
+def _by_buckets(rows: DataFrame, key: str, ts: str, length: int, bucket: Column, name: str) -> DataFrame:
     spread = rows.withColumn("_next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", bucket + F.col("_next"))
     w = Window.partitionBy(key, "_bucket").orderBy(F.unix_micros(ts)).rangeBetween(-(length - 1), 0)
     return spread.withColumn(name, F.count("*").over(w)).where("_next = 0").drop("_next", "_bucket")
 
 
+def _by_totals(rows: DataFrame, key: str, ts: str, length: int, name: str) -> DataFrame:
+    """What came up to a time less what came up to the window's begin: both are running totals of one order by key and time."""
+    times = cut(rows.groupBy(F.col(key).alias("_key"), F.unix_micros(ts).alias("_at")).agg(F.count("*").alias("_n")), "times")
+    ends = times.select("_key", "_at", "_n", F.col("_at").alias("_of"), F.lit(0).alias("_kind"))
+    begins = times.select("_key", (F.col("_at") - length).alias("_at"), F.lit(0).cast("long").alias("_n"), F.col("_at").alias("_of"), F.lit(1).alias("_kind"))
+    total = running_total(cut(ends.unionByName(begins), "marks"), [F.col("_key").asc_nulls_first(), F.col("_at"), F.col("_kind")], "_n", "_total")
+    upto = lambda kind: F.max(F.when(F.col("_kind") == kind, F.col("_total")))
+    counts = total.groupBy("_key", "_of").agg((upto(0) - upto(1)).alias(name))
+    return rows.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.unix_micros(ts) == F.col("_of"))).drop("_key", "_of")
+
+
 def rolling_blocks(blocks: DataFrame, seconds: int = 86_400) -> DataFrame:
     return rolling_count(blocks, "domain", "ts", seconds, "blocks")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from regdelta import constants as C
@@ -10,9 +12,11 @@ from regdelta.functions import text as X
 from regdelta.functions import url as L
 from regdelta.operators import changes as G
 from regdelta.operators import reports as R
+from regdelta.operators.store import BucketStore
 from regdelta.plans import base as B
 from regdelta.plans import derived as D
 from regdelta.plans.registry import query
+from regdelta.storage import cut, shared_dir
 
 DAY = 86_400
 AS_OF = D.START + 4 * DAY
@@ -172,14 +176,19 @@ def latest_versions(spark, sf):
     return G.latest_versions(B.versions(spark, sf)).select("source_url", "content_hash")
 
 
-@query(f"""WITH {B.OBS}, old AS (SELECT content_hash, arg_min(source_url, seq) AS u FROM obs WHERE batch = 0 GROUP BY 1), new AS (SELECT content_hash, arg_min(source_url, seq) AS u, count(*) AS repeats FROM obs WHERE batch = 1 GROUP BY 1)
-SELECT coalesce(o.content_hash, n.content_hash) AS content_hash, coalesce(o.u, n.u) AS source_url, coalesce(repeats, 0) AS repeats,
-  CASE WHEN o.u IS NULL THEN 'inserted' WHEN n.u IS NOT NULL THEN 'updated' ELSE 'kept' END AS outcome FROM old o FULL JOIN new n ON o.content_hash = n.content_hash""")
+@query(f"""WITH {B.OBS}, h AS (SELECT content_hash, arg_min(source_url, batch * 100000000 + seq) AS source_url, min(batch) AS first_batch, max(batch) AS last_batch FROM obs GROUP BY 1)
+SELECT content_hash, source_url, {D.START} + 86400 * last_batch AS last_seen, CASE WHEN first_batch = last_batch THEN 'inserted' ELSE 'updated' END AS outcome,
+  (SELECT count(*) FROM obs o WHERE o.content_hash = h.content_hash AND o.batch = last_batch) AS repeats FROM h""")
 def upsert(spark, sf):
-    o = D.observations(spark, sf)
-    now = F.timestamp_seconds(F.lit(AS_OF))
-    state = G.upsert_documents(None, o.where("batch = 0"), now)
-    return G.upsert_documents(state, o.where("batch = 1"), now).select("content_hash", "source_url", "repeats", "outcome")
+    """All four batches, one after the other; outcome and repeats are those of the last batch that had the hash."""
+    store = BucketStore(spark, f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}", G.DOCUMENTS, "content_hash")
+    o = cut(D.observations(spark, sf), "observations")
+    seen = None
+    for b in range(4):
+        said = G.keep_documents(store, b, o.where(F.col("batch") == b), F.timestamp_seconds(F.lit(D.START + DAY * b))).withColumn("batch", F.lit(b))
+        seen = said if seen is None else seen.unionByName(said)
+    last = seen.groupBy("content_hash").agg(F.max_by(F.struct("outcome", "repeats"), "batch").alias("l")).select("content_hash", "l.*")
+    return store.state(3).select("content_hash", "source_url", F.unix_timestamp("last_seen_at").alias("last_seen")).join(last, "content_hash")
 
 
 @query(f"""WITH {B.OBS}, known AS (SELECT content_hash, max(artifact_uri) AS uri FROM obs WHERE batch = 0 GROUP BY 1)

@@ -49,7 +49,7 @@ TEMPLATES = {
                CAST({START} + 86400 * b AS BIGINT) AS fetched_at
         FROM (SELECT b, doc_id, lang, u, text || {pick("doc_id % 7", SUFFIXES)} AS body
               FROM (SELECT doc_id, lang, text, {U} AS u, EXPLODE[b] FROM documents) d
-              WHERE doc_id % 4 = CASE WHEN (u + b) % 3 = 0 THEN greatest(b - 1, 0) ELSE b END) o
+              WHERE doc_id % 4 = b OR (b > 0 AND (u + b) % 3 = 0 AND doc_id % 4 = b - 1)) o
     """,
     "responses": f"""
         SELECT event_id,
@@ -73,6 +73,12 @@ TEMPLATES = {
         FROM (SELECT event_id, doc_id, EXPLODE[c] FROM events) e
         WHERE c <= doc_id % 4
     """,
+    "attempts": """
+        SELECT e.event_id, e.doc_id, c AS call_no, e.detected_at + 60 * c AS called_at, (e.doc_id * 5 + c) % 3 <> 0 AS http_ok,
+               CASE WHEN (e.doc_id * 5 + c) % 3 = 0 THEN 'timeout' END AS error, CASE WHEN (e.doc_id + c) % 5 = 0 THEN '{broken' ELSE r.body END AS body
+        FROM responses r JOIN (SELECT event_id, doc_id, detected_at, EXPLODE[c] FROM events) e ON r.event_id = e.event_id
+        WHERE c <= e.doc_id % 4 AND e.doc_id % 9 <> 0
+    """,
     "subscriptions": f"""
         SELECT c_custkey AS id, lower(c_name) || '@example.com' AS user_email, c_mktsegment AS label,
                CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE ARRAY[{pick("c_custkey % 11", TOPICS)}, {pick("(c_custkey + 4) % 11", TOPICS)}] END AS topics,

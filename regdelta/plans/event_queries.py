@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from regdelta import constants as C
 from regdelta.functions import entity as E
 from regdelta.functions import text as X
 from regdelta.operators import alerts as A
+from regdelta.operators import attempts as T
+from regdelta.operators import entities as I
 from regdelta.operators import matching as M
 from regdelta.operators import reports as R
 from regdelta.operators import rolling as W
@@ -15,7 +19,7 @@ from regdelta.operators import scoring as S
 from regdelta.plans import base as B
 from regdelta.plans import derived as D
 from regdelta.plans.registry import query
-from regdelta.storage import cut
+from regdelta.storage import cut, shared_dir
 
 DAY = 86_400
 AS_OF = D.START + 4 * DAY
@@ -36,12 +40,12 @@ def score_events(spark, sf):
 
 
 @query(f"""{SCORED} SELECT diff_kind, change_type, count(*) AS events, count(significance_score) AS scored, count(error) AS errored,
-  count(*) FILTER (significance_score IS NULL AND error IS NULL) AS unscored, round(avg(significance_score), 2) AS avg_score FROM scored GROUP BY 1, 2""")
+  count(*) FILTER (significance_score IS NULL AND error IS NULL) AS unscored, round(CAST(sum(CAST(significance_score AS DECIMAL(18, 6))) AS DOUBLE) / nullif(count(significance_score), 0), 2) AS avg_score FROM scored GROUP BY 1, 2""")
 def report_scoring(spark, sf):
     return R.report_scoring(B.scored(spark, sf))
 
 
-@query(f"{SCORED} SELECT coalesce(topic, '(unscored)') AS topic, count(*) AS events, round(avg(significance_score), 2) AS avg_score FROM scored GROUP BY 1")
+@query(f"{SCORED} SELECT coalesce(topic, '(unscored)') AS topic, count(*) AS events, round(CAST(sum(CAST(significance_score AS DECIMAL(18, 6))) AS DOUBLE) / nullif(count(significance_score), 0), 2) AS avg_score FROM scored GROUP BY 1")
 def report_topics(spark, sf):
     return R.report_topics(B.scored(spark, sf))
 
@@ -92,13 +96,26 @@ m2 AS (SELECT *, coalesce({B.case_map("lower(t)", _KEYS)}, lower(t)) AS key FROM
 mentions AS (SELECT *, coalesce({B.case_map("lower(t)", {k: v.title() for k, v in _KEYS.items()})}, t) AS display, {B.case_map("key", _TYPES)} AS type FROM m2)"""
 
 
-@query(f"""{MENTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY detected_at, doc_id, pos) AS rn FROM mentions)
-SELECT key, count(*) AS mention_count, max(display) FILTER (rn = 1) AS display_name, max(type) AS entity_type, min(detected_at) AS first_seen_at, max(detected_at) AS last_seen_at FROM o GROUP BY key""")
+_ENTITIES = f"""{MENTIONS}, o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY detected_at, doc_id, pos) AS rn FROM mentions)
+SELECT key, count(*) AS mention_count, max(display) FILTER (rn = 1) AS display_name, max(type) AS entity_type, min(detected_at) AS first_seen_at, max(detected_at) AS last_seen_at FROM o GROUP BY key"""
+
+
+@query(_ENTITIES)
 def sync_entities(spark, sf):
     out = S.sync_entities(S.entity_mentions(B.scored(spark, sf)))
     return out.withColumns({c: F.unix_timestamp(c) for c in ("first_seen_at", "last_seen_at")})
 
 
+@query(_ENTITIES)
+def index_entities(spark, sf):
+    """The same, kept over the batches: every batch brings the events of the one before again, which add nothing."""
+    scored = B.scored(spark, sf)
+    entities, links = I.stores(spark, f"{shared_dir(spark)}/entities-{uuid.uuid4().hex}", 8)
+    for b in range(4):
+        I.index_events(entities, links, b, scored.where(F.col("batch").isin(b - 1, b)))
+    return I.entity_table(entities, 3).withColumns({c: F.unix_timestamp(c) for c in ("first_seen_at", "last_seen_at")})
+
+
 @query(f"{MENTIONS} SELECT event_id, key, left(surface, 255) AS mention_text FROM mentions QUALIFY row_number() OVER (PARTITION BY event_id, key ORDER BY pos) = 1")
 def entity_links(spark, sf):
     return S.entity_links(S.entity_mentions(B.scored(spark, sf)))
@@ -153,6 +170,52 @@ def extraction_status(spark, sf):
     return _obligations(spark, sf)[1]
 
 
+@query(f"""{OBLIGATIONS}, n AS (SELECT event_id, count(*) AS k FROM obligations GROUP BY 1),
+requests AS (SELECT event_id, doc_id % 10 = 0 AS force FROM scored UNION ALL SELECT 'gone-' || doc_id, true FROM scored WHERE doc_id % 50 = 1),
+q AS (SELECT r.event_id, s.doc_id, k, CASE WHEN s.event_id IS NULL THEN 'missing' WHEN s.doc_id % 5 = 0 AND NOT force THEN 'already_extracted' WHEN coalesce(significance_score < 0.6, true) THEN 'below_gate' WHEN s.doc_id % 13 = 0 THEN 'empty_content'
+  WHEN x.event_id IS NOT NULL THEN 'http_error' WHEN coalesce(k, 0) > 0 THEN 'extracted' ELSE 'no_obligations' END AS status
+  FROM requests r LEFT JOIN scored s ON s.event_id = r.event_id LEFT JOIN n ON n.event_id = r.event_id LEFT JOIN failed x ON x.event_id = r.event_id)
+SELECT event_id, status, CASE WHEN status = 'extracted' THEN k ELSE 0 END AS obligations,
+  CASE WHEN status IN ('below_gate', 'empty_content', 'extracted', 'no_obligations') THEN 'now' WHEN doc_id % 5 = 0 THEN 'before' ELSE '-' END AS extracted FROM q""")
+def obligation_jobs(spark, sf):
+    """Requests for all events and for some that are gone: every status."""
+    d = F.col("doc_id")
+    scored = cut(B.scored(spark, sf).withColumn("obligations_extracted_at", F.when(d % 5 == 0, F.timestamp_seconds(F.lit(D.START)))), "requested")
+    gone = scored.where(d % 50 == 1).select(F.concat(F.lit("gone-"), d.cast("string")).alias("event_id"), F.lit(True).alias("force"))
+    texts = cut(_texts(spark, sf).join(scored.select("event_id", "doc_id"), "event_id").select("event_id", F.when(d % 13 != 0, F.left("text", F.lit(1))).alias("text")), "texts")
+    answers = D.derived(spark, "chunk_responses", events=scored).drop("doc_id")
+    _, said = T.obligation_job(scored.select("event_id", (d % 10 == 0).alias("force")).unionByName(gone), scored, texts, answers, F.timestamp_seconds(F.lit(AS_OF)))
+    when = F.unix_timestamp("extracted_at")
+    return said.select("event_id", "status", "obligations", F.when(when == AS_OF, "now").when(when == D.START, "before").otherwise("-").alias("extracted"))
+
+
+_FOLD = f"""{SCORED}, calls AS ({D.duck_sql("attempts")}),
+judged AS (SELECT c.*, CASE WHEN NOT http_ok THEN 'http_error: ' || c.error WHEN c.body = '{{{{broken' OR s.error IS NOT NULL THEN 'parse_error' END AS said FROM calls c JOIN scored s USING (event_id)),
+ended AS (SELECT event_id, min(call_no) AS e FROM judged WHERE FINAL GROUP BY 1),
+told AS (SELECT event_id, count(*) AS calls, arg_max(coalesce(said, ''), call_no) AS error, max(called_at) AS called_at FROM judged LEFT JOIN ended USING (event_id) WHERE e IS NULL OR call_no <= e GROUP BY 1)
+SELECT s.event_id, CASE WHEN calls IS NULL THEN 'unscored' WHEN t.error = '' THEN 'scored' WHEN t.error = 'parse_error' THEN 'dead' WHEN calls > 2 THEN 'failed' ELSE 'retry' END AS status, coalesce(t.error, '') AS error, coalesce(calls, 0) AS calls,
+  coalesce(CAST(t.called_at AS VARCHAR), '') AS scored_at, CASE WHEN status = 'retry' THEN CAST(CAST(t.called_at + 30 * 2 ** (calls - 1) AS BIGINT) AS VARCHAR) ELSE '' END AS due FROM scored s LEFT JOIN told t USING (event_id)""".replace("{{broken", "{broken")
+
+
+def _fold(spark, sf, retry_errors):
+    scored = B.scored(spark, sf)
+    plain = scored.withColumn("detected_at", F.unix_timestamp("detected_at"))
+    attempts = D.derived(spark, "attempts", events=plain, responses=D.derived(spark, "responses", events=scored)).withColumn("called_at", F.timestamp_seconds("called_at"))
+    text = lambda c: F.coalesce(F.unix_timestamp(c).cast("string"), F.lit(""))
+    out = T.fold_attempts(scored.select("event_id"), attempts, retry_errors, 2)
+    return out.select("event_id", "status", F.coalesce("error", F.lit("")).alias("error"), "calls", text("scored_at").alias("scored_at"), text("next_attempt_at").alias("due"))
+
+
+@query(_FOLD.replace("FINAL", "http_ok"))
+def call_attempts(spark, sf):
+    return _fold(spark, sf, False)
+
+
+@query(_FOLD.replace("FINAL", "said IS NULL"))
+def call_attempts_with_errors_again(spark, sf):
+    return _fold(spark, sf, True)
+
+
 @query(f"{OBLIGATIONS} SELECT event_id, obligation_type AS type, coalesce(deadline_date, left(deadline_text, 20), '-') AS deadline, left(actor, 30) AS actor, left(action, 80) AS action FROM obligations ORDER BY event_id, chunk_no, pos LIMIT 10")
 def recent_obligations(spark, sf):
     return R.recent_obligations(_obligations(spark, sf)[0])
