@@ -11,7 +11,22 @@ BLANKS = " \t\n\r\x0b\x0c"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without blanks at either end."""
+    return F.trim(text, F.lit(BLANKS))
+
+
+def structural_marker(text: Column) -> Column:
+    """The first mark of a paragraph, article, code or act; empty if there is none.
+
+    Every mark is a number with a sign or word before or behind it: only texts that have such a word beside a
+    number are searched in full.
+    """
+
+    def beside(piece: Column) -> Column:
+        before, after = F.right(F.rtrim(piece, F.lit(BLANKS)), F.lit(7)), F.left(F.ltrim(piece, F.lit(BLANKS)), F.lit(3))
+        return before.rlike(r"(?i)(?:§|article|art\.|section|sec\.|chapter|title|part|e[uc])$") | after.rlike(r"(?i)^(?:cfr|us|u\.)")
+
+    return F.when(F.exists(F.split(text, "[0-9]+"), beside), F.regexp_extract(text, C.MARKER_PATTERN, 0)).otherwise("")
 
 
 def collapse(text: Column) -> Column:

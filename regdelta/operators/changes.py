@@ -38,7 +38,7 @@ def content_filter(docs: DataFrame, cfg: C.Config = C.Config()) -> DataFrame:
     corpus = X.strip(F.concat(F.when(F.coalesce("title", F.lit("")) != "", F.concat("title", F.lit("\n\n"))).otherwise(""), F.coalesce("raw_text", F.lit(""))))
     df = docs.withColumn("_corpus", corpus)
     tokens = F.regexp_extract_all(F.lower("_corpus"), F.lit(C.WORD_PATTERN), 0)
-    df = df.withColumn("_tokens", tokens).withColumn("_marker", F.regexp_extract("_corpus", C.MARKER_PATTERN, 0))
+    df = df.withColumn("_tokens", tokens).withColumn("_marker", X.structural_marker(F.col("_corpus")))
     hits = F.size(F.array_intersect(F.col("_tokens"), F.array(*map(F.lit, C.REGULATORY_WORDS))))
     for phrase in C.REGULATORY_PHRASES:
         hits = hits + F.lower("_corpus").contains(phrase).cast("int")

@@ -164,8 +164,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def evenly(rows: DataFrame) -> DataFrame:
+    """A table of fewer file splits than half the cores is dealt to all of them; others, as any large one, stay as they lie."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 2 * rows.rdd.getNumPartitions() <= cores else rows
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, "observations", documents=read(spark, sf_dir, "documents"))
+    return derived(spark, "observations", documents=evenly(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
 
 
 def subscriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
