@@ -6,16 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regdelta import constants as C
+from regdelta.functions.entity import retry_at
 from regdelta.operators.scoring import extract_obligations, parse_score
 
-RETRY_SECONDS = 30
-
-
-def retry_at(last: Column, retries: Column, seconds: int = RETRY_SECONDS) -> Column:
-    """When a call that failed is made again: after 30 s, then twice as long each time."""
-    return F.timestamp_micros(F.unix_micros(last) + (F.pow(F.lit(2), retries) * seconds * 1_000_000).cast("long"))
-
-
 def fold_attempts(events: DataFrame, attempts: DataFrame, retry_errors: bool = False, retries: int = 3) -> DataFrame:
     """One row an event: event_id, status, error, body, scored_at, calls, next_attempt_at.
 
@@ -44,7 +37,7 @@ def fold_attempts(events: DataFrame, attempts: DataFrame, retry_errors: bool = F
         .otherwise("dead")
     )
     out = rows.withColumn("status", status)
-    due = F.when(F.col("status") == "retry", retry_at(F.col("last.called_at"), F.col("calls") - 1))
+    due = F.when(F.col("status") == "retry", retry_at(F.col("last.called_at"), F.col("calls") - 1, C.RETRY_BASES["score"], retries + 1))
     return out.select(
         "event_id", "status", error.alias("error"), F.when(F.col("status") == "scored", F.col("last.body")).alias("body"), F.col("last.called_at").alias("scored_at"),
         F.coalesce("calls", F.lit(0)).cast("long").alias("calls"), due.alias("next_attempt_at"),

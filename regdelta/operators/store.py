@@ -14,18 +14,19 @@ class BucketStore:
     Batch n writes the buckets that it touches to version=n, and at last a manifest, which tells for each bucket the version that
     it is in. It reads by the manifest of batch n - 1. So a batch that failed half way has changed nothing, one that is
     replayed writes the same again, and batch 1,000 reads as few files as batch 10. The manifest has a row for each bucket.
-    Batches are numbered from 0 without gaps. A key has one row or few, so hot keys of a batch are folded by `merge` before they are kept.
+    Batches are numbered from 0 without gaps; `seed` puts rows of an earlier table in front of them. A key has one row or few, so hot keys of a batch are folded by `merge` before they are kept.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = 64, seeded: bool = False):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
+        self.first = -1 if seeded else 0
 
     def _bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _manifest(self, number: int) -> dict[int, int]:
         """The version of each bucket after that batch."""
-        if number < 0:
+        if number < self.first:
             return {}
         rows = self.spark.read.schema("bucket int, version int").parquet(f"{self.path}/manifest={number}").collect()
         return {r["bucket"]: r["version"] for r in rows}
@@ -59,3 +60,8 @@ class BucketStore:
         manifest = self.spark.createDataFrame(sorted(now.items()), "bucket int, version int").coalesce(1)
         manifest.write.mode("overwrite").parquet(f"{self.path}/manifest={number}")
         return self._read(dict.fromkeys(touched, number))
+
+    def seed(self, rows: DataFrame) -> None:
+        """Rows (a table, each key as the store keeps it) that were there before batch 0. Later stores of this path are told `seeded`."""
+        self.first = -1
+        self.apply(-1, rows, lambda known, new: new)

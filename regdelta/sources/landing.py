@@ -217,10 +217,26 @@ def slice_pages(docs: DataFrame) -> DataFrame:
 GOLDEN = "id string, source_url string, title string, diff_kind string, unified_diff string, content string, added_chars int, removed_chars int, expected struct<significance_score:struct<min:double,max:double>,change_type:string,topic:string,origin_countries:array<string>,trade_flow_direction:string,should_trigger_obligations:boolean>"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers from 1; large files are split as Spark splits them.
+
+    A split reads the lines that begin in it, in order. How many there are in the splits before is counted first, a row for each split.
+    """
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), block.alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    splits = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("file", "_block", "_first", before.alias("_before"))
+    return lines.join(placed, ["file", "_block"]).select("file", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("line"), "value")
+
+
 def read_golden(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; blank ones and comments are skipped, an entry that is not JSON fails the load."""
-    lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
-    return lines.select(F.from_json("value", GOLDEN, {"mode": "FAILFAST"}).alias("g")).select("g.*")
+    """JSON lines; blank ones and comments are skipped, an entry that is not JSON fails the load with its file and line."""
+    lines = numbered_lines(spark, path).where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
+    read = lines.withColumn("g", F.from_json("value", GOLDEN + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}))
+    said = F.concat(F.lit("not a JSON entry: "), "file", F.lit(", line "), F.col("line").cast("string"))
+    sound = F.when(F.col("g._broken").isNull(), F.col("g")).otherwise(F.raise_error(said).cast(read.schema["g"].dataType))
+    return read.select(sound.alias("g")).select("g.*").drop("_broken")
 
 
 LEDGER = "ts timestamp, scope string, model string, event_id string, request_hash string, prompt_tokens int, completion_tokens int, latency_ms int"

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from regdelta.operators.alerts import plan_delivery
 from regdelta.operators.changes import apply_content_filter, event_key
 from regdelta.operators.matching import match_events, new_alerts
+from regdelta.operators.store import BucketStore
 from regdelta.shipping import ship
 from regdelta.storage import cut
 
@@ -98,28 +99,31 @@ def breaker_stream(failures: DataFrame, seconds: int = 60, threshold: int = 10,
     return rows.groupBy("scope").transformWithStateInPandas(Breaker(seconds, threshold, cooldown), outputStructType=BREAKER, outputMode="Append", timeMode="EventTime")
 
 
-def alert_batch(texts_of: Callable[[DataFrame], DataFrame], subs: DataFrame, alerts_path: str, outbox_path: str | None = None) -> Callable[[DataFrame, int], None]:
+ALERT_KEYS = "subscription_id bigint, event_id string"
+
+
+def alert_batch(texts_of: Callable[[DataFrame], DataFrame], subs: DataFrame, alerts_path: str, outbox_path: str | None = None, buckets: int = 64, earlier: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """Matches a micro-batch of scored events with the rules; alerts that a former batch wrote are not made again.
 
-    Each batch has a folder of its own number, as in ingest_batch; those before are read as one table, the keys
-    of the batch's events alone. outbox_path: alerts whose plan is to send go there as well, with their recipient.
-    subs then has user_email, channel and channel_target too.
+    Each batch has a folder of its own number. The keys of all alerts are kept in hash buckets by event: a batch
+    reads those that its events fall in, however many batches were before. earlier: (subscription_id, event_id) of alerts from before the
+    stream. outbox_path: alerts whose plan is to send go there as well, with their recipient; subs then has user_email,
+    channel and channel_target too.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        found = match_events(batch, texts_of(batch), subs)
-        past = spark.createDataFrame([], "subscription_id long, event_id string")
-        if number:
-            earlier = spark.read.schema("subscription_id long, event_id string, batch int").parquet(alerts_path).where(F.col("batch") < number)
-            past = earlier.join(batch.select("event_id").distinct(), "event_id", "left_semi").select("subscription_id", "event_id")
-        # written aside of the table that is being read
-        fresh = cut(new_alerts(found, past), "alerts")
+        made = BucketStore(spark, f"{alerts_path}/_keys", ALERT_KEYS, "event_id", buckets, earlier is not None)
+        if earlier is not None and number == 0:
+            made.seed(earlier.select(F.col("subscription_id").cast("long").alias("subscription_id"), "event_id").distinct())
+        past = made.near(number, batch).join(batch.select("event_id").distinct(), "event_id", "left_semi").select("subscription_id", "event_id")
+        fresh = cut(new_alerts(match_events(batch, texts_of(batch), subs), past), "alerts")
         fresh.write.mode("overwrite").parquet(f"{alerts_path}/batch={number}")
         if outbox_path:
             untried = fresh.withColumns({"delivered_at": F.lit(None).cast("timestamp"), "delivery_attempts": F.lit(0), "created_at": F.current_timestamp()})
             due = plan_delivery(untried, subs, batch).where("plan = 'to_send'")
             due.select("alert_id", "subscription_id", "event_id", "recipient").write.mode("overwrite").parquet(f"{outbox_path}/batch={number}")
+        made.apply(number, fresh.select(F.col("subscription_id").cast("long").alias("subscription_id"), "event_id"), lambda known, new: known.unionByName(new))
 
     return run
 
@@ -139,40 +143,31 @@ def each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], check
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-#: Every so many batches the known hashes are written as a whole, so that a batch reads at most so many folders.
-COMPACT = 32
-KNOWN = "source_url string, content_hash string, batch int, seq long"
-
-
-def _known(spark: SparkSession, path: str, number: int, every: int) -> DataFrame:
-    """(source_url, content_hash, batch, seq) of the batches before this one: each hash of a url where it was seen last."""
-    whole = max(0, (number - 1) // every * every)
-    folders = [f"{path}/all={whole}"] * (whole > 0) + [f"{path}/batch={n}" for n in range(whole, number)]
-    rows = spark.read.schema(KNOWN).parquet(*folders) if folders else spark.createDataFrame([], KNOWN)
-    return _last_seen(rows)
+KNOWN = "source_url string, content_hash string, batch int, seq bigint"
 
 
 def _last_seen(rows: DataFrame) -> DataFrame:
+    """Each hash of a url where it was seen last."""
     return rows.groupBy("source_url", "content_hash").agg(F.max(F.struct("batch", "seq")).alias("at")).select("source_url", "content_hash", "at.*")
 
 
-def ingest_batch(state_path: str, events_path: str, filtered: bool = False, every: int = COMPACT) -> Callable[[DataFrame, int], None]:
+def ingest_batch(state_path: str, events_path: str, filtered: bool = False, buckets: int = 64, earlier: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
     """Content filter (if wanted) and change detection of a micro-batch against what was seen so far; new texts go to `events_path`.
 
-    Each batch has a folder of its own number: when it is replayed it writes the same rows to the same
-    place, and reads only what batches before it wrote. The state is hashes, not texts: what a batch has seen,
-    and every so many batches all that was seen before. Rows of a batch that pass are kept once, by
-    the changes that they make; a text seen before adds nothing but its time.
+    The state is hashes, not texts, in hash buckets by url: a batch reads and rewrites those that its urls fall in, so that batch
+    1,000 does what batch 10 does. A batch that is replayed reads what batches before it wrote, and writes the same rows to the same
+    place. earlier: KNOWN rows from before the stream, as `seen_versions` makes them. Rows of a batch that pass are kept once, by the
+    changes that they make; a text seen before adds nothing but its time.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         passed = apply_content_filter(batch, filtered).where("source_url is not null and content_hash is not null and raw_text is not null")
-        past = _known(spark, state_path, number, every)
-        if number and number % every == 0:
-            past.write.mode("overwrite").parquet(f"{state_path}/all={number}")
-            past = spark.read.schema(KNOWN).parquet(f"{state_path}/all={number}")
-        near = past.join(passed.select("source_url").distinct(), "source_url", "left_semi")
+        seen = BucketStore(spark, state_path, KNOWN, "source_url", buckets, earlier is not None)
+        if earlier is not None and number == 0:
+            seen.seed(earlier)
+        places = cut(_last_seen(passed.select("source_url", "content_hash", F.col("batch").cast("int").alias("batch"), F.col("seq").cast("long").alias("seq"))), "places")
+        near = seen.near(number, places).join(places.select("source_url").distinct(), "source_url", "left_semi")
         now = passed.withColumn("_now", F.lit(True)).unionByName(near.withColumn("_now", F.lit(False)), allowMissingColumns=True)
         by_time = Window.partitionBy("source_url").orderBy("_now", "batch", "seq")
         again = Window.partitionBy("source_url", "content_hash").orderBy("_now", "batch", "seq")
@@ -180,6 +175,11 @@ def ingest_batch(state_path: str, events_path: str, filtered: bool = False, ever
         outcome = F.when(F.col("prev_hash").isNull(), "created").otherwise("modified").alias("outcome")
         found = marked.where("_now and _seen = 1").select(event_key("source_url", "content_hash").alias("event_id"), "source_url", "content_hash", "prev_hash", outcome, "batch", "seq", "raw_text")
         found.write.mode("overwrite").parquet(f"{events_path}/batch={number}")
-        _last_seen(passed.select(F.col("source_url"), "content_hash", F.col("batch").cast("int").alias("batch"), F.col("seq").cast("long").alias("seq"))).write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        seen.apply(number, places, lambda known, new: _last_seen(known.unionByName(new)))
 
     return run
+
+
+def seen_versions(versions: DataFrame) -> DataFrame:
+    """KNOWN rows of a version history, as batch -1, in the order of their last times."""
+    return versions.select("source_url", "content_hash", F.lit(-1).alias("batch"), F.unix_micros("last_seen_at").alias("seq"))

@@ -293,16 +293,24 @@ def test_lists_and_ledgers(spark, tmp_path):
     assert [(r.id, r.expected.significance_score.max) for r in Land.read_golden(spark, str(tmp_path / "golden.jsonl")).collect()] == [("g1", 0.3)]
 
 
-@pytest.mark.parametrize("every", [2, 32])
-def test_streamed_ingest_equals_the_batch_job(spark, tmp_path, every):
+@pytest.mark.parametrize("seeded", [False, True])
+def test_streamed_ingest_equals_the_batch_job(spark, tmp_path, seeded):
     log = random_log(60, 9)
     land = str(tmp_path / "in")
-    for b in range(6):
+    # seeded: the first two batches are history from before the stream
+    first, earlier = 0, None
+    if seeded:
+        before = observed(spark, [r for r in log if r[2] < 2])
+        earlier = J.seen_versions(before.groupBy("source_url", "content_hash").agg(F.max(F.timestamp_micros(F.col("batch") * 1_000_000 + F.col("seq"))).alias("last_seen_at")))
+        first = 2
+    run = J.ingest_batch(str(tmp_path / "state"), str(tmp_path / "events"), buckets=4, earlier=earlier)
+    for b in range(first, 6):
         observed(spark, [r for r in log if r[2] == b]).coalesce(1).write.mode("append").parquet(land)
         stream = spark.readStream.schema(observed(spark, []).schema).parquet(land)
-        J.each_batch(stream, J.ingest_batch(str(tmp_path / "state"), str(tmp_path / "events"), every=every), str(tmp_path / "ck")).awaitTermination(120)
+        J.each_batch(stream, run, str(tmp_path / "ck")).awaitTermination(120)
+    run(observed(spark, [r for r in log if r[2] == 5]), 5 - first)  # replayed
     got = spark.read.parquet(str(tmp_path / "events")).collect()
-    want = [r for r in sequential_outcomes(log) if r[4] != "unchanged"]
+    want = [r for r in sequential_outcomes(log) if r[4] != "unchanged" and r[2] >= first]
     assert sorted((r.source_url, r.content_hash, r.outcome) for r in got) == sorted((u, h, k) for u, h, _, _, k, _ in want)
 
 
