@@ -12,24 +12,29 @@ from regdelta.operators import reports as R
 from regdelta.operators import scoring as S
 
 
-def ingest(docs: DataFrame, state: DataFrame | None, archived: DataFrame, now: Column, filtered: bool = True) -> dict[str, DataFrame]:
-    """Filter, archive and upsert a batch. Returns documents (the new state), archive (rows with their URI) and dropped (with reasons)."""
+def ingest(docs: DataFrame, state: DataFrame | None, archived: DataFrame, now: Column, filtered: bool = True, versions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Filter, archive, upsert and change detection of a batch.
+
+    Returns documents (the new state), archive (rows with their URI), dropped (with reasons) and changes (each row that
+    was kept, with its outcome against versions, the history from before).
+    """
     judged = G.content_filter(docs)
     kept = judged.where("passed").select(*docs.columns) if filtered else docs
-    archive = G.archive_keys(kept, archived)
-    return {"documents": G.upsert_documents(state, kept, now), "archive": archive, "dropped": judged.where("not passed")}
+    dropped = judged.where("not passed") if filtered else judged.where("false")
+    return {"documents": G.upsert_documents(state, kept, now), "archive": G.archive_keys(kept, archived), "dropped": dropped, "changes": G.detect_changes(kept, versions)}
 
 
-def ingest_stats(docs: DataFrame, archive: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row: inserted, updated (repeats within the batch count too), archived, filtered, and the reasons as a map."""
+def ingest_stats(docs: DataFrame, archive: DataFrame, judged: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """One row: inserted, updated (repeats within the batch count too), archived (new texts, each once), created, modified and unchanged, filtered, and the reasons as a map."""
     a = docs.agg(
         F.count_if(F.col("outcome") == "inserted").alias("inserted"),
         F.coalesce(F.sum(F.when(F.col("outcome") == "updated", F.col("repeats")).when(F.col("outcome") == "inserted", F.col("repeats") - 1)), F.lit(0)).alias("updated"),
     )
-    b = archive.agg(F.count_if(~F.col("reused")).alias("archived"))
+    b = archive.where("not reused").select("content_hash").distinct().agg(F.count("*").alias("archived"))
     reasons = judged.groupBy("reason").agg(F.count("*").alias("n"))
     c = reasons.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("filtered"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("reason", "n")))).alias("reasons"))
-    return a.join(b).join(c)  # one row each
+    out = a.join(b).join(c)  # one row each
+    return out.join(changes.agg(*[F.count_if(F.col("outcome") == k).alias(k) for k in ("created", "modified", "unchanged")])) if changes is not None else out
 
 
 def domain_report(docs, versions, events, entities, links, obligations, domain: str, as_of: Column) -> dict[str, DataFrame]:

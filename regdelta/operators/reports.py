@@ -110,6 +110,24 @@ def top_codes(pairs: DataFrame, limit: int = 15) -> DataFrame:
     return pairs.groupBy("surface").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "surface").limit(limit)
 
 
+def pattern_hits(pairs: DataFrame) -> DataFrame:
+    """Codes that each pattern was the first to find, a document's codes once each."""
+    return pairs.groupBy("pattern").agg(F.count("*").alias("hits"))
+
+
+def code_totals(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: docs_scanned, docs_with_code, mentions (code and document) and codes."""
+    found = pairs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.count("*").alias("docs_with_code"), F.coalesce(F.sum("n"), F.lit(0)).alias("mentions"))
+    codes = pairs.select("surface").distinct().agg(F.count("*").alias("codes"))
+    return docs.agg(F.count("*").alias("docs_scanned")).join(found).join(codes)  # one row each
+
+
+def verified_quotes(events: DataFrame, limit: int = 5) -> DataFrame:
+    """The events scored last, with their quotes and whether these were found in the text."""
+    rows = events.where("scored_at is not null and significance_score is not null").orderBy(F.desc("scored_at"), "event_id").limit(limit)
+    return rows.select(F.left("source_url", F.lit(50)).alias("url"), "change_type", "topic", F.col("significance_score").alias("score"), F.left("quote", F.lit(80)).alias("quote"), F.col("span_start").isNotNull().alias("quote_verified"))
+
+
 def url_category_counts(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return docs.agg(*[F.count_if(F.col("source_url").like(p)).alias(k) for k, p in patterns.items()])
 
@@ -211,7 +229,9 @@ def eval_metrics(results: DataFrame, gate: float = C.Config.score_gate) -> DataF
     right = F.coalesce((score >= gate) == F.col("g_gate"), F.lit(False))
     labelled = F.count_if(F.col("g_gate").isNotNull())
     rate = lambda c: F.round(F.try_divide(c, n), 6)
+    latency = [F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("total_latency_ms")] if "latency_ms" in results.columns else []
     return results.agg(
+        *latency,
         n.alias("n_entries"),
         rate(F.count_if(F.size("failures") == 0)).alias("pass_rate"),
         F.round(F.avg(F.abs(score - (F.col("g_min") + F.col("g_max")) / 2)), 6).alias("score_mae"),
@@ -227,7 +247,15 @@ def tariff_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def provenance_counts(promoted: DataFrame) -> DataFrame:
+    return promoted.groupBy("provenance").agg(F.count("*").alias("documents"))
+
+
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(min(100, limit))
 
 
+def page_with_total(df: DataFrame, order: list, offset: int = 0, limit: int = 20, status: str | None = None) -> DataFrame:
+    """A page of the rows, of one status if it is given, each with the number of all of them."""
+    rows = df.where(F.col("status") == status) if status else df
+    return page(rows, order, offset, limit).join(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row

@@ -11,6 +11,7 @@ from regdelta.functions import entity as E
 from regdelta.functions import text as X
 from regdelta.functions import url as L
 from regdelta.operators import changes as G
+from regdelta.operators import jobs as J
 from regdelta.operators import reports as R
 from regdelta.operators.store import BucketStore
 from regdelta.plans import base as B
@@ -208,6 +209,38 @@ def promote(spark, sf):
     return G.promote_and_create(o, o.where("batch < 2"), o.where("batch < 1"))
 
 
+_PROMOTED = f"""WITH {B.DETECTED}, d AS (SELECT DISTINCT source_url, content_hash FROM obs)
+SELECT CASE WHEN v.source_url IS NULL THEN 'promoted+created' WHEN e.source_url IS NULL THEN 'created' ELSE 'existing' END AS provenance, count(*) AS documents
+FROM d LEFT JOIN (SELECT DISTINCT source_url, content_hash FROM obs WHERE batch < 2) v USING (source_url, content_hash) LEFT JOIN (SELECT DISTINCT source_url, content_hash FROM detected WHERE batch < 1) e USING (source_url, content_hash) GROUP BY 1"""
+
+
+@query(_PROMOTED)
+def provenance_counts(spark, sf):
+    o = D.observations(spark, sf)
+    return R.provenance_counts(G.promote_and_create(o, o.where("batch < 2"), o.where("batch < 1")))
+
+
+@query(FILTER_SQL + f""", kept AS (SELECT * FROM r WHERE reason IN ('structural_marker', 'dense_short', 'passed')),
+old AS (SELECT * FROM kept WHERE batch = 0), new AS (SELECT * FROM kept WHERE batch > 0),
+fresh AS (SELECT DISTINCT content_hash FROM new WHERE content_hash NOT IN (SELECT content_hash FROM old)),
+seen AS (SELECT batch, lag(content_hash) OVER (PARTITION BY source_url ORDER BY batch, seq) AS prev, row_number() OVER (PARTITION BY source_url, content_hash ORDER BY batch, seq) AS k FROM kept)
+SELECT (SELECT count(*) FROM fresh) AS inserted, (SELECT count(*) FROM new) - (SELECT count(*) FROM fresh) AS updated, (SELECT count(*) FROM fresh) AS archived,
+  count(*) FILTER (k = 1 AND prev IS NULL) AS created, count(*) FILTER (k = 1 AND prev IS NOT NULL) AS modified, count(*) FILTER (k > 1) AS unchanged,
+  (SELECT count(*) FROM r WHERE batch > 0 AND reason NOT IN ('structural_marker', 'dense_short', 'passed')) AS filtered,
+  (SELECT string_agg(reason || ':' || n, ' ' ORDER BY reason) FROM (SELECT reason, count(*) AS n FROM r WHERE batch > 0 AND reason NOT IN ('structural_marker', 'dense_short', 'passed') GROUP BY 1)) AS reasons FROM seen WHERE batch > 0""")
+def ingest_counters(spark, sf):
+    """Batches 1 to 3 are ingested on what batch 0 left."""
+    o = cut(D.observations(spark, sf), "observations")
+    now = F.timestamp_seconds(F.lit(AS_OF))
+    before = cut(G.apply_content_filter(o.where("batch = 0")), "before")
+    archived = before.groupBy("content_hash").agg(F.max("artifact_uri").alias("artifact_uri"))
+    versions = before.withColumn("batch", F.col("seq")).groupBy("source_url", "content_hash").agg(F.first("raw_text").alias("raw_text"), F.timestamp_micros(F.max("seq")).alias("last_seen_at"))
+    out = J.ingest(o.where("batch > 0"), G.upsert_documents(None, before, now), archived, now, versions=versions)
+    stats = J.ingest_stats(out["documents"], out["archive"], out["dropped"], out["changes"])
+    said = F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), " ")
+    return stats.withColumn("reasons", said)
+
+
 @query(f"WITH {B.OBS} SELECT source_type, language, count(*) AS docs, CAST(sum(length(raw_text)) AS BIGINT) AS text_chars, count(artifact_uri) AS archived FROM obs GROUP BY ALL")
 def report_documents(spark, sf):
     return R.report_documents(D.observations(spark, sf))
@@ -247,6 +280,17 @@ def top_codes(spark, sf):
     return R.top_codes(R.mine_codes(D.observations(spark, sf)))
 
 
+@query(f"{CODES_SQL} SELECT pattern, count(*) AS hits FROM pairs GROUP BY 1")
+def code_pattern_hits(spark, sf):
+    return R.pattern_hits(R.mine_codes(D.observations(spark, sf)))
+
+
+@query(f"{CODES_SQL} SELECT (SELECT count(*) FROM obs) AS docs_scanned, count(DISTINCT doc_id) AS docs_with_code, count(*) AS mentions, count(DISTINCT surface) AS codes FROM pairs")
+def code_totals(spark, sf):
+    o = D.observations(spark, sf)
+    return R.code_totals(o, cut(R.mine_codes(o), "codes"))
+
+
 @query(f"WITH {B.OBS} SELECT DISTINCT source_url || '.PDF' AS source_url FROM obs WHERE doc_id % 7 = 3")
 def code_bearing_pdfs(spark, sf):
     return R.code_bearing_pdfs(D.observations(spark, sf).withColumn("source_url", F.concat("source_url", F.lit(".PDF"))))

@@ -61,7 +61,7 @@ TEMPLATES = {
                ', "origin_countries": ["' || {pick("doc_id % 8", NAMES)} || '", "' || {pick("(doc_id * 3) % 8", NAMES)} || '"]' ||
                ', "trade_flow_direction": ' || {pick("doc_id % 6", ('"inbound"', '" Outbound"', '"bilateral"', '"global"', '"diagonal"', "null"))} ||
                ', "compliance_summary": "Summary of ' || CAST(doc_id AS STRING) || '"' ||
-               ', "trigger_quote": "Quote number ' || CAST(doc_id AS STRING) || ' of the text"}}' END AS body
+               ', "trigger_quote": "' || CASE doc_id % 14 WHEN 2 THEN 'importer shall comply and must pay' WHEN 9 THEN 'importer  shall comply and  must pay' ELSE 'Quote number ' || CAST(doc_id AS STRING) || ' of the text' END || '"}}' END AS body
         FROM (SELECT *, CAST(((doc_id * 37) % 101) / 100.0 AS STRING) AS score_raw, '0.' || lpad(CAST(least((doc_id * 37) % 101, 99) AS STRING), 2, '0') AS score FROM events) e
     """,
     "chunk_responses": """

@@ -57,6 +57,35 @@ def top_scored(spark, sf):
     return R.top_scored(B.scored(spark, sf))
 
 
+_QUOTED = f"""{SCORED}, texts AS (SELECT event_id, raw_text, regexp_replace(trim(quote), '\\s+', '\\\\s+', 'g') AS loose FROM scored JOIN detected USING (event_id) WHERE quote IS NOT NULL AND outcome <> 'unchanged'),
+spans AS (SELECT event_id, CASE WHEN contains(raw_text, quote) THEN strpos(raw_text, quote) - 1 WHEN regexp_matches(raw_text, loose) THEN strpos(raw_text, regexp_extract(raw_text, loose)) - 1 END AS span_start,
+  CASE WHEN contains(raw_text, quote) THEN length(quote) ELSE length(regexp_extract(raw_text, loose)) END AS chars FROM texts JOIN scored USING (event_id))"""
+
+
+@query(f"{_QUOTED} SELECT event_id, coalesce(CAST(span_start AS VARCHAR), '-') AS span_start, coalesce(CAST(span_start + chars AS VARCHAR), '-') AS span_end FROM spans")
+def scored_quotes(spark, sf):
+    """Spans of the quotes of all scores: as they stand, or with other blanks between their words."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c)
+    return B.scored(spark, sf).where("quote is not null").select("event_id", text("span_start"), text("span_end"))
+
+
+@query(f"""{_QUOTED} SELECT left(source_url, 50) AS url, change_type, topic, significance_score AS score, left(quote, 80) AS quote, span_start IS NOT NULL AS quote_verified
+FROM scored LEFT JOIN spans USING (event_id) WHERE significance_score IS NOT NULL ORDER BY scored_at DESC, event_id LIMIT 5""")
+def verified_quotes(spark, sf):
+    return R.verified_quotes(B.scored(spark, sf))
+
+
+@query(f"""{SCORED}, t AS (SELECT event_id, source_url, title, length(raw_text) AS added, trim(raw_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM scored JOIN detected USING (event_id, source_url) WHERE outcome = 'created')
+SELECT event_id, sha256('Source URL : ' || source_url || chr(10) || 'Title      : ' || coalesce(nullif(title, ''), '(unknown)') || chr(10) || 'Change kind: created' || chr(10) || 'Added chars: ' || added || chr(10) || 'Removed chars: 0' || chr(10) || chr(10)
+  || 'Document content:' || chr(10) || '```' || chr(10) || CASE WHEN body = '' THEN '(no content available)' WHEN length(body) <= 6000 THEN body
+     ELSE left(body, 4500) || chr(10) || '… [content truncated for scoring — ' || length(body) || ' chars total] …' || chr(10) || right(body, 1500) END || chr(10) || '```') AS prompt_hash FROM t""")
+def scoring_prompts(spark, sf):
+    """Prompts of created events; those of modified ones hold a diff, which SQL cannot tell."""
+    made = B.detected(spark, sf).where("outcome = 'created'")
+    p = S.scoring_prompt(F.col("source_url"), F.col("title"), F.lit("created"), F.length("raw_text"), F.lit(0), F.lit(None).cast("string"), F.col("raw_text"))
+    return made.select("event_id", F.sha2(p, 256).alias("prompt_hash"))
+
+
 @query(f"{SCORED} SELECT event_id FROM scored WHERE (significance_score IS NULL OR error IS NOT NULL) AND diff_kind = 'modified' AND detected_at >= {AS_OF - 14 * DAY} ORDER BY detected_at DESC, event_id LIMIT 50")
 def score_backlog(spark, sf):
     return S.backlog(B.scored(spark, sf), "retry", kind="modified", recent="2w", as_of=F.timestamp_seconds(F.lit(AS_OF))).select("event_id")
@@ -521,6 +550,7 @@ def _golden(spark, sf):
             "g_flow": F.when(d % 5 == 0, "inbound"),
             "g_gate": F.when(d % 3 != 0, d % 2 == 0),
             "origins": F.col("origin_countries"),
+            "latency_ms": d % 400,
         }
     )
     return R.eval_failures(g)
@@ -533,7 +563,7 @@ def eval_results(spark, sf):
 
 @query(f"""{GOLDEN} SELECT count(*) AS n_entries, round(count(*) FILTER (len(failures) = 0) / count(*), 6) AS pass_rate, round(avg(abs(significance_score - (g_min + g_max) / 2)), 6) AS score_mae,
   round(count(*) FILTER (change_type = g_change_type) / count(*), 6) AS change_type_accuracy, round(count(*) FILTER (topic = g_topic) / count(*), 6) AS topic_accuracy,
-  round(count(*) FILTER (g_gate IS NOT NULL AND (significance_score >= 0.6) = g_gate) / count(g_gate), 6) AS gate_accuracy FROM results""")
+  round(count(*) FILTER (g_gate IS NOT NULL AND (significance_score >= 0.6) = g_gate) / count(g_gate), 6) AS gate_accuracy, CAST(sum(doc_id % 400) AS BIGINT) AS total_latency_ms FROM results""")
 def eval_metrics(spark, sf):
     return R.eval_metrics(_golden(spark, sf))
 

@@ -143,9 +143,9 @@ def crawl_frontier(spark, sf):
 
 
 @query("""WITH log AS (SELECT c_custkey AS id, c_custkey % 4 AS op, c_nationkey FROM customer)
-SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 THEN 'renamed' ELSE c_mktsegment END AS label, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS channel FROM customer WHERE c_custkey % 4 <> 2
-UNION ALL SELECT c_custkey + 1000000, 'new', CASE WHEN c_custkey % 8 = 3 THEN 'patched' END FROM customer WHERE c_custkey % 4 = 3
-UNION ALL SELECT c_custkey, 'again', NULL FROM customer WHERE c_custkey % 8 = 2""")
+SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 1 THEN 'renamed' ELSE c_mktsegment END AS label, CASE WHEN c_custkey % 4 <> 1 THEN c_name END AS channel, CASE WHEN c_custkey % 4 = 1 THEN '200' ELSE '-' END AS updated_at FROM customer WHERE c_custkey % 4 <> 2
+UNION ALL SELECT c_custkey + 1000000, 'new', CASE WHEN c_custkey % 8 = 3 THEN 'patched' END, CASE WHEN c_custkey % 8 = 3 THEN '300' ELSE '-' END FROM customer WHERE c_custkey % 4 = 3
+UNION ALL SELECT c_custkey, 'again', NULL, '-' FROM customer WHERE c_custkey % 8 = 2""")
 def registry_changes(spark, sf):
     c = D.read(spark, sf, "customer")
     table = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"), F.col("c_name").alias("channel"))
@@ -169,7 +169,14 @@ def registry_changes(spark, sf):
     log = patches.unionByName(earlier).unionByName(gone).unionByName(made)
     for part in more:
         log = log.unionByName(part)
-    return A.apply_registry_changes(table, log, "id", ["label", "channel"])
+    out = A.apply_registry_changes(table, log.withColumn("ts", F.timestamp_seconds(F.col("seq") * 100)), "id", ["label", "channel"])
+    return out.withColumn("updated_at", F.coalesce(F.unix_timestamp("updated_at").cast("string"), F.lit("-")))
+
+
+@query("SELECT c_custkey AS id, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') AS total FROM customer WHERE c_mktsegment = 'MACHINERY' ORDER BY c_custkey LIMIT 20 OFFSET 5")
+def registry_listing(spark, sf):
+    c = D.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_name", F.col("c_mktsegment").alias("status"))
+    return R.page_with_total(c, ["id"], 5, 20, "MACHINERY").select("id", "c_name", "total")
 
 
 @query("SELECT c_custkey AS id, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 20 OFFSET 5")
