@@ -41,11 +41,12 @@ def link_positions(edges: DataFrame) -> DataFrame:
 def page_edges(pages: DataFrame) -> DataFrame:
     """(src, pos, dst, class) of every followable link of pages (url, html): both ends canonical, links resolved against their page.
 
-    Of pages with the same canonical URL the one with the greatest markup speaks. class: pdf, xml or html.
+    Of pages with the same canonical URL the one whose markup has the greatest hash speaks. Links are taken where a page
+    lies, so that its markup is never moved. class: pdf, xml or html.
     """
-    known = pages.select(L.normalize_url(F.col("url")).alias("src"), "url", "html").where("src is not null and html is not null")
-    one = known.groupBy("src").agg(F.max(F.struct("html", "url")).alias("p"))
-    links = one.select("src", "p.url", F.posexplode(L.extract_links(F.col("p.html"))).alias("pos", "href"))
+    known = pages.select(L.normalize_url(F.col("url")).alias("src"), "url", F.xxhash64("html").alias("hash"), L.extract_links(F.col("html")).alias("hrefs")).where("src is not null and html is not null")
+    one = known.groupBy("src").agg(F.max_by(F.struct("url", "hrefs"), F.struct("hash", "url")).alias("p"))
+    links = one.select("src", "p.url", F.posexplode("p.hrefs").alias("pos", "href"))
     dst = L.normalize_url(L.resolve_url(F.col("href"), F.col("url")))
     out = links.select("src", "pos", dst.alias("dst")).where("dst is not null")
     return out.where(~L.is_skippable(F.col("dst"))).withColumn("class", L.link_class(F.col("dst")))

@@ -6,7 +6,6 @@ import email
 import email.policy
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -95,36 +94,72 @@ def xml_formats(spark: SparkSession, path: str) -> DataFrame:
     return files.select("source_url", kind.alias("format"), F.regexp_extract("xml", r"<(?:\w+:)?FRBRdate\b[^>]*?\bdate\s*=\s*[\"']([^\"']*)", 1).alias("published"), "xml")
 
 
-def _root_children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(source_url, pos, name, text) of the elements below the root of each file; a file that is no XML has none."""
-    for files in batches:
-        rows = []
-        for url, xml in zip(files["source_url"], files["xml"]):
-            try:
-                root = ElementTree.fromstring(xml)
-            except ElementTree.ParseError:
+#: Elements that are documents, by format; of other formats it is the elements below the root.
+XML_UNITS = {"uslm": ("section",), "akn": ("section", "article", "chapter")}
+_UNIT = "source_url string, seq long, format string, published string, name string, heading string, date string, text string"
+
+
+def _xml_units(url: str, kind: str, published: str, xml: str) -> list[tuple]:
+    """The units of a file in the order in which they begin, nested ones too; a file that is no XML has none.
+
+    Elements are let go as they end, but for those inside of a unit that is still open.
+    """
+    parser = ElementTree.XMLPullParser(("start", "end"))
+    units, out, opened, depth, begun = XML_UNITS.get(kind), [], [], 0, 0
+    words = lambda e: " ".join("".join(e.itertext()).split())
+    try:
+        parser.feed(xml)
+        parser.close()
+        for event, e in parser.read_events():
+            tag = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+            is_unit = depth == (1 if event == "start" else 2) if units is None else tag in units
+            depth += 1 if event == "start" else -1
+            if event == "start":
+                if is_unit:
+                    opened.append(begun)
+                    begun += 1
                 continue
-            rows += [(url, i, c.get("title") or c.get("id") or c.tag.rpartition("}")[2], " ".join("".join(c.itertext()).split())) for i, c in enumerate(root)]
-        yield pd.DataFrame(rows, columns=["source_url", "pos", "name", "text"])
+            if is_unit:
+                seq = opened.pop()
+                if units is None:
+                    out.append((url, seq, kind, published, e.get("title") or e.get("id") or tag, "", "", words(e)))
+                else:
+                    parts = {c.tag.rpartition("}")[2]: words(c) for c in e if isinstance(c.tag, str)}
+                    heading, body = (" ".join(filter(None, (parts.get(k, "") for k in keys))) for keys in (("num", "heading"), ("num", "heading", "content")))
+                    out.append((url, seq, kind, published, tag, heading, e.get("effectiveDate") or e.get("startDate") or "", body))
+            if not opened:
+                e.clear()
+    except ElementTree.ParseError:
+        return []
+    return sorted(out)
+
+
+def _read_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = [c.split()[0] for c in _UNIT.split(", ")]
+    for files in batches:
+        for row in files.itertuples(index=False):
+            yield pd.DataFrame(_xml_units(row.source_url, row.format, row.published, row.xml), columns=columns)
 
 
 def legal_xml_documents(spark: SparkSession, path: str, title: str) -> DataFrame:
-    """Documents of legal XML files of any format, by their root.
+    """Documents of legal XML files of any format, by their root; seq is their order in the file.
 
-    uslm: its sections; akn: its sections, articles and chapters, dated by the first FRBRdate of the file;
-    others: the elements below the root with 50 characters or more. Equal texts of a file are one document.
+    uslm: its sections, with their own dates; akn: its sections, articles and chapters, dated by the first FRBRdate of the file;
+    others: the elements below the root with 50 characters or more. Equal texts of a file are one document. Each file is read once,
+    by one task; `legal_xml_sections` splits a very large one, for a single tag.
     """
     ship(spark)
-    kinds = xml_formats(spark, path)
-    of = lambda kind: kinds.where(F.col("format") == kind)
-    uslm = legal_xml_sections(spark, path, title).join(of("uslm").select("source_url"), "source_url", "left_semi")
-    akn = reduce(DataFrame.unionByName, [legal_xml_sections(spark, path, title, tag, dated=False, untitled="Article") for tag in ("section", "article", "chapter")])
-    akn = akn.join(of("akn").select("source_url", "published"), "source_url")
-    akn = akn.withColumn("title", F.concat("title", F.when(F.col("published") != "", F.concat(F.lit(" (effective: "), "published", F.lit(")"))).otherwise(""))).drop("published")
-    parts = of("generic").select("source_url", "xml").mapInPandas(_root_children, "source_url string, pos long, name string, text string").where(F.length("text") >= 50)
-    other = parts.select("source_url", F.col("pos").alias("seq"), F.lit("xml").alias("source_type"), F.col("text").alias("raw_text"), F.concat(F.lit(f"{title} — "), "name").alias("title"))
-    other = other.withColumns({"content_hash": X.content_hash(F.col("raw_text")), "language": X.detect_language(F.col("raw_text"))})
-    return first_by(uslm.unionByName(akn).unionByName(other), ["source_url", "content_hash"], ["seq", "title"])
+    units = xml_formats(spark, path).select("source_url", "format", "published", "xml").mapInPandas(_read_units, _UNIT)
+    generic = F.col("format") == "generic"
+    least = F.when(generic, 50).otherwise(30)
+    named = F.when(generic, F.col("name")).otherwise(F.coalesce(F.nullif("heading", F.lit("")), F.when(F.col("format") == "akn", "Article").otherwise("Section")))
+    date = F.when(F.col("format") == "akn", F.col("published")).otherwise(F.col("date"))
+    docs = units.where(F.length("text") >= least).select(
+        "source_url", "seq", F.lit("xml").alias("source_type"), F.col("text").alias("raw_text"),
+        F.concat(F.lit(f"{title} — "), named, F.when(date != "", F.concat(F.lit(" (effective: "), date, F.lit(")"))).otherwise("")).alias("title"),
+    )
+    docs = docs.withColumns({"content_hash": X.content_hash(F.col("raw_text")), "language": X.detect_language(F.col("raw_text"))})
+    return first_by(docs, ["source_url", "content_hash"], ["seq"])
 
 
 REGISTER_TYPES = ("RULE", "PROPOSED_RULE", "PRESIDENTIAL_DOCUMENT")

@@ -270,6 +270,16 @@ def test_legal_xml_by_the_root_of_each_file(spark, tmp_path):
     assert "Banks report what they hold" in next(r.raw_text for r in rows if r.title == "Law — rule")
 
 
+def test_legal_xml_in_one_read_and_in_order(spark, tmp_path):
+    text = lambda n: f"<content>Paragraph {n} says that importers have to register with us.</content>"
+    body = f'<chapter><num>I</num>{text(1)}<section><num>1</num>{text(2)}<article><num>A</num>{text(3)}</article></section><article><num>B</num>{text(4)}</article></chapter><section><num>2</num>{text(5)}</section><section>{text(2)}<num>1</num></section>'
+    (tmp_path / "a.xml").write_text(f'<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><body>{body}</body></akomaNtoso>')
+    docs = Land.legal_xml_documents(spark, str(tmp_path), "Law")
+    got = [(r.title, r.raw_text.split()[2] if r.raw_text[0] != "P" else "") for r in docs.orderBy("seq").collect()]
+    assert got == [("Law — I", "1"), ("Law — 1", "2"), ("Law — A", "3"), ("Law — B", "4"), ("Law — 2", "5")]
+    assert docs._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("FileScan") == 1
+
+
 def test_mail(spark, tmp_path):
     body = "This notice says that importers have new duties from May on."
     (tmp_path / "a.eml").write_text(f"Subject: Notice\nFrom: a@x.org\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nContent-Type: text/plain\n\n{body}\n")
