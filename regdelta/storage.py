@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _own: dict[str, str] = {}
+_passing: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,5 +29,21 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs start from those files, not from its lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/regdelta-{label}-{uuid.uuid4().hex}"
+    if _passing:
+        _passing[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are cut within go at the end. What is to last has to be written elsewhere by then."""
+    own: list[str] = []
+    _passing.append(own)
+    try:
+        yield
+    finally:
+        _passing.remove(own)
+        for path in own:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -70,3 +70,16 @@ def test_indexed_events_add_nothing_again(spark, tmp_path):
     assert again == {"e1": 0, "e2": 1, "e3": 0, "e4": 0}
     assert sorted(r.mention_count for r in I.entity_table(entities, 1).collect()) == [2, 2]
     assert links.state(1).count() == 3
+
+
+def test_passing_tables_go(spark):
+    import os
+
+    from regdelta.storage import cut, passing_tables
+
+    kept = cut(spark.range(3), "kept")
+    with passing_tables(spark):
+        gone = cut(spark.range(3), "gone")
+        path = gone.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
