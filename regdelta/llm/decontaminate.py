@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Texts are turned into templates: numbers, names and units of measure become typed
-placeholders, all else is lower-cased words. Capitals in a row, at most LONGEST_NAME of them,
+placeholders, all else is lower-cased words. Numbers may be written out: numerals in a row, or behind digits, are one number. Capitals in a row, at most LONGEST_NAME of them,
 are one name; longer runs are headings and stay words. A capital that opens a sentence may be
 a name or not: texts have two readings, one with these capitals as words and one with all
 capitals as names, and windows of one reading meet windows of the same.
@@ -52,10 +52,24 @@ UNITS = frozenset(
     "mph kph percent cent cents dollar dollars euro euros usd eur gbp degree degrees celsius fahrenheit watt watts volt volts "
     "% $ € £ °".split()
 )
-WORD, CAPITAL, NUMBER, UNIT, END, BREAK = range(6)
+# fixed values: numerals of English, German, French and Spanish; the German and Spanish ones of two parts follow from a rule. Numerals that are
+# articles as well (ein, une, uno and their like) are words
+_UNITS_OF_GERMAN = "ein zwei drei vier fünf sechs sieben acht neun".split()
+_TENS_OF_GERMAN = "zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig".split()
+NUMERALS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred hundreds thousand thousands million millions billion billions dozen dozens "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn hundert tausend "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte "
+    "treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento doscientos quinientos mil".split()
+) | {*_TENS_OF_GERMAN, *(f"{u}und{t}" for u in _UNITS_OF_GERMAN for t in _TENS_OF_GERMAN)} | {f"veinti{u}" for u in "uno dós trés cuatro cinco séis siete ocho nueve".split()}
+WORD, CAPITAL, NUMBER, NUMERAL, UNIT, END, BREAK = range(7)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Factors of a name's tokens, by their place in it.
-POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(LONGEST_NAME)], np.uint64)
+#: Numerals in a row that are one number; the next ones are another.
+LONGEST_NUMBER = 16
+#: Factors of the tokens of a name or number, by their place in it.
+POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(max(LONGEST_NAME, LONGEST_NUMBER))], np.uint64)
 HOLDERS = np.array([0, 0x6E616D65AAAA, 0x6E756DBBBB, 0x756E6974CCCC], np.uint64)
 
 
@@ -71,6 +85,8 @@ class _Tokens(dict):
             kind = BREAK if token == "\n" else END
         elif token[0].isnumeric():
             kind = NUMBER
+        elif low in NUMERALS:
+            kind = NUMERAL
         elif low in UNITS:
             kind = UNIT
         else:
@@ -116,7 +132,8 @@ class Text:
 
     def read(self, name: np.ndarray) -> "Template":
         """The reading in which these tokens are names or parts of names."""
-        n, number = len(self), self.kind == NUMBER
+        n, numeral = len(self), self.kind == NUMERAL
+        number = numeral | (self.kind == NUMBER)
         if not n or (not name.any() and not number.any()):
             return Template(self, np.arange(n), self.code, self.code, np.zeros(n, bool))
         goes_on = np.zeros(n, bool)
@@ -129,6 +146,13 @@ class Text:
                 heading = np.repeat(lengths > LONGEST_NAME, lengths)
                 name, goes_on = name & ~heading, goes_on & ~heading
                 folds = goes_on.any()
+        if numeral.any():
+            more = np.zeros(n, bool)
+            more[1:] = numeral[1:] & number[:-1] & ~self.first[1:]
+            heads = np.flatnonzero(~more)
+            more &= (np.arange(n) - np.repeat(heads, np.diff(heads, append=n))) % LONGEST_NUMBER != 0
+            goes_on |= more
+            folds = folds or more.any()
         hold = name.view(np.int8) + 2 * number.view(np.int8)
         # a unit stands by its number
         if number.any():
@@ -184,7 +208,7 @@ class Template:
         for i in range(start, start + size):
             if self.held[i]:
                 own = self.value(i)
-                number = self.text.kind[self.at[i]] == NUMBER
+                number = self.text.kind[self.at[i]] in (NUMBER, NUMERAL)
                 out.append({"slot": f"{own} {self.value(i + 1)}" if number and i + 1 < len(self) else own, "own": own})
         return out
 
