@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# fixed values: thresholds and limits
 @dataclass(frozen=True)
 class Config:
     filter_min_words: int = 300
@@ -49,6 +50,7 @@ REGULATORY_WORDS = (
     "deve", "devono", "articolo", "regolamento", "comma", "disposizione", "divieto", "sanzione",
 )
 REGULATORY_PHRASES = ("ai sensi",)
+# fixed values: what counts as a word, and the marks of paragraphs, articles, codes and acts
 WORD_PATTERN = "[A-Za-zÀ-ɏ]+"
 MARKER_PATTERN = (
     r"(?i)(?:§\s*\d|\b(?:Art(?:icle|\.)|Sec(?:tion|\.)|Chapter|Title|Part)\s+\d|\b\d+\s*(?:CFR|U\.?S\.?C\.?|USC)\b|\b(?:EU|EC|EEC)\s*\d+/\d{2,4})"
@@ -132,8 +134,9 @@ REGULATIONS = {
     "mifid ii": "markets in financial instruments directive ii", "psd2": "payment services directive 2",
     "emir": "european market infrastructure regulation", "basel iii": "basel iii", "dodd-frank": "dodd-frank wall street reform act",
 }
-_BODY = r"\b(agency|authority|commission|bureau|administration|department|ministry|office|board|council|service|inspectorate|directorate|secretariat|comptroller|registrar|prosecutor|protection|enforcement|patrol|customs|intelligence|tribunal|supervisor|supervisory|regulator)\b"
-_STATE = r"(?:^|\b)(u\.s\.|u\.s\b|us\b|united\s+states|federal|european|eu|state|national|royal|her\s+majesty|royal\s+norwegian|hm|ministry|ministerio|ministère|bundes|people's\s+republic|government\s+of)"
+# fixed values: words that name an agency, and words that name a state or union before one
+AGENCY_WORD = r"\b(agency|authority|commission|bureau|administration|department|ministry|office|board|council|service|inspectorate|directorate|secretariat|comptroller|registrar|prosecutor|protection|enforcement|patrol|customs|intelligence|tribunal|supervisor|supervisory|regulator)\b"
+STATE_WORD = r"(?:^|\b)(u\.s\.|u\.s\b|us\b|united\s+states|federal|european|eu|state|national|royal|her\s+majesty|royal\s+norwegian|hm|ministry|ministerio|ministère|bundes|people's\s+republic|government\s+of)"
 # fixed values: entity types, the first pattern that is found decides
 ENTITY_PATTERNS = (
     ("regulation", r"(?i)\b\d+\s*C\.?F\.?R\.?\b"),
@@ -148,9 +151,9 @@ ENTITY_PATTERNS = (
     ("code", r"(?i)\b(?:hts(?:us)?|hs|schedule\s*b)\s*\d{4}(?:\.\d{2,4}){0,2}\b"),
     ("code", r"(?i)\b(?:chapter|heading)\s+\d{2}\.\d{2}\b"),
     ("code", r"^\d{6,10}$"),
-    ("agency", rf"(?i){_BODY}.+(?:of|for)\b"),
-    ("agency", rf"(?i){_STATE}\s+\w.*{_BODY}"),
-    ("agency", rf"(?i){_BODY}"),
+    ("agency", rf"(?i){AGENCY_WORD}.+(?:of|for)\b"),
+    ("agency", rf"(?i){STATE_WORD}\s+\w.*{AGENCY_WORD}"),
+    ("agency", rf"(?i){AGENCY_WORD}"),
     ("agency", r"^[A-Z]{2,6}$"),
     ("program", r"(?i)\b(?:program|programme|scheme|initiative|framework)\b"),
     ("industry", r"(?i)\b(?:industry|sector|manufacturers?|providers?|exchanges?|institutions?|importers?|exporters?|operators?)\b"),

@@ -54,7 +54,7 @@ def domain_report(docs, versions, events, entities, links, obligations, domain:
 
 
 def run_eval(golden: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entry results, one row of metrics). golden: of read_golden; responses: (id, body)."""
+    """(entry results, one row of metrics). golden: of read_golden; responses: (id, body) and optionally error, of a call that failed, and latency_ms."""
     e = golden.select(
         "id",
         F.col("expected.significance_score.min").alias("g_min"),
@@ -65,8 +65,12 @@ def run_eval(golden: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFr
         F.col("expected.trade_flow_direction").alias("g_flow"),
         F.col("expected.should_trigger_obligations").alias("g_gate"),
     )
-    scored = e.join(responses.select("id", "body"), "id", "left").withColumn("p", S.parse_score(F.col("body")))
-    results = R.eval_failures(scored.select(*e.columns, "p.*"))
+    more = [c for c in ("latency_ms",) if c in responses.columns]
+    failed = F.col("error").isNotNull() if "error" in responses.columns else F.lit(False)
+    answers = responses.select("id", "body", failed.alias("_failed"), *more)
+    scored = e.join(answers, "id", "left").withColumn("p", S.parse_score(F.when(~F.col("_failed"), F.col("body"))))
+    results = R.eval_failures(scored.select(*e.columns, *more, "_failed", "p.*"))
+    results = results.withColumn("failures", F.when(F.col("_failed"), F.array(F.lit("llm_error"))).otherwise(F.col("failures"))).drop("_failed")
     return results, R.eval_metrics(results)
 
 

@@ -107,8 +107,18 @@ def text_hashes(spark, sf):
     return D.observations(spark, sf).select("batch", "seq", X.content_hash(norm).alias("norm_hash"), F.length(norm).cast("long").alias("norm_len"), F.length(X.bench_normalize(F.col("raw_text"))).cast("long").alias("bench_len"))
 
 
-@query()
+_VOTES = ", ".join(f"len(list_filter(words, lambda x: list_contains({_duck_list(ws)}, x))) AS {k}" for k, ws in C.FUNCTION_WORDS.items())
+_BEST = f"greatest({', '.join(C.FUNCTION_WORDS)})"
+_SHARE = "(length(head) - length(regexp_replace(head, '[{}]', '', 'g'))) / letters > 0.1"
+
+
+@query(f"""WITH h AS (SELECT doc_id, lang, left(coalesce(text, ''), 4000) AS head FROM documents),
+w AS (SELECT *, regexp_split_to_array(lower(head), '[^\\p{{L}}]+') AS words, length(regexp_replace(head, '[\\s\\p{{P}}\\p{{S}}\\p{{Z}}]', '', 'g')) AS letters FROM h),
+v AS (SELECT *, {_VOTES} FROM w)
+SELECT doc_id, lang, CASE WHEN letters = 0 THEN NULL WHEN {_SHARE.format("가-힯ᄀ-ᇿ㄰-㆏")} THEN 'ko' WHEN {_SHARE.format("぀-ゟ゠-ヿ")} THEN 'ja' WHEN {_SHARE.format("一-鿿㐀-䶿豈-﫿")} THEN 'zh'
+  WHEN {_BEST} > 0 THEN CASE {_BEST} {" ".join(f"WHEN {k} THEN '{k}'" for k in sorted(C.FUNCTION_WORDS, reverse=True))} END END AS language FROM v""")
 def detect_language(spark, sf):
+    """The vote of function words; of equal votes the last language by name wins."""
     return D.read(spark, sf, "documents").select("doc_id", "lang", X.detect_language(F.col("text")).alias("language"))
 
 

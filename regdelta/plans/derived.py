@@ -64,6 +64,12 @@ TEMPLATES = {
                ', "trigger_quote": "' || CASE doc_id % 14 WHEN 2 THEN 'importer shall comply and must pay' WHEN 9 THEN 'importer  shall comply and  must pay' ELSE 'Quote number ' || CAST(doc_id AS STRING) || ' of the text' END || '"}}' END AS body
         FROM (SELECT *, CAST(((doc_id * 37) % 101) / 100.0 AS STRING) AS score_raw, '0.' || lpad(CAST(least((doc_id * 37) % 101, 99) AS STRING), 2, '0') AS score FROM events) e
     """,
+    "golden": f"""
+        SELECT 'g' || CAST(doc_id AS STRING) AS id, doc_id, CAST((doc_id % 5) / 5.0 AS DOUBLE) AS g_min, CAST((doc_id % 5) / 5.0 + 0.35 AS DOUBLE) AS g_max,
+               {pick("doc_id % 5", ("typo_or_cosmetic", "minor_wording", "clarification", "substantive", "critical"))} AS g_change_type, {pick("doc_id % 11", TOPICS)} AS g_topic,
+               CASE WHEN doc_id % 4 = 0 THEN 'cn' END AS g_origin, CASE WHEN doc_id % 5 = 0 THEN 'inbound' END AS g_flow, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 2 = 0 END AS g_gate
+        FROM documents
+    """,
     "chunk_responses": """
         SELECT event_id, doc_id, c AS chunk_no, doc_id % 41 <> 0 AS http_ok,
                CASE WHEN (doc_id + c) % 11 = 0 THEN '{broken' ELSE

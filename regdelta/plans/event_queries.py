@@ -12,6 +12,7 @@ from regdelta.functions import text as X
 from regdelta.operators import alerts as A
 from regdelta.operators import attempts as T
 from regdelta.operators import entities as I
+from regdelta.operators import jobs as J
 from regdelta.operators import matching as M
 from regdelta.operators import reports as R
 from regdelta.operators import rolling as W
@@ -523,6 +524,14 @@ def bench_summary(spark, sf):
     return R.bench_summary(D.from_events(spark, sf, "bench"))
 
 
+@query(f"""{BENCH}, told AS (SELECT * REPLACE (elapsed_ms % 13 <> 0 AND text_len >= 300 AS ok) FROM bench), l AS (SELECT backend, list(elapsed_ms ORDER BY elapsed_ms) AS ms, count(*) AS total, count(*) FILTER (ok) AS ok, count(*) FILTER (NOT ok) AS errors, CAST(floor(avg(text_len)) AS BIGINT) AS avg_len FROM told GROUP BY 1)
+SELECT backend, total, ok, errors, round(ok / total, 3) AS ok_rate, ms[CAST(round_even(0.5 * (total - 1), 0) AS BIGINT) + 1] AS p50, ms[CAST(round_even(0.95 * (total - 1), 0) AS BIGINT) + 1] AS p95, avg_len FROM l""")
+def bench_report(spark, sf):
+    """The same of raw results: one with an error, or with a short text, is not ok."""
+    raw = D.from_events(spark, sf, "bench").drop("ok").withColumn("error", F.when(F.col("elapsed_ms") % 13 == 0, "timeout"))
+    return J.bench_report(raw)
+
+
 @query(f"""{BENCH}, d AS (SELECT run_id, backend, url, min(content_hash) AS h FROM bench GROUP BY ALL) SELECT a.backend, a.url, a.h IS DISTINCT FROM b.h AS changed FROM d a JOIN d b ON a.backend = b.backend AND a.url = b.url WHERE a.run_id = 0 AND b.run_id = 1""")
 def false_changes(spark, sf):
     runs = D.from_events(spark, sf, "bench").groupBy("run_id", "backend", "url").agg(F.min("content_hash").alias("content_hash"))
@@ -568,6 +577,39 @@ def eval_metrics(spark, sf):
     return R.eval_metrics(_golden(spark, sf))
 
 
+_RUN = f"""{SCORED}, golden AS ({D.duck_sql("golden")}),
+answers AS (SELECT 'g' || doc_id AS id, doc_id % 9 = 0 AS failed, doc_id % 300 AS latency_ms, CASE WHEN good THEN s END AS score, ct, CASE WHEN tp IN ({B.quoted(C.TOPICS)}) THEN tp ELSE 'other' END AS topic, oc, flow_ok FROM placed WHERE doc_id % 8 <> 7),
+results AS (SELECT g.*, a.latency_ms, CASE WHEN NOT failed THEN score END AS score, a.ct, a.topic, CASE WHEN failed THEN ['llm_error'] WHEN score IS NULL THEN ['parse_error'] ELSE list_filter([
+  CASE WHEN score < g_min OR score > g_max THEN 'score' END, CASE WHEN ct <> g_change_type THEN 'change_type' END, CASE WHEN topic <> g_topic THEN 'topic' END,
+  CASE WHEN g_origin IS NOT NULL AND NOT list_contains(oc, 'CN') THEN 'origin_countries' END, CASE WHEN g_flow IS NOT NULL AND flow_ok IS DISTINCT FROM g_flow THEN 'trade_flow_direction' END,
+  CASE WHEN g_gate IS NOT NULL AND (score >= 0.6) <> g_gate THEN 'obligations_gate' END], lambda x: x IS NOT NULL) END AS failures FROM golden g LEFT JOIN answers a ON a.id = g.id)"""
+
+
+def _run(spark, sf):
+    """Golden entries of all documents, with ids of their own, against the answers to them; some calls failed, some were not made."""
+    g = D.derived(spark, "golden", documents=D.read(spark, sf, "documents"))
+    expected = F.struct(
+        F.struct(F.col("g_min").alias("min"), F.col("g_max").alias("max")).alias("significance_score"), F.col("g_change_type").alias("change_type"), F.col("g_topic").alias("topic"),
+        F.when(F.col("g_origin").isNotNull(), F.array("g_origin")).alias("origin_countries"), F.col("g_flow").alias("trade_flow_direction"), F.col("g_gate").alias("should_trigger_obligations"),
+    )
+    e, d = cut(B.events(spark, sf), "events"), F.col("doc_id")
+    answers = D.derived(spark, "responses", events=e).join(e.select("event_id", "doc_id"), "event_id").where(d % 8 != 7)
+    answers = answers.select(F.concat(F.lit("g"), d.cast("string")).alias("id"), "body", F.when(d % 9 == 0, "timeout").alias("error"), (d % 300).alias("latency_ms"))
+    return J.run_eval(g.select("id", expected.alias("expected")), answers)
+
+
+@query(f"{_RUN} SELECT id, array_to_string(failures, '|') AS failures FROM results")
+def eval_run(spark, sf):
+    return _run(spark, sf)[0].select("id", joined("failures").alias("failures"))
+
+
+@query(f"""{_RUN} SELECT count(*) AS n_entries, round(count(*) FILTER (len(failures) = 0) / count(*), 6) AS pass_rate, round(avg(abs(score - (g_min + g_max) / 2)), 6) AS score_mae,
+  round(count(*) FILTER (score IS NOT NULL AND ct = g_change_type) / count(*), 6) AS change_type_accuracy, round(count(*) FILTER (score IS NOT NULL AND topic = g_topic) / count(*), 6) AS topic_accuracy,
+  round(count(*) FILTER (g_gate IS NOT NULL AND (score >= 0.6) = g_gate) / count(g_gate), 6) AS gate_accuracy, CAST(sum(latency_ms) AS BIGINT) AS total_latency_ms FROM results""")
+def eval_run_metrics(spark, sf):
+    return _run(spark, sf)[1]
+
+
 _LENGTHS = "lengths AS (SELECT source_url, content_hash, any_value(length(raw_text)) AS chars, min(fetched_at) AS first_seen FROM obs GROUP BY 1, 2)"
 
 
