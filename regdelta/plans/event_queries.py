@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from regdelta import constants as C
 from regdelta.functions import entity as E
+from regdelta.functions import render as N
 from regdelta.functions import text as X
 from regdelta.operators import alerts as A
 from regdelta.operators import attempts as T
@@ -87,6 +88,34 @@ def scoring_prompts(spark, sf):
     return made.select("event_id", F.sha2(p, 256).alias("prompt_hash"))
 
 
+_BAND = "CASE WHEN significance_score IS NULL THEN 'unscored' WHEN significance_score >= 0.8 THEN 'CRITICAL' WHEN significance_score >= 0.6 THEN 'substantive' WHEN significance_score >= 0.4 THEN 'clarification' WHEN significance_score >= 0.2 THEN 'minor' ELSE 'cosmetic' END"
+_MESSAGE = {
+    "Band": _BAND, "Score": "coalesce(printf('%.2f', significance_score), '—')", "Topic": "coalesce(nullif(topic, ''), '—')", "Change type": "coalesce(nullif(change_type, ''), '—')",
+    "Origin": "coalesce(nullif(array_to_string(origin_countries, ', '), ''), '—')", "Destination": "coalesce(nullif(array_to_string(destination_countries, ', '), ''), '—')", "Matched keywords": "'—'", "Source": "coalesce(nullif(source_url, ''), '—')",
+}
+
+
+def _escaped(x: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{sign}', '{name}')"
+    return x
+
+
+_SAID, _MARK = "coalesce(summary, '(no summary)')", "CASE WHEN span_start IS NOT NULL THEN 'verified' ELSE 'unverified' END"
+
+
+@query(f"""{_QUOTED} SELECT event_id,
+  {" || chr(10) || ".join(f"'{k}: ' || {v}" for k, v in _MESSAGE.items())} || chr(10) || chr(10) || {_SAID} || CASE WHEN quote IS NULL THEN '' ELSE chr(10) || chr(10) || 'Citation (' || {_MARK} || '):' || chr(10) || '> ' || quote END AS plain,
+  sha256('<table>' || {" || ".join(f"'<tr><th>{k}</th><td>' || {_escaped(v)} || '</td></tr>'" for k, v in _MESSAGE.items())} || '</table><p>' || {_escaped(_SAID)} || '</p>'
+    || CASE WHEN quote IS NULL THEN '' ELSE '<blockquote class="' || {_MARK} || '">' || {_escaped("quote")} || '</blockquote>' END) AS html_hash
+FROM scored LEFT JOIN spans USING (event_id)""")
+def render_messages(spark, sf):
+    """The messages of all events as text, and the digest of their HTML."""
+    s = B.scored(spark, sf).withColumn("matched_keywords", F.lit(None).cast("array<string>"))
+    e = {c: F.col(c) for c in ("significance_score", "topic", "change_type", "origin_countries", "destination_countries", "matched_keywords", "source_url", "summary", "quote", "span_start")}
+    return s.select("event_id", N.render_text(e).alias("plain"), F.sha2(N.render_html(e), 256).alias("html_hash"))
+
+
 @query(f"{SCORED} SELECT event_id FROM scored WHERE (significance_score IS NULL OR error IS NOT NULL) AND diff_kind = 'modified' AND detected_at >= {AS_OF - 14 * DAY} ORDER BY detected_at DESC, event_id LIMIT 50")
 def score_backlog(spark, sf):
     return S.backlog(B.scored(spark, sf), "retry", kind="modified", recent="2w", as_of=F.timestamp_seconds(F.lit(AS_OF))).select("event_id")
