@@ -35,6 +35,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder, by the file system that Spark reaches it with."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def passing_tables(spark: SparkSession) -> Iterator[None]:
     """Tables that are cut within go at the end. What is to last has to be written elsewhere by then."""
@@ -45,5 +51,4 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _passing.remove(own)
         for path in own:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, path)
