@@ -202,13 +202,17 @@ def upsert(spark, sf):
     return store.state(3).select("content_hash", "source_url", F.unix_timestamp("last_seen_at").alias("last_seen")).join(last, "content_hash")
 
 
-@query(f"""WITH {B.OBS}, known AS (SELECT content_hash, max(artifact_uri) AS uri FROM obs WHERE batch = 0 GROUP BY 1)
-SELECT seq, CASE WHEN k.content_hash IS NOT NULL THEN uri ELSE 'artifacts/' || source_type || '/2024-01-02/' || left(o.content_hash, 8) || '_text.txt' END AS artifact_uri, k.content_hash IS NOT NULL AS reused
-FROM obs o LEFT JOIN known k ON o.content_hash = k.content_hash WHERE batch = 1""")
+@query(f"""WITH {B.OBS}, n AS (SELECT unnest([1, 2, 3]) AS b), known AS (SELECT b, content_hash, max(artifact_uri) AS uri FROM obs JOIN n ON batch < b GROUP BY ALL)
+SELECT batch, seq, CASE WHEN k.content_hash IS NOT NULL THEN uri ELSE 'artifacts/' || source_type || '/2024-01-0' || (batch + 1) || '/' || left(o.content_hash, 8) || '_text.txt' END AS artifact_uri, k.content_hash IS NOT NULL AS reused
+FROM obs o LEFT JOIN known k ON o.content_hash = k.content_hash AND b = batch WHERE batch > 0""")
 def archive(spark, sf):
-    o = D.observations(spark, sf)
-    known = o.where("batch = 0").groupBy("content_hash").agg(F.max("artifact_uri").alias("artifact_uri"))
-    return G.archive_keys(o.where("batch = 1"), known).select("seq", "artifact_uri", "reused")
+    """Every batch but the first, each against the artifacts of those before."""
+    o, out = cut(D.observations(spark, sf), "observations"), None
+    for b in (1, 2, 3):
+        known = o.where(F.col("batch") < b).groupBy("content_hash").agg(F.max("artifact_uri").alias("artifact_uri"))
+        now = G.archive_keys(o.where(F.col("batch") == b), known).select("batch", "seq", "artifact_uri", "reused")
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 @query(f"""WITH {B.DETECTED}, d AS (SELECT DISTINCT source_url, content_hash FROM obs)

@@ -525,6 +525,12 @@ def rolling_failures(spark, sf):
     return W.rolling_failures(_calls(spark, sf), 3600, 3).select("event_id", "scope", "failures", "tripped")
 
 
+@query(f"{CALLS} SELECT event_id, scope, count(*) OVER (PARTITION BY scope ORDER BY ts RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS failures, failures >= 10 AS tripped FROM calls WHERE failed AND scope IS NOT NULL")
+def rolling_failures_of_a_minute(spark, sf):
+    """With the window and threshold that the breaker has by default."""
+    return W.rolling_failures(_calls(spark, sf)).select("event_id", "scope", "failures", "tripped")
+
+
 BREAKER = f"""{CALLS}, f AS (SELECT scope, ts, count(*) OVER (PARTITION BY scope ORDER BY ts RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM calls WHERE failed AND scope IS NOT NULL),
 t AS (SELECT scope, ts AS a, ts + 300 AS b FROM f WHERE n >= 3), m AS (SELECT *, max(b) OVER (PARTITION BY scope ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM t),
 i AS (SELECT *, sum(CAST(pb IS NULL OR a > pb AS INT)) OVER (PARTITION BY scope ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m), spans AS (SELECT scope, min(a) AS opened_at, max(b) AS open_until, count(*) AS trips FROM i GROUP BY scope, k)"""
