@@ -75,7 +75,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5,
     with the fraction f of the rate as probability. That draw is a Bernoulli variable, seeded by a hash of the
     source, and drawn jointly: the row at place i of its source, by size and id, is drawn if an integer lies in
     (u + f(i - 1), u + fi], u being uniform by the hash. As sizes grow along the places, what is drawn of a source differs from
-    f times its size by less than its largest document; independent draws of fifty documents miss by a tenth. Rows that repeat an id are rows
+    f times its size by less than its largest document; independent draws miss the more, the fewer and the more unlike its documents are. Rows that repeat an id are rows
     like others. Reruns agree.
 
     Null texts have no words; a null source is a source; a null id comes first among equal sizes; a source without words has rate
