@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import python_tasks, table
+from regdelta.llm.common import python_tasks, table, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Characters from which a text is split, and least characters of a split.
@@ -83,7 +83,7 @@ def encode_texts(docs: DataFrame, rank_path: str | None = None, id_col: str = "d
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def decode_ids(encoded: DataFrame, rank_path: str | None = None) -> DataFrame:
 
     fields = [f for f in encoded.schema.fields if f.name != "decoded"]
     kept = encoded.select(*[f.name for f in fields])
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", decoded binary")
+    return kept.mapInArrow(tidy(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", decoded binary")
 
 
 def round_trip(docs: DataFrame, rank_path: str | None = None) -> DataFrame:

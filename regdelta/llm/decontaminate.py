@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import cut, python_tasks, table
+from regdelta.llm.common import cut, python_tasks, table, tidy
 
 WINDOW = 8
 #: Words that a window needs besides placeholders; windows with fewer are hashed as they stand.
@@ -287,7 +287,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 out += [(item, key, i, place, total, *rest) for i, place, *rest in own]
             yield _batch(out, ITEM_ROW)
 
-    return benchmark.select(_name(id_col).alias("item"), F.col(text_col).alias("body")).mapInArrow(run, ITEM_ROW)
+    return benchmark.select(_name(id_col).alias("item"), F.col(text_col).alias("body")).mapInArrow(tidy(run), ITEM_ROW)
 
 
 def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[int]) -> DataFrame:
@@ -327,7 +327,7 @@ def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[in
                     out += [(doc, key, *x) for x in hits]
             yield _batch(out, HIT_ROW)
 
-    return rows.mapInArrow(run, HIT_ROW)
+    return rows.mapInArrow(tidy(run), HIT_ROW)
 
 
 def _with_prefixes(items: DataFrame, coverage: float) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regdelta.llm.common import fold, labelled_ids, python_tasks, table
+from regdelta.llm.common import fold, labelled_ids, python_tasks, table, tidy
 
 #: About so many labelled documents are fitted at most.
 FIT_ROWS = 30_000
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = FIT_ROWS) -> Ad
             got = [figures(t or "") for t in b.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("hash"), b.column("label"), pa.array(got, pa.list_(pa.float64()))], ["doc_id", "hash", "label", "x"])
 
-    figured = rows.select("doc_id", "hash", "label", "body").mapInArrow(run, "doc_id long, hash long, label int, x array<double>")
+    figured = rows.select("doc_id", "hash", "label", "body").mapInArrow(tidy(run), "doc_id long, hash long, label int, x array<double>")
     got = figured.groupBy("doc_id").agg(F.min_by(F.struct("label", "x"), "hash").alias("r")).select("r.*").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FIGURES))), np.zeros(0))
@@ -240,7 +240,7 @@ def scores(docs: DataFrame, model: Additive, id_col: str = "doc_id", text_col: s
             x = np.array([figures(t or "") for t in b.column("body").to_pylist()]).reshape(b.num_rows, len(FIGURES))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(held.value.score(x))], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -269,7 +269,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
             x = np.array([figures(t or "") for t in b.column("text").to_pylist()]).reshape(b.num_rows, len(FIGURES))
             yield b.filter(pa.array(held.value.score(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
