@@ -19,6 +19,7 @@ in the slots. An item of under LEAST_TOKENS words is found in whole lines alone.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ BLOCK_WINDOWS = 1 << 21
 #: Most benchmark windows with their slots, or rows to be dropped, whose join is broadcast.
 BROADCAST_ROWS = 1 << 17
 
+#: What a token is; `Characters.split` gives the same.
 TOKEN = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}'’]*|[.!?\n]|[%$€£°]")
 UNITS = frozenset(
     "m km cm mm mi ft yd inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -71,64 +73,161 @@ LONGEST_NUMBER = 16
 #: Factors of the tokens of a name or number, by their place in it.
 POWERS = np.array([pow(int(FACTOR), k, 1 << 64) for k in range(max(LONGEST_NAME, LONGEST_NUMBER))], np.uint64)
 HOLDERS = np.array([0, 0x6E616D65AAAA, 0x6E756DBBBB, 0x756E6974CCCC], np.uint64)
+# bits of a character's class; a character without any is part of no token
+LETTER, JOIN, DIGIT, POINT, ALONE, ODD = 1, 2, 4, 8, 16, 32
+#: Characters that are split at once, more where a token is longer; texts of about half as many are laid end to end.
+PIECE = 1 << 19
+#: Places in a token whose factors are kept.
+FIRST_PLACES = 1 << 10
 
 
-class _Tokens(dict):
-    """Token to its place in the arrays of hashes and kinds; a token that is met first is classified then."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The numbers with their bits mixed (the last steps of splitmix64)."""
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+class Characters:
+    """For every code point the class, the kind of a token that begins with it, and a number for its lower case; odd factors for places in a token.
+
+    The hash of a token is the sum of the numbers of its characters, each times the factor of its place.
+    """
 
     def __init__(self):
-        self.code, self.kind = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.int8)
-
-    def __missing__(self, token: str) -> int:
-        low = token.lower()
-        if token in ".!?\n":
-            kind = BREAK if token == "\n" else END
-        elif token[0].isnumeric():
-            kind = NUMBER
-        elif low in NUMERALS:
-            kind = NUMERAL
-        elif low in UNITS:
-            kind = UNIT
-        else:
-            kind = CAPITAL if token[0].isupper() else WORD
-        at = self[token] = len(self)
-        if at == len(self.code):
-            self.code, self.kind = (np.r_[x, np.zeros_like(x)] for x in (self.code, self.kind))
-        self.code[at], self.kind[at] = xxhash.xxh64_intdigest(low), kind
-        return at
+        every = "".join(map(chr, range(0x110000)))
+        self.classes, self.kinds = np.zeros(len(every), np.uint8), np.full(len(every), WORD, np.int8)
+        for pattern, bit in ((r"\p{L}+", LETTER), (r"[\p{M}'’]+", JOIN), (r"\p{N}+", DIGIT), ("[.,]+", POINT), (r"[.!?\n%$€£°]+", ALONE)):
+            for run in regex.finditer(pattern, every):
+                self.classes[run.start() : run.end()] |= bit
+        for at in np.flatnonzero(self.classes & (LETTER | DIGIT)).tolist():
+            c = every[at]
+            self.kinds[at] = NUMBER if c.isnumeric() else CAPITAL if c.isupper() else WORD
+        self.kinds[[ord(c) for c in ".!?"]], self.kinds[ord("\n")] = END, BREAK
+        # the lower case of these depends on what stands beside it, or is two characters: their tokens are hashed one by one
+        odd = "\u0130\u03a3"
+        self.classes[[ord(c) for c in odd]] |= ODD
+        for c in odd:
+            every = every.replace(c, " ")
+        lower = np.frombuffer(every.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.numbers = _mixed((lower + np.uint64(1)) * FACTOR)
+        self.factors = self._factors(FIRST_PLACES)
+        codes = {self.code(x): kind for words, kind in ((UNITS, UNIT), (NUMERALS, NUMERAL)) for x in words}
+        self.listed = np.array(sorted(codes), np.uint64)
+        self.listed_kinds = np.array([codes[x] for x in self.listed.tolist()], np.int8)
+        self.begins = np.zeros(1 << 16, bool)
+        self.begins[self.listed >> np.uint64(48)] = True
+
+    @staticmethod
+    def _factors(places: int) -> np.ndarray:
+        return _mixed((np.arange(places, dtype=np.uint64) + np.uint64(1 << 32)) * FACTOR) | np.uint64(1)
+
+    def factors_of(self, places: int) -> np.ndarray:
+        """Factors for so many places; those of longer tokens than usual are not kept."""
+        return self.factors if places <= FIRST_PLACES else self._factors(places)
+
+    def code(self, token: str) -> int:
+        """The hash of one token, as `split` has it for tokens in a text."""
+        c = np.frombuffer(token.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        return int(_mixed((self.numbers[c] * self.factors_of(len(c))[: len(c)]).sum(keepdims=True))[0])
+
+    def split(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end, hash and kind of the matches of TOKEN in a text."""
+        out, low, size = [], 0, PIECE
+        while low < len(text):
+            c = np.frombuffer(text[low : low + size].encode("utf-32-le", "surrogatepass"), np.uint32)
+            classes = self.classes[c]
+            if low + size < len(text):
+                # a piece ends where no token can cross
+                free = np.flatnonzero(classes == 0)
+                if not len(free):
+                    size *= 2
+                    continue
+                c, classes = c[: free[-1] + 1], classes[: free[-1] + 1]
+            begin, end, code, kind = self._split(c, classes)
+            for i in np.unique(np.searchsorted(begin, np.flatnonzero(classes & ODD), "right") - 1).tolist():
+                code[i] = self.code(text[low + begin[i] : low + end[i]])
+            out.append((begin + low, end + low, code, kind))
+            low, size = low + len(c), PIECE
+        if not out:
+            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)))
+        begin, end, code, kind = (x[0] if len(x) == 1 else np.concatenate(x) for x in zip(*out))
+        at = np.flatnonzero(self.begins[code >> np.uint64(48)])
+        which = np.minimum(np.searchsorted(self.listed, code[at]), len(self.listed) - 1)
+        own = (self.listed[which] == code[at]) & ((kind[at] == WORD) | (kind[at] == CAPITAL))
+        kind[at[own]] = self.listed_kinds[which[own]]
+        return begin, end, code, kind
+
+    def _split(self, c: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = len(c)
+        digit, word, alone = classes & DIGIT > 0, classes & (LETTER | JOIN) > 0, classes & ALONE > 0
+        # a point or comma between digits is part of the number
+        point = np.flatnonzero(classes & POINT)
+        point = point[(point > 0) & (point < n - 1)]
+        point = point[digit[point - 1] & digit[point + 1]]
+        digit[point], alone[point] = True, False
+        # marks and apostrophes with no letter before them are part of no word
+        if (word[1:] & ~word[:-1] & (classes[1:] & LETTER == 0)).any() or (word[0] and not classes[0] & LETTER):
+            places = np.arange(n)
+            word &= np.maximum.accumulate(np.where(classes & LETTER, places, -1)) > np.maximum.accumulate(np.where(word, -1, places))
+        group = word + 2 * digit.view(np.uint8) + 3 * alone.view(np.uint8)
+        turns = alone.copy()
+        turns[0] = True
+        turns[1:] |= group[1:] != group[:-1]
+        begin = np.flatnonzero(turns)
+        lengths = np.diff(begin, append=n)
+        token = group[begin] > 0
+        terms = self.numbers[c]
+        terms *= self.factors_of(int(lengths[token].max(initial=0)))[(np.arange(n) - np.repeat(begin, lengths)) * np.repeat(token, lengths)]
+        code = np.add.reduceat(terms, begin)[token]
+        begin = begin[token]
+        return begin, begin + lengths[token], _mixed(code), self.kinds[c[begin]]
+
+
+@functools.cache
+def characters() -> Characters:
+    return Characters()
 
 
 class Canon:
-    """Turns texts into templates; tokens met lately are kept with their hashes, a bounded number between texts."""
+    """Turns texts into templates: one, or several laid end to end."""
 
-    def __init__(self, most: int = 1 << 18):
-        self.most, self.known = most, _Tokens()
+    def __init__(self):
+        self.characters = characters()
 
-    def __call__(self, text: str) -> "Text":
-        if len(self.known) > self.most:
-            self.known = _Tokens()
-        tokens = TOKEN.findall(text)
-        at = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        return Text(tokens, self.known.code[at], self.known.kind[at])
+    def __call__(self, *texts: str) -> "Text":
+        # no token holds a zero character
+        body = "\0".join(texts)
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin, end, code, kind = self.characters.split(body)
+        return Text(body, begin, end, code, kind, np.searchsorted(begin, np.cumsum(lengths + 1) - lengths - 1))
 
 
 class Text:
-    """The tokens of a text, marks of sentence and line ends apart, in two readings; they are one object where they do not differ."""
-
-    def __init__(self, tokens: list[str], code: np.ndarray, kind: np.ndarray):
-        self.tokens = tokens
-        self.places = np.flatnonzero(kind < END)
-        self.code, self.kind = code[self.places], kind[self.places]
-        self.first = kind[self.places - 1] >= END
-        self.lines = np.cumsum(kind == BREAK)[self.places]
-        if len(self.places):
-            self.first[0] = True
+    """The tokens of texts laid end to end, marks of sentence and line ends apart, in two readings; they are one object where they do not differ.
+
+    bounds: where each text begins among the words, and their number. two: whether the readings of each text differ.
+    """
+
+    def __init__(self, body: str, begin: np.ndarray, end: np.ndarray, code: np.ndarray, kind: np.ndarray, texts: np.ndarray):
+        self.body = body
+        places = np.flatnonzero(kind < END)
+        self.begin, self.end, self.code, self.kind = begin[places], end[places], code[places], kind[places]
+        self.bounds = np.append(np.searchsorted(places, texts), len(places))
+        self.opens = np.zeros(len(places), bool)
+        self.opens[self.bounds[:-1][self.bounds[:-1] < len(places)]] = True
+        self.first = (kind[places - 1] >= END) | self.opens
+        self.lines = np.cumsum(kind == BREAK)[places] + np.cumsum(self.opens)
         opening = (self.kind == CAPITAL) & self.first
+        self.two = np.diff(np.append(0, np.cumsum(opening))[self.bounds]) > 0
         self.plain = self.read((self.kind == CAPITAL) & ~self.first)
         self.named = self.read(self.kind == CAPITAL) if opening.any() else self.plain
 
     def __len__(self) -> int:
-        return len(self.places)
+        return len(self.begin)
 
     def read(self, name: np.ndarray) -> "Template":
         """The reading in which these tokens are names or parts of names."""
@@ -157,8 +256,8 @@ class Text:
         # a unit stands by its number
         if number.any():
             beside = np.zeros(n, bool)
-            beside[1:] = number[:-1]
-            beside[:-1] |= number[1:]
+            beside[1:] = number[:-1] & ~self.opens[1:]
+            beside[:-1] |= number[1:] & ~self.opens[1:]
             hold[(self.kind == UNIT) & beside] = 3
         code, at = self.code, np.arange(n)
         if folds:
@@ -170,18 +269,19 @@ class Text:
         template[held] = HOLDERS[hold[held]]
         return Template(self, at, code, template, held)
 
-    def short_lines(self) -> Iterator[tuple[int, int]]:
-        """(place, hash) of the lines of under LEAST_TOKENS words."""
-        if not len(self):
-            return
-        starts = np.flatnonzero(np.r_[True, self.lines[1:] != self.lines[:-1]])
-        lengths = np.diff(np.r_[starts, len(self)])
+    def short_lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Place and hash of the lines of under LEAST_TOKENS words."""
+        places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        starts = np.flatnonzero(np.diff(self.lines, prepend=-1))
+        lengths = np.diff(starts, append=len(self))
         for size in range(1, LEAST_TOKENS):
             own = starts[lengths == size]
             h = np.full(len(own), size + 2000, np.uint64)
             for k in range(size):
                 h = h * FACTOR + self.code[own + k]
-            yield from zip(own.tolist(), h.view(np.int64).tolist())
+            places.append(own)
+            hashes.append(h)
+        return np.concatenate(places), np.concatenate(hashes)
 
 
 class Template:
@@ -196,14 +296,14 @@ class Template:
     def value(self, i: int) -> str:
         start = self.at[i]
         end = self.at[i + 1] if i + 1 < len(self.at) else len(self.text)
-        return " ".join(self.text.tokens[p] for p in self.text.places[start:end]).lower()
+        return " ".join(self.text.body[a:b] for a, b in zip(self.text.begin[start:end].tolist(), self.text.end[start:end].tolist())).lower()
 
     def values(self, start: int, size: int) -> list[str]:
         """Values of the placeholders of a window."""
         return [self.value(i) for i in range(start, start + size) if self.held[i]]
 
     def slots(self, start: int, size: int) -> list[dict]:
-        """Values of a window's placeholders with the slot each belongs to: names and units by themselves, numbers by the next word too."""
+        """Values of a window's placeholders with the slot each belongs to: names and units by themselves, numbers by the next word too. For one text alone."""
         out = []
         for i in range(start, start + size):
             if self.held[i]:
@@ -214,25 +314,27 @@ class Template:
 
 
 def windows(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window that starts at each token, and whether it is compared as it stands."""
+    """Hash of the window that starts at each token, and whether it is compared as it stands; of several texts also windows that begin in one and end in another."""
     n = len(t) - size + 1
     if n < 1:
         return np.array([], np.uint64), np.array([], bool)
-
-    def rolled(codes: np.ndarray, start: int) -> np.ndarray:
-        h = np.full(n, start, np.uint64)
-        for k in range(size):
-            h *= FACTOR
-            h += codes[k : k + n]
-        return h
-
-    canon = rolled(t.template, size + 1000)
+    h = np.full(n, size + 1000, np.uint64)
+    for k in range(size):
+        h *= FACTOR
+        h += t.template[k : k + n]
     if not t.held.any():
-        return canon, np.zeros(n, bool)
+        return h, np.zeros(n, bool)
     holders = np.zeros(len(t) + 1, np.int32)
     np.cumsum(t.held, out=holders[1:])
     stands = size - (holders[size:] - holders[:-size]) < min(LEAST_WORDS, size)
-    return (np.where(stands, rolled(t.plain, size), canon) if stands.any() else canon), stands
+    own = np.flatnonzero(stands)
+    if len(own):
+        plain = np.full(len(own), size, np.uint64)
+        for k in range(size):
+            plain *= FACTOR
+            plain += t.plain[own + k]
+        h[own] = plain
+    return h, stands
 
 
 ITEM_ROW = "item string, item_key long, at int, place int, total int, size int, h long, slots array<struct<slot:string,own:string>>, named boolean"
@@ -276,7 +378,7 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
                 key = _key(body)
                 if len(text) < LEAST_TOKENS:
                     text.lines[:] = 0
-                    out += [(item, key, 0, 0, 1, 0, h, [], False) for _, h in text.short_lines()]
+                    out += [(item, key, 0, 0, 1, 0, h, [], False) for h in text.short_lines()[1].view(np.int64).tolist()]
                     continue
                 own = []
                 for named, t in ((False, text.plain), (True, text.named)):
@@ -307,24 +409,40 @@ def _document_windows(rows: DataFrame, sorted_hashes: np.ndarray, sizes: list[in
             at = np.flatnonzero(begins[h >> np.uint64(44)])
             return at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
 
+        def hits(bodies: list[str]) -> Iterator[tuple]:
+            """(text, at, h, got, reading), text being a number."""
+            text = canon(*bodies)
+            for size in sizes:
+                if not size:
+                    places, h = text.short_lines()
+                    found = lookup(h)
+                    owner = np.searchsorted(text.bounds, places[found], "right") - 1
+                    at = places[found] - text.bounds[owner]
+                    yield from ((o, i, x, [], None) for o, i, x in zip(owner.tolist(), at.tolist(), h[found].view(np.int64).tolist()))
+                    continue
+                for t in (text.plain,) if text.named is text.plain else (text.plain, text.named):
+                    h, stands = windows(t, size)
+                    found = lookup(h)
+                    bounds = np.searchsorted(t.at, text.bounds)
+                    owner = np.searchsorted(bounds, found, "right") - 1
+                    own = found + size <= bounds[owner + 1]
+                    if t is text.named and t is not text.plain:
+                        own &= text.two[owner]
+                    found, owner = found[own], owner[own]
+                    for i, o, at, x in zip(found.tolist(), owner.tolist(), (found - bounds[owner]).tolist(), h[found].view(np.int64).tolist()):
+                        yield o, at, x, [] if stands[i] else t.values(i, size), t is text.named if text.two[o] else None
+
         for b in batches:
             out = []
-            for doc, body in zip(b.column("doc").to_pylist(), b.column("body").to_pylist()):
-                text, hits = canon(body or ""), []
-                both = text.named is text.plain
-                for size in sizes:
-                    if not size:
-                        lines = list(text.short_lines())
-                        found = lookup(np.array([h for _, h in lines], np.int64).view(np.uint64))
-                        hits += [(*lines[i], [], None) for i in found.tolist()]
-                        continue
-                    for t, reading in [(text.plain, None)] if both else [(text.plain, False), (text.named, True)]:
-                        h, stands = windows(t, size)
-                        found = lookup(h)
-                        hits += [(i, int(h[i].view(np.int64)), [] if stands[i] else t.values(i, size), reading) for i in found.tolist()]
-                if hits:
-                    key = _key(body)
-                    out += [(doc, key, *x) for x in hits]
+            docs, bodies = b.column("doc").to_pylist(), [x or "" for x in b.column("body").to_pylist()]
+            # short texts are laid end to end
+            ends = np.cumsum([len(x) for x in bodies]) // (PIECE // 2)
+            for part in np.split(np.arange(len(bodies)), np.flatnonzero(np.diff(ends)) + 1) if bodies else ():
+                start, keys = int(part[0]), {}
+                for o, *hit in hits(bodies[start : start + len(part)]):
+                    if o not in keys:
+                        keys[o] = _key(bodies[start + o])
+                    out.append((docs[start + o], keys[o], *hit))
             yield _batch(out, HIT_ROW)
 
     return rows.mapInArrow(tidy(run), HIT_ROW)

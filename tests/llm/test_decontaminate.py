@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -189,3 +190,55 @@ def test_numbers_that_are_written_out(spark):
         t = canon(f"there are {number} stones here").named
         assert t.held.tolist() == [False, False, True, False, False], number
     assert len(canon("there are " + "million " * 40 + "stones").plain) == 2 + 3 + 1
+
+
+def test_templates_of_rare_words_cost_less_than_the_pattern():
+    """Words that hardly repeat, as in a large corpus: all of the template takes less CPU time than matching TOKEN would by itself."""
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) + rng.choice(["", "", "", ",", "."]) for _ in range(300_000))
+    canon = D.Canon()
+    canon(text[:1000])
+
+    def seconds(run):
+        start = time.process_time()
+        run()
+        return time.process_time() - start
+
+    assert min(seconds(lambda: canon(text)) for _ in range(3)) < min(seconds(lambda: D.TOKEN.findall(text)) for _ in range(3))
+
+
+@pytest.mark.parametrize("piece", [4, 1 << 19])
+def test_tokens_are_those_of_the_pattern(monkeypatch, piece):
+    """Begin and end as TOKEN has them, hashes equal where the lower case is, in pieces of any size."""
+    monkeypatch.setattr(D, "PIECE", piece)
+    rng, codes, words = random.Random(2), {}, {}
+    some = [*"aabcDEéßΣσςİiIıǅ0159½²一二人''’\u0301\u0307.,..!?\n  \t%$€£°-_\0😀٣Ⅷªº", "Anna ", "zwölf ", "twenty ", "km ", "Million ", "ΟΔΟΣ "]
+    for _ in range(2000):
+        text = "".join(rng.choice(some) for _ in range(rng.randint(0, 60)))
+        begin, end, code, kind = D.characters().split(text)
+        tokens = [text[a:b] for a, b in zip(begin, end)]
+        assert tokens == D.TOKEN.findall(text), text
+        for token, x, k in zip(tokens, code.tolist(), kind.tolist()):
+            low = token.lower()
+            assert codes.setdefault(low, x) == x and words.setdefault(x, low) == low
+            want = D.BREAK if token == "\n" else D.END if token in ".!?" else D.NUMBER if token[0].isnumeric() else D.NUMERAL if low in D.NUMERALS else D.UNIT if low in D.UNITS else None
+            assert k == (want if want is not None else D.CAPITAL if token[0].isupper() else D.WORD), token
+
+
+def test_texts_of_a_batch_stay_apart(spark):
+    """Texts are read many at once: nothing goes on from one to the next, and each has its own places and readings."""
+    half = len(QUESTION) // 2
+    docs = [(1, QUESTION[:half]), (2, QUESTION[half:]), (3, ""), (4, f"{FILLER} {QUESTION}"), (5, None), (6, "Yes"), (7, "no\nyes"), (8, FILLER), (9, "yes it is"), (10, QUESTION.replace("Anna", "Boris"))]
+    for parts in (1, 3):
+        frame = spark.createDataFrame([(*r, "x", "y", "z") for r in docs], DOCS).coalesce(parts)
+        found = D.contaminated(frame, spark.createDataFrame([(1, QUESTION, ""), (2, "yes", "")], ITEMS)).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == {(4, 1), (10, 1), (6, 2), (7, 2)}
+        assert all(r.coverage == 1.0 for r in found)
+    texts = ["it weighs 12", "kg and more. Anna", "", "Berta has twenty", "one km", "\n", "yes", "Zwölf"]
+    canon = D.Canon()
+    together, bounds = canon(*texts), canon(*texts).bounds.tolist()
+    for k, alone in enumerate(map(canon, texts)):
+        for t, own in ((together.plain, alone.plain), (together.named, alone.named)):
+            rows = [(i, h, x) for i, h, x in zip(t.at.tolist(), t.held.tolist(), t.template.tolist()) if bounds[k] <= i < bounds[k + 1]]
+            assert [(i - bounds[k], h, x) for i, h, x in rows] == list(zip(own.at.tolist(), own.held.tolist(), own.template.tolist()))
+        assert bool(together.two[k]) == (alone.named is not alone.plain)
