@@ -33,9 +33,18 @@ def rolling_count(rows: DataFrame, key: str, ts: str, seconds: int, name: str, h
 
 
 def _by_buckets(rows: DataFrame, key: str, ts: str, length: int, bucket: Column, name: str) -> DataFrame:
-    spread = rows.withColumn("_next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_bucket", bucket + F.col("_next"))
-    w = Window.partitionBy(key, "_bucket").orderBy(F.unix_micros(ts)).rangeBetween(-(length - 1), 0)
-    return spread.withColumn(name, F.count("*").over(w)).where("_next = 0").drop("_next", "_bucket")
+    """In a bucket: the rows of the bucket before, less those that have left the window by then, and its own up to then.
+
+    These are running sums, one step a row; a frame that slides would be read anew for every row.
+    """
+    at = F.unix_micros(ts)
+    mark = lambda gone: F.struct(F.lit(gone).alias("gone"), (bucket + gone).alias("bucket"), (at + gone * length).alias("at"))
+    spread = rows.withColumn("_mark", F.explode(F.array(mark(0), mark(1))))
+    spread = spread.select(*rows.columns, F.col("_mark.gone").alias("_gone"), F.col("_mark.bucket").alias("_bucket"), F.col("_mark.at").alias("_at"))
+    w = Window.partitionBy(key, "_bucket").orderBy("_at")
+    before = F.sum("_gone").over(w.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    change = F.sum(1 - 2 * F.col("_gone")).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return spread.withColumn(name, before + change).where("_gone = 0").drop("_gone", "_bucket", "_at")
 
 
 def _by_totals(rows: DataFrame, key: str, ts: str, length: int, name: str) -> DataFrame:
